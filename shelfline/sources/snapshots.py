@@ -168,24 +168,30 @@ class SnapshotStore:
         deletes: DataFrame | None,
         batch: str | None = None,
         names: tuple[str, ...] = ("read", "current", "write"),
+        keys: DataFrame | None = None,
     ) -> int | None:
         """Upserts rows and deletes keys; deleting a missing key is fine.
 
         ``upserts`` has the table's columns, one row per key; ``deletes`` has the key column. A
         batch that was applied before is skipped and gives None. A key in both is upserted.
+        ``keys`` may give the changed keys when that is cheaper than reading them off the rows.
         """
         if batch is not None and self.applied(batch):
             return None
-        keys = [d.select(self.key) for d in (upserts, deletes) if d is not None]
-        if not keys:
+        sides = [d for d in (keys,) if d is not None] or [
+            d for d in (upserts, deletes) if d is not None
+        ]
+        if not sides:
             return None
-        changed = reduce(DataFrame.unionByName, keys)
+        changed = reduce(DataFrame.unionByName, [d.select(self.key) for d in sides])
         touched = [
             r.bucket
             for r in changed.select(id_bucket(self.bucket_width, self.key).alias("bucket"))
             .distinct()
             .collect()
         ]
+        if not touched:
+            return None
         current = self.names().get("write")
         folders = dict(self._folders(current)) if current is not None else {}
         old = self._load([folders[b] for b in touched if b in folders])
