@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline import schemas
@@ -127,3 +127,9 @@ def payload_field(name: str, payload: str = "payload") -> Column:
 
 def parsed_payload(payload: str = "payload") -> Column:
     return F.from_json(F.col(payload), schemas.PAYLOAD)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Several one-row tables with different columns as one row; no join is needed for that."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

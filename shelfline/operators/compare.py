@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.columns import distinct_from, ratio
+from shelfline.functions.columns import distinct_from, one_row, ratio
 
 
 def page_ids(page_rows: DataFrame) -> DataFrame:
@@ -78,14 +78,11 @@ def shadow_compare(db: DataFrame, found: DataFrame, scenario: str) -> DataFrame:
             "ordering_mismatches"
         ),
     )
-    labelled = [d.withColumn("scenario", F.lit(scenario)) for d in (positions, ids)]
     mismatches = (
         F.col("missing_in_search") + F.col("extra_in_search") + F.col("ordering_mismatches")
     )
-    return (
-        labelled[0]
-        .join(labelled[1], "scenario")
-        .withColumn("mismatch_count", mismatches)
+    return one_row(positions, ids).select(
+        F.lit(scenario).alias("scenario"), "*", mismatches.alias("mismatch_count")
     )
 
 

@@ -50,20 +50,30 @@ def extremes(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _report_rows(section: str, df: DataFrame, labels: list[Column], values: dict) -> DataFrame:
+def _long(section: str, df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """Long form (section, label, metric, value) of a small report table."""
     entries = [
-        F.struct(F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value"))
-        for metric, c in values.items()
+        F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values
     ]
-    label = F.concat_ws("/", *[c.cast("string") for c in labels]) if labels else F.lit("all")
+    label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     return df.select(
         F.lit(section).alias("section"), label.alias("label"), F.inline(F.array(*entries))
     )
 
 
-def _long(section: str, df: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    return _report_rows(section, df, [F.col(k) for k in keys], {v: v for v in values})
+def _one_row(df: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
+    """Long form of a one-row table whose columns belong to several sections."""
+    entries = [
+        F.struct(
+            F.lit(section).alias("section"),
+            F.lit("all").alias("label"),
+            F.lit(v).alias("metric"),
+            F.col(v).cast("double").alias("value"),
+        )
+        for section, values in sections.items()
+        for v in values
+    ]
+    return df.select(F.inline(F.array(*entries)))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -77,55 +87,97 @@ SAMPLE_PAIRS = {
 }
 
 
-def sample_pairs(products: DataFrame) -> DataFrame:
-    """Row counts of the sample (category, brand) pairs, in one pass."""
+def sample_pairs(products: DataFrame, rows: Column | None = None) -> DataFrame:
+    """Row counts of the sample (category, brand) pairs, in one pass.
+
+    ``rows`` is the number of products a row stands for, when the input is already counted.
+    """
+    rows = F.lit(1) if rows is None else rows
     hits = products.agg(
         *[
-            F.count_if((F.col("category_id") == c) & (F.col("brand_id") == b)).alias(name)
+            F.coalesce(
+                F.sum(F.when((F.col("category_id") == c) & (F.col("brand_id") == b), rows)),
+                F.lit(0),
+            ).alias(name)
             for name, (c, b) in SAMPLE_PAIRS.items()
         ]
     )
     entries = [
-        F.struct(F.lit(n).alias("sample_name"), F.col(n).alias("row_count")) for n in SAMPLE_PAIRS
+        F.struct(F.lit(n).alias("sample_name"), F.col(n).cast("long").alias("row_count"))
+        for n in SAMPLE_PAIRS
     ]
     return hits.select(F.inline(F.array(*entries)))
 
 
 def product_report(products: DataFrame, now: str) -> DataFrame:
-    """The whole product distribution as one long table (section, label, metric, value)."""
-    at = F.lit(now).cast("timestamp_ntz")
-    total = products.agg(F.count(F.lit(1)).alias("row_count"))
-    parts = [_long("total", total, [], "row_count")]
-    distinct = distinct_counts(products, "category_id", "brand_id", "seller_id")
-    parts.append(_long("distinct", distinct, [], *distinct.columns))
-    parts.append(
-        _long("status", group_counts(products, "status", digits=2), ["status"],
-              "row_count", "percentage")
+    """The whole product distribution as one long table (section, label, metric, value).
+
+    The products are read three times, whatever the number of sections. Everything about
+    seller, category and brand comes from one count per (seller, category, brand), whose
+    shuffle all those sections share. The status and bucket sections come from one pass that
+    counts several labels per row before it shuffles. The extremes are one global aggregate.
+    """
+    base = products.groupBy("seller_id", "category_id", "brand_id").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    for keys in (["category_id"], ["brand_id"], ["seller_id"], ["category_id", "brand_id"]):
-        parts.append(
-            _long("top_" + "_".join(keys), top_groups(products, keys), keys,
-                  "row_count", "percentage")
-        )
+    total = base.agg(F.sum("n").alias("row_count"))
+    parts = [_long("total", total, [], "row_count")]
+
+    def rolled(keys: list[str]) -> DataFrame:
+        return base.groupBy(*keys).agg(F.sum("n").alias("row_count"))
+
+    # groups are counted by their row_count: a count that ignores it would let the optimizer
+    # drop the shared base and read the products again
+    for key in ("category_id", "brand_id", "seller_id"):
+        count = rolled([key]).agg(F.count("row_count").alias(f"{key}_count"))
+        parts.append(_long("distinct", count, [], f"{key}_count"))
     for keys in (["category_id", "brand_id"], ["seller_id", "category_id"]):
         name = "_".join(k.removesuffix("_id") for k in keys) + "_pairs"
-        parts.append(_long("pairs", pair_count(products, keys, name), [], name))
-    parts.append(_long("sample_pair", sample_pairs(products), ["sample_name"], "row_count"))
-    for section, bucket in (
-        ("price_bucket", price_bucket(F.col("price"))),
-        ("review_bucket", review_bucket(F.col("review_count"))),
-        ("created_at_bucket", age_bucket(F.col("created_at"), at)),
-    ):
-        counts = group_counts(products, bucket.alias("bucket"), digits=2)
-        parts.append(_long(section, counts, ["bucket"], "row_count", "percentage"))
-    rating = extremes(products, "rating")
-    parts.append(_long("rating", rating, [], *rating.columns))
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    times = extremes(products, "created_at", "updated_at")
-    seconds = times.select(
-        *[F.timestamp_diff("SECOND", epoch, F.col(c)).alias(c) for c in times.columns]
+        pairs = rolled(keys).agg(F.count("row_count").alias(name))
+        parts.append(_long("pairs", pairs, [], name))
+    for keys in (["category_id"], ["brand_id"], ["seller_id"], ["category_id", "brand_id"]):
+        top = (
+            rolled(keys)
+            .orderBy(F.col("row_count").desc(), *keys)
+            .limit(20)
+            .withColumn("percentage", share(F.col("row_count"), total.scalar(), 4))
+        )
+        parts.append(_long("top_" + "_".join(keys), top, keys, "row_count", "percentage"))
+    samples = sample_pairs(base, F.col("n"))
+    parts.append(_long("sample_pair", samples, ["sample_name"], "row_count"))
+
+    at = F.lit(now).cast("timestamp_ntz")
+    labels = {
+        "status": F.col("status"),
+        "price_bucket": price_bucket(F.col("price")),
+        "review_bucket": review_bucket(F.col("review_count")),
+        "created_at_bucket": age_bucket(F.col("created_at"), at),
+    }
+    tagged = products.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(s).alias("section"), c.alias("label"))
+                    for s, c in labels.items()
+                ]
+            )
+        )
     )
-    parts.append(_long("epoch_seconds", seconds, [], *seconds.columns))
+    counted = tagged.groupBy("section", "label").agg(F.count(F.lit(1)).alias("row_count"))
+    in_section = F.sum("row_count").over(Window.partitionBy("section"))
+    counted = counted.withColumn("percentage", share(F.col("row_count"), in_section, 2))
+    metrics = [
+        F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value"))
+        for v in ("row_count", "percentage")
+    ]
+    parts.append(counted.select("section", "label", F.inline(F.array(*metrics))))
+
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    times = ["created_at", "updated_at"]
+    ends = extremes(products, "rating", *times)
+    seconds = {c: F.timestamp_diff("SECOND", epoch, F.col(c)) for c in ends.columns if "_at" in c}
+    sections = {"rating": ["min_rating", "max_rating"], "epoch_seconds": list(seconds)}
+    parts.append(_one_row(ends.withColumns(seconds), sections))
     return _union(parts)
 
 
@@ -172,22 +224,41 @@ def top_options(
 
 
 def option_report(products: DataFrame, options: DataFrame) -> DataFrame:
-    """The whole option distribution as one long table (section, label, metric, value)."""
-    from shelfline.operators.validate import orphan_options, products_without_options
+    """The whole option distribution as one long table (section, label, metric, value).
 
-    def total(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name))
-
-    summary = fanout_summary(options)
+    All value sections roll up the counts of the at most 144 triples. The fan-out sections and
+    the comparison with the products share one count per product.
+    """
+    per_product = fanout(options)
+    triples = options.groupBy("color", "size", "stock_status").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    sides = (
+        products.select(F.col("id").alias("product_id"), F.lit(1).alias("known"))
+        .join(per_product, "product_id", "full")
+        .agg(
+            F.count("known").alias("product_count"),
+            F.coalesce(F.sum("options_per_product"), F.lit(0)).alias("option_count"),
+            F.count_if(F.col("options_per_product").isNull()).alias("without_options"),
+            F.coalesce(
+                F.sum(F.when(F.col("known").isNull(), F.col("options_per_product"))), F.lit(0)
+            ).alias("orphan_rows"),
+            F.count("options_per_product").alias("distinct_product_ids"),
+            F.min("options_per_product").alias("min_options_per_product"),
+            F.round(F.avg("options_per_product"), 4).alias("avg_options_per_product"),
+            F.max("options_per_product").alias("max_options_per_product"),
+        )
+    )
+    sections = {
+        "total": ["product_count", "option_count"],
+        "join": ["without_options", "orphan_rows"],
+        "fanout": [c for c in sides.columns if c.endswith(("product_ids", "per_product"))],
+    }
+    histogram = group_counts(per_product, "options_per_product", digits=4, count="product_count")
     parts = [
-        _long("total", total(products, "product_count"), [], "product_count"),
-        _long("total", total(options, "option_count"), [], "option_count"),
-        _long("fanout", summary, [], *summary.columns),
-        _long("fanout_histogram", fanout_histogram(options), ["options_per_product"],
+        _one_row(sides, sections),
+        _long("fanout_histogram", histogram, ["options_per_product"],
               "product_count", "percentage"),
-        _long("join", total(products_without_options(products, options), "without_options"), [],
-              "without_options"),
-        _long("join", total(orphan_options(products, options), "orphan_rows"), [], "orphan_rows"),
     ]
     for keys in (
         ["color"],
@@ -196,6 +267,7 @@ def option_report(products: DataFrame, options: DataFrame) -> DataFrame:
         ["color", "size"],
         ["color", "size", "stock_status"],
     ):
-        counts = group_counts(options, *keys, digits=4)
+        counts = with_share(triples.groupBy(*keys).agg(F.sum("n").alias("row_count")),
+                            "row_count", 4)
         parts.append(_long("by_" + "_".join(keys), counts, keys, "row_count", "percentage"))
     return _union(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.columns import elapsed_ms, elapsed_s, ratio
+from shelfline.functions.columns import elapsed_ms, elapsed_s, one_row, ratio
 from shelfline.functions.quantiles import exact_quantiles
 from shelfline.operators.outbox import as_time
 from shelfline.sources.latency_log import STAGES
@@ -69,12 +69,6 @@ def retry_distribution(outbox: DataFrame) -> DataFrame:
     return outbox.groupBy("retry_count").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def _side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row tables as one row; no join is needed for that."""
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
-
-
 def lag_report(outbox: DataFrame, now: Column | str, **scope: str) -> DataFrame:
     """One row: status counts, oldest pending age and the lag quantiles of DONE events."""
     rows = scoped(outbox, **scope)
@@ -82,7 +76,7 @@ def lag_report(outbox: DataFrame, now: Column | str, **scope: str) -> DataFrame:
     renamed = lag.select(
         *[F.col(c).alias(f"lag_{c}_ms" if c != "n" else "lag_count") for c in lag.columns]
     )
-    return _side(status_counts(rows, now), renamed)
+    return one_row(status_counts(rows, now), renamed)
 
 
 def lag_report_json(outbox: DataFrame, now: Column | str, **scope: str) -> DataFrame:
@@ -90,7 +84,7 @@ def lag_report_json(outbox: DataFrame, now: Column | str, **scope: str) -> DataF
     retries = retry_distribution(scoped(outbox, **scope)).agg(
         F.array_sort(F.collect_list(F.struct("retry_count", "event_count"))).alias("retries")
     )
-    both = _side(lag_report(outbox, now, **scope), retries)
+    both = one_row(lag_report(outbox, now, **scope), retries)
     counts = [c for c in both.columns if c.endswith("_count") or c.startswith("oldest")]
     lags = [c for c in both.columns if c.startswith("lag_")]
     return both.select(
@@ -265,15 +259,29 @@ def relay_run_rollup(runs: DataFrame) -> DataFrame:
         F.sum("batch_attempts").alias("batch_attempts"),
         F.sum("processed_rows").alias("processed_rows"),
     )
-    rows = exact_quantiles(labelled, "processed_rows", {"p50": 0.5, "p95": 0.95}, by)
-    duration = exact_quantiles(labelled, "duration_ms", {"p95": 0.95}, by)
-    return (
-        totals.join(
-            rows.select(*by, F.round("p50", 3).alias("claim_rows_p50"),
-                        F.round("p95", 3).alias("claim_rows_p95")), by
-        )
-        .join(duration.select(*by, F.round("p95", 3).alias("duration_p95_ms")), by)
+    measures = {"claim_rows": "processed_rows", "duration": "duration_ms"}
+    long = labelled.select(
+        *by,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("v"))
+                    for m, c in measures.items()
+                ]
+            )
+        ),
+    )
+    stats = exact_quantiles(long, "v", {"p50": 0.5, "p95": 0.95}, [*by, "measure"])
+
+    def stat(measure, name):
+        return F.round(F.max(F.when(F.col("measure") == measure, F.col(name))), 3)
+
+    wide = stats.groupBy(*by).agg(
+        stat("claim_rows", "p50").alias("claim_rows_p50"),
+        stat("claim_rows", "p95").alias("claim_rows_p95"),
+        stat("duration", "p95").alias("duration_p95_ms"),
     )
+    return totals.join(wide, by)
 
 
 def empty_run_ratio(rollup: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import distinct_from, has_delimiter
@@ -33,16 +33,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def count_by_label(parts: dict[str, DataFrame]) -> DataFrame:
-    """(check_name, n) of several tables, each counted on its own."""
-    return _union(
-        [
-            df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
-            for name, df in parts.items()
-        ]
-    )
-
-
 def products_without_options(products: DataFrame, options: DataFrame) -> DataFrame:
     owners = options.select(F.col("product_id").alias("id")).distinct()
     return products.join(owners, "id", "left_anti")
@@ -142,48 +132,102 @@ def signature_integrity(table: DataFrame) -> DataFrame:
     )
 
 
+#: Checks of the read model: name -> condition on a row of :func:`read_model_rows`.
+CHECKS = {
+    "products_without_options": lambda: F.col("known") & F.col("source_signature_count").isNull(),
+    "missing_from_read": lambda: F.col("known") & ~F.col("read"),
+    "missing_though_it_has_options": lambda: F.col("known")
+    & ~F.col("read")
+    & F.col("source_signature_count").isNotNull(),
+    "extra_in_read": lambda: F.col("read") & ~F.col("known"),
+    "signature_count_mismatch": lambda: F.col("read")
+    & (F.col("source_signature_count") != F.col("read_signature_count")),
+    "api_field_mismatch": lambda: F.col("known") & F.col("read") & F.col("fields_differ"),
+    "null_or_empty_signatures": lambda: F.col("read")
+    & (F.coalesce("read_signature_count", F.lit(0)) == 0),
+    "delimiter_collision": lambda: F.coalesce("has_delimiter", F.lit(False)),
+}
+#: Checks that describe the data; they do not fail the read model.
+INFORMATIVE = ["products_without_options", "missing_from_read"]
+
+
+def read_model_rows(products: DataFrame, options: DataFrame, table: DataFrame) -> DataFrame:
+    """One row per id known to products, options or read table, with all that is checked.
+
+    Each table is read once; options collapse to one row per product before they move.
+    """
+    source = products.select(
+        "id", F.lit(True).alias("is_product"), *[F.col(f).alias(f"p_{f}") for f in API_FIELDS]
+    )
+    triple = F.struct("color", "size", "stock_status")
+    complete = F.when(
+        F.col("color").isNotNull() & F.col("size").isNotNull() & F.col("stock_status").isNotNull(),
+        triple,
+    )
+    owned = options.groupBy(F.col("product_id").alias("id")).agg(
+        F.nullif(F.size(F.collect_set(complete)), F.lit(0)).alias("source_signature_count"),
+        F.bool_or(has_delimiter("color", "size", "stock_status")).alias("has_delimiter"),
+    )
+    read = table.select(
+        F.col("product_id").alias("id"),
+        F.lit(True).alias("is_read"),
+        F.size("option_signatures").alias("read_signature_count"),
+        *[F.col(f).alias(f"r_{f}") for f in API_FIELDS],
+    )
+    differs = [distinct_from(F.col(f"p_{f}"), F.col(f"r_{f}")) for f in API_FIELDS]
+    return (
+        source.join(owned, "id", "full")
+        .join(read, "id", "full")
+        .select(
+            "id",
+            F.col("is_product").isNotNull().alias("known"),
+            F.col("is_read").isNotNull().alias("read"),
+            "source_signature_count",
+            "read_signature_count",
+            "has_delimiter",
+            reduce(lambda a, b: a | b, differs).alias("fields_differ"),
+        )
+    )
+
+
 def validate_read_model(
     products: DataFrame, options: DataFrame, table: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """(report, examples) of the signature table.
 
-    The report has one row per check with its value and whether it passes. Products without
-    options have no row in the table, so the row counts may only differ by them. Examples show
-    up to 50 ids per failing check.
+    The report has one row per check with its value and whether it passes; all checks are
+    aggregates of one joined pass. Examples show up to 50 ids per check with findings; the
+    limit is applied in every task before rows move.
     """
-    read_ids = table.select(F.col("product_id").alias("id"))
-    missing, extra = id_set_diff(products, read_ids)
-    bare = products_without_options(products, options).select("id")
-    unexplained = missing.join(bare, "id", "left_anti")
-    counts = signature_count_mismatches(options, table).select(F.col("product_id").alias("id"))
-    fields = api_field_mismatches(products, table).select(F.col("product_id").alias("id"))
-    found = {
-        "products_without_options": bare,
-        "missing_from_read": missing,
-        "missing_though_it_has_options": unexplained,
-        "extra_in_read": extra,
-        "signature_count_mismatch": counts,
-        "api_field_mismatch": fields,
-        "null_or_empty_signatures": table.where(
-            F.col("option_signatures").isNull() | (F.size("option_signatures") == 0)
-        ).select(F.col("product_id").alias("id")),
-        "delimiter_collision": options.where(
-            has_delimiter("color", "size", "stock_status")
-        ).select(F.col("product_id").alias("id")),
-    }
-    informative = F.col("check_name").isin("products_without_options", "missing_from_read")
-    report = count_by_label(found).select(
-        "check_name", F.col("n").alias("value"), ((F.col("n") == 0) | informative).alias("passes")
-    )
-    sizes = count_by_label({"products": products, "read_table": table})
-    matched = sizes.agg(
-        F.max(F.when(F.col("check_name") == "read_table", F.col("n"))).alias("value"),
-        (F.min("n") == F.max("n")).alias("passes"),
-    ).select(F.lit("row_count_match").alias("check_name"), "value", "passes")
-    examples = _union(
-        [
-            df.orderBy("id").limit(EXAMPLES).select(F.lit(name).alias("check_name"), "id")
-            for name, df in found.items()
-        ]
+    rows = read_model_rows(products, options, table)
+    found = {name: F.coalesce(test(), F.lit(False)) for name, test in CHECKS.items()}
+    sums = rows.agg(
+        *[F.count_if(test).alias(name) for name, test in found.items()],
+        F.count_if("known").alias("_products"),
+        F.count_if("read").alias("_read"),
+    )
+    entries = [
+        F.struct(
+            F.lit(name).alias("check_name"),
+            F.col(name).alias("value"),
+            (F.lit(name in INFORMATIVE) | (F.col(name) == 0)).alias("passes"),
+        )
+        for name in found
+    ]
+    size_match = F.struct(
+        F.lit("row_count_match").alias("check_name"),
+        F.col("_read").alias("value"),
+        (F.col("_read") == F.col("_products")).alias("passes"),
+    )
+    report = sums.select(F.inline(F.array(*entries, size_match)))
+    failing = F.array_compact(
+        F.array(*[F.when(test, F.lit(name)) for name, test in found.items()])
+    )
+    place = F.row_number().over(Window.partitionBy("check_name").orderBy("id"))
+    examples = (
+        rows.select("id", F.explode(failing).alias("check_name"))
+        .withColumn("place", place)
+        .where(F.col("place") <= EXAMPLES)
+        .select("check_name", "id")
     )
-    return report.unionByName(matched), examples
+    return report, examples

@@ -16,7 +16,7 @@ from shelfline.sources import latency_log
 from shelfline.sources import star_schema as star
 from shelfline.sources.snapshots import apply_changes
 from shelfline.streaming import backfill as bf
-from shelfline.streaming import relay
+from shelfline.streaming import lease, relay
 
 NOW = "2024-02-01 00:00:00"
 LEASE_MS = 86_400_000
@@ -821,3 +821,74 @@ add(
             FROM outbox GROUP BY ALL"""
     ),
 )
+
+
+#: Actions per kind of event, (kind, seconds after creation, action, worker), with the outcome
+#: the lease and token rules give them: (accepted, status afterwards, retries afterwards).
+LIFECYCLES = [
+    ((0, 0, "enqueue", "app"), (True, "PENDING", 0)),
+    ((0, 1, "claim", "a"), (True, "PROCESSING", 0)),
+    ((0, 30, "claim", "b"), (False, "PROCESSING", 0)),
+    ((0, 120, "claim", "b"), (True, "PROCESSING", 0)),
+    ((0, 121, "done", "a"), (False, "PROCESSING", 0)),
+    ((0, 180, "done", "b"), (True, "DONE", 0)),
+    ((1, 0, "enqueue", "app"), (True, "PENDING", 0)),
+    ((1, 1, "claim", "a"), (True, "PROCESSING", 0)),
+    ((1, 2, "retry", "a"), (True, "PENDING", 1)),
+    ((1, 3, "claim", "c"), (False, "PENDING", 1)),
+    ((1, 20, "claim", "c"), (True, "PROCESSING", 1)),
+    ((1, 21, "failed", "c"), (True, "FAILED", 2)),
+    ((2, 0, "enqueue", "app"), (True, "PENDING", 0)),
+    ((2, 1, "claim", "a"), (True, "PROCESSING", 0)),
+    ((2, 2, "done", "a"), (True, "DONE", 0)),
+]
+
+
+def _actions(events):
+    """The actions on every event; the kind is 0 or 1 for two in five events, else 2."""
+    kind = F.least(F.col("event_id") % 5, F.lit(2))
+    entries = [
+        F.struct(
+            F.lit(k).alias("kind"),
+            F.lit(seconds).alias("seconds"),
+            F.lit(action).alias("action"),
+            F.lit(worker).alias("worker"),
+        )
+        for (k, seconds, action, worker), _ in LIFECYCLES
+    ]
+    exploded = events.select("event_id", "ts", kind.alias("of"), F.inline(F.array(*entries)))
+    return exploded.where("kind = of").select(
+        "event_id",
+        F.timestamp_add("SECOND", F.col("seconds"), F.col("ts").cast("timestamp")).alias("at"),
+        "action",
+        "worker",
+        F.concat("worker", F.lit("-"), "event_id").alias("token"),
+    )
+
+
+def _stream_lifecycle(spark, sf):
+    raw = relay.outbox_stream(
+        spark, sf, star.table(spark, sf, "events").schema, glob="events.parquet"
+    )
+    path = shared_dir(spark, "lifecycle")
+    query = lease.run_lifecycle(
+        _actions(raw), ob.RelayConfig(), path, shared_dir(spark, "lifecycle-checkpoint")
+    )
+    query.awaitTermination()
+    return spark.read.schema(lease.OUTCOMES).parquet(path).select(
+        "event_id", "action", "worker", "accepted", "status", "retry_count",
+        F.col("at").cast("timestamp_ntz").alias("at"),
+    )
+
+
+add(
+    "stream_lifecycle",
+    _stream_lifecycle,
+    """SELECT event_id, action, worker, accepted, status, CAST(retries AS INTEGER) AS retry_count,
+              ts + to_seconds(seconds) AS at
+       FROM events JOIN (VALUES """
+    + ", ".join(f"({k}, {sec}, '{a}', '{w}', {ok}, '{st}', {n})"
+                for (k, sec, a, w), (ok, st, n) in LIFECYCLES)
+    + """) v(kind, seconds, action, worker, accepted, status, retries)
+       ON v.kind = least(event_id % 5, 2)""",
+)

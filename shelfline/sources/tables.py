@@ -68,7 +68,7 @@ def resolve_profile(products_table: str, options_table: str | None = None) -> Pr
     A products table of one profile together with an options table of another is refused.
     """
     for profile in PROFILES.values():
-        if products_table not in (profile.name, simple_or_none(profile.products_table)):
+        if products_table not in (profile.name, profile.products_table):
             continue
         if options_table is not None and options_table != profile.options_table:
             raise ValueError(f"{options_table!r} does not belong to profile {profile.name!r}")
@@ -77,10 +77,6 @@ def resolve_profile(products_table: str, options_table: str | None = None) -> Pr
     raise ValueError(f"unknown profile or table: {products_table!r}")
 
 
-def simple_or_none(name: str) -> str | None:
-    return name if _IDENTIFIER.match(name) else None
-
-
 def load_profile(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFrame]:
     profile = resolve_profile(name)
     return (
@@ -92,5 +88,6 @@ def load_profile(spark: SparkSession, root: str, name: str) -> tuple[DataFrame,
 def set_active(spark: SparkSession, root: str, name: str) -> Profile:
     """Points the view ``products_active`` at the products of one profile."""
     profile = resolve_profile(name)
-    load_profile(spark, root, name)[0].createOrReplaceTempView(ACTIVE_VIEW)
+    path = os.path.join(root, profile.products_table)
+    products(spark, path).createOrReplaceTempView(ACTIVE_VIEW)
     return profile

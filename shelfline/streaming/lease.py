@@ -1,0 +1,131 @@
+"""Claim and result actions on outbox events as a stateful stream.
+
+The same rules as the batch functions, kept per event: a claim needs a due PENDING event or an
+expired lease, a result needs the token of the current claim. State is one small row per event.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from shelfline.operators.outbox import RelayConfig
+
+#: Input: one action on one event.
+ACTIONS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("action", T.StringType()),  # enqueue, claim, done, retry, failed
+        T.StructField("worker", T.StringType()),
+        T.StructField("token", T.StringType()),
+    ]
+)
+#: Output: what became of the action.
+OUTCOMES = T.StructType(
+    [
+        *ACTIONS.fields,
+        T.StructField("accepted", T.BooleanType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("retry_count", T.IntegerType()),
+    ]
+)
+_STATE = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("token", T.StringType()),
+        T.StructField("retry_count", T.IntegerType()),
+        T.StructField("updated_at", T.TimestampType()),
+        T.StructField("next_retry_at", T.TimestampType()),
+    ]
+)
+#: Order of actions that carry the same time.
+_RANK = {"enqueue": 0, "done": 1, "retry": 2, "failed": 3, "claim": 4}
+
+
+class EventLifecycle(StatefulProcessor):
+    def __init__(self, config: RelayConfig):
+        self.lease = pd.Timedelta(milliseconds=config.processing_timeout_ms)
+        self.delay = pd.Timedelta(milliseconds=config.retry_delay_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("event", _STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["rank"] = batch["action"].map(_RANK)
+        batch = batch.sort_values(["at", "rank"], kind="stable").drop(columns="rank")
+        state = self.state.get() if self.state.exists() else None
+        outcomes = []
+        for row in batch.itertuples(index=False):
+            changed = self._apply(state, row)
+            state = changed or state
+            status, retries = (state[0], state[2]) if state else (None, None)
+            outcomes.append((*row, changed is not None, status, retries))
+        if state is not None:
+            self.state.update(state)
+        yield pd.DataFrame(outcomes, columns=OUTCOMES.names)
+
+    def _apply(self, state, row):
+        """The state after an action, or None when the action is refused."""
+        if row.action == "enqueue":
+            return ("PENDING", None, 0, row.at, None) if state is None else None
+        if state is None:
+            return None
+        status, token, retries, updated_at, next_retry_at = state
+        if row.action == "claim":
+            due = status == "PENDING" and (next_retry_at is None or next_retry_at <= row.at)
+            expired = status == "PROCESSING" and updated_at <= row.at - self.lease
+            return ("PROCESSING", row.token, retries, row.at, None) if due or expired else None
+        if status != "PROCESSING" or token != row.token:
+            return None
+        if row.action == "done":
+            return ("DONE", None, retries, row.at, None)
+        if row.action == "retry":
+            return ("PENDING", None, retries + 1, row.at, row.at + self.delay)
+        return ("FAILED", None, retries + 1, row.at, None)
+
+    def close(self) -> None:
+        pass
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_lifecycle(
+    actions: DataFrame, config: RelayConfig, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Writes the outcomes of the actions that are there to Parquet files below ``path``.
+
+    The state store provider is set for this query only: a query keeps the one it started with.
+    """
+    spark = actions.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            lifecycle(actions, config)
+            .writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def lifecycle(actions: DataFrame, config: RelayConfig) -> DataFrame:
+    """Outcomes of a stream of actions; needs the RocksDB state store provider."""
+    return actions.groupBy("event_id").transformWithStateInPandas(
+        EventLifecycle(config), OUTCOMES, "append", "none"
+    )

@@ -55,13 +55,13 @@ def apply_decisions(
     others are not affected.
     """
     products, options = source.products(), source.options()
-    empty = decisions.select("aggregate_id", F.lit("").alias("error")).limit(0)
-    failures = empty
+    failures = decisions.select("aggregate_id", F.lit("").alias("error")).limit(0)
     if reject is not None:
         refused = products.where(reject).select(F.col("id").alias("aggregate_id"))
-        wanted = decisions.where("operation = 'upsert'")
-        failures = wanted.join(refused, "aggregate_id", "left_semi").select(
-            "aggregate_id", F.lit("document rejected").alias("error")
+        failures = (
+            decisions.where("operation = 'upsert'")
+            .join(refused, "aggregate_id", "left_semi")
+            .select("aggregate_id", F.lit("document rejected").alias("error"))
         )
         decisions = decisions.join(failures, "aggregate_id", "left_anti")
     upserts, deletes = ob.relay_changes(decisions, products, options, now)
@@ -104,11 +104,16 @@ def relay_batch(
     else:
         decisions = ob.decide_latest(ob.group_by_product(held), products)
     at = F.lit(now).cast("timestamp_ntz")
-    failures = apply_decisions(decisions, source, docs, at, batch=token, reject=reject)
-    results = ob.results_for(
-        held, failures if reject is not None else None, config.max_retry_count
-    )
-    outbox.apply_changes(ob.transition(table, results, now, config.retry_delay_ms), None)
+    decisions = decisions.persist()
+    try:
+        failures = apply_decisions(decisions, source, docs, at, batch=token, reject=reject)
+        results = ob.results_for(
+            held, failures if reject is not None else None, config.max_retry_count
+        )
+        changes = ob.transition(table, results, now, config.retry_delay_ms)
+        outbox.apply_changes(changes, None, keys=held.select("id"))
+    finally:
+        decisions.unpersist()
     return count
 
 
