@@ -45,7 +45,7 @@ def exact_quantiles(
 
     ``probs`` maps output names to probabilities. Continuous quantiles interpolate between the
     two neighbours; discrete ones take the nearest rank. Null values are ignored; with no group
-    columns an empty input gives no row.
+    columns an empty input gives one row of nulls.
     """
     by = by or []
     rows = df.where(F.col(value).isNotNull()).select(

@@ -50,19 +50,28 @@ def signature_table(
     )
 
 
+def compact_options(options: DataFrame) -> DataFrame:
+    """Options with equal triples of a product counted: (id of the first, triple, copies).
+
+    Every search path may use this table in place of the options. It holds at most 144 rows per
+    product, so it can be bucketed by product id without a bucket growing with one hot product.
+    """
+    first = F.min("id") if "id" in options.columns else F.lit(0).cast("long")
+    return options.groupBy("product_id", *TRIPLE).agg(
+        F.count(F.lit(1)).alias("copies"), first.alias("id")
+    )
+
+
 def nested_options(options: DataFrame) -> DataFrame:
     """(product_id, options): one entry per different triple, in order of first appearance.
 
     Equal triples are counted in ``copies`` instead of being repeated. That keeps the multiset
     whole while the array stays within the 144 possible triples, however many rows a product
-    owns; counting happens map-side before the first shuffle.
+    owns; counting happens map-side before the first shuffle. Options that are compact already
+    are not counted again.
     """
-    first = F.min("id") if "id" in options.columns else F.lit(0)
-    counted = options.groupBy("product_id", *TRIPLE).agg(
-        F.count(F.lit(1)).alias("copies"), first.alias("first_id")
-    )
-    entry = F.struct("first_id", *TRIPLE, "copies")
-    ordered = F.array_sort(F.collect_list(entry))
+    counted = options if "copies" in options.columns else compact_options(options)
+    ordered = F.array_sort(F.collect_list(F.struct("id", *TRIPLE, "copies")))
     return counted.groupBy("product_id").agg(
         F.transform(
             ordered, lambda o: F.struct(*[o[c].alias(c) for c in [*TRIPLE, "copies"]])

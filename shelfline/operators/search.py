@@ -81,11 +81,16 @@ def matches_signatures(table: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def same_option(spec: SearchSpec, options: str = "options") -> Column | None:
-    """All option filters hold in ONE option of the document."""
+    """All option filters hold in ONE option of the document.
+
+    The cheap per-field tests come first: they run in generated code and discard most documents
+    before the lambda looks at the options one by one. With one filter they are all it takes.
+    """
     wanted = spec.option_filters
-    if not wanted:
-        return None
-    return F.exists(options, lambda o: _all([o[c] == v for c, v in wanted.items()]))
+    if len(wanted) < 2:
+        return any_option_each(spec, options)
+    together = F.exists(options, lambda o: _all([o[c] == v for c, v in wanted.items()]))
+    return any_option_each(spec, options) & together
 
 
 def any_option_each(spec: SearchSpec, options: str = "options") -> Column | None:

@@ -892,3 +892,98 @@ add(
     + """) v(kind, seconds, action, worker, accepted, status, retries)
        ON v.kind = least(event_id % 5, 2)""",
 )
+
+
+# ---- windows, drained relay, alias switch --------------------------------------------------
+
+
+def _windows(spark, sf):
+    """The backfill windows of all products, summed up."""
+    from shelfline.operators.paging import id_windows
+
+    ids = star.products(spark, sf).select("id")
+    planned = spark.createDataFrame(id_windows(ids, 1_000), "lo long, hi long, n long")
+    return planned.agg(
+        F.sum("n").alias("covered_rows"),
+        F.min("lo").alias("lowest_id"),
+        F.max("hi").alias("highest_id"),
+        F.count_if(F.col("n") > 1_000).alias("oversized"),
+    )
+
+
+add(
+    "backfill_windows",
+    _windows,
+    q.with_relations(
+        """SELECT count(*) AS covered_rows, min(id) AS lowest_id, max(id) AS highest_id,
+                  CAST(0 AS BIGINT) AS oversized FROM products""",
+        "products",
+    ),
+)
+_DRAIN = ob.RelayConfig(
+    enabled=True, batch_size=400, max_drain_rounds=2, processing_timeout_ms=LEASE_MS
+)
+
+
+def _relay_drain(spark, sf):
+    """One scheduler run of two rounds over the outbox; statuses afterwards."""
+    table = star.outbox(spark, sf)
+    events = relay.outbox_store(spark, shared_dir(spark, "outbox"), table, 4_000)
+    events.replace(table)
+    relay.drain_outbox(events, _old_store(spark, sf), _source(spark, sf), NOW, _DRAIN)
+    return events.read().groupBy("status").agg(
+        F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id")
+    )
+
+
+add(
+    "relay_drain",
+    _relay_drain,
+    _outbox(
+        f""", taken AS (SELECT id FROM outbox WHERE {_ELIGIBLE_SQL} ORDER BY id
+                       LIMIT {_DRAIN.batch_size * _DRAIN.max_drain_rounds})
+        SELECT CASE WHEN id IN (SELECT id FROM taken) THEN 'DONE' ELSE status END AS status,
+               count(*) AS events, max(id) AS last_id FROM outbox GROUP BY ALL"""
+    ),
+)
+
+
+def _alias_switch(spark, sf):
+    """Content behind the read name: at first, after the switch, after the rollback."""
+    from shelfline.operators import readmodels
+
+    products, options = tables(spark, sf)
+    store = _old_store(spark, sf)
+    fresh = store.replace(readmodels.documents(products, options, refreshed_at()), "write")
+
+    def seen(stage):
+        return store.read().agg(
+            F.count(F.lit(1)).alias("documents"),
+            F.count_if(F.col("status") == "ACTIVE").alias("active"),
+            F.sum("price").alias("price_sum"),
+        ).select(F.lit(stage).alias("stage"), "*")
+
+    stages = seen("before")
+    store.switch(fresh, "read", "current")
+    stages = stages.unionByName(seen("switched"))
+    store.rollback()
+    return stages.unionByName(seen("rolled_back"))
+
+
+add(
+    "alias_switch_rollback",
+    _alias_switch,
+    q.with_relations(
+        " UNION ALL ".join(
+            f"""SELECT '{stage}' AS stage, count(*) AS documents,
+                       count(*) FILTER (WHERE status = 'ACTIVE') AS active,
+                       CAST(sum(price) AS BIGINT) AS price_sum FROM {source}"""
+            for stage, source in (
+                ("before", "old_products"), ("switched", "products"),
+                ("rolled_back", "old_products"),
+            )
+        ),
+        "products",
+        old_products=AS_CREATED_SQL,
+    ),
+)

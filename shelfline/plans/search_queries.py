@@ -157,6 +157,20 @@ for _name, _spec in {**KEYSET_SET, "b3": B3}.items():
         PATH_SQL["exists"](_spec),
     )
 
+for _name, _spec in {"k1": KEYSET_SET["k1"], "k3": KEYSET_SET["k3"]}.items():
+    add(
+        f"{_name}_cursor",
+        lambda s, sf, spec=_spec: paging.cursor_row(
+            search.matches_exists(*tables(s, sf), spec), spec, spec.offset
+        ),
+        q.with_relations(
+            f"""SELECT max({_spec.sort_keys()[0]}) AS cursor_key, max(id) AS cursor_id
+                FROM ({q.page_of(q.exists_rows(_spec), _spec.at(limit=1, offset=_spec.offset - 1))})""",
+            "products",
+            "options",
+        ),
+    )
+
 # Equivalence of the offset and the keyset page, and of source and read-table pages.
 
 

@@ -42,9 +42,22 @@ def write_layout(df: DataFrame, layout: Layout, path: str, files: int | None = N
     arranged(df, layout, files).write.mode("overwrite").parquet(path)
 
 
-def write_bucketed(df: DataFrame, key: str, buckets: int, table: str) -> None:
-    """A bucketed and sorted table; joins on ``key`` of two such tables need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(
+    df: DataFrame, key: str, buckets: int, table: str, path: str | None = None
+) -> None:
+    """A bucketed and sorted table; joins on ``key`` of two such tables need no shuffle.
+
+    Rows are hashed to their bucket first, so every bucket is written by one task as one file.
+    """
+    writer = (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+    )
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def write_chunked(df: DataFrame, path: str, files: int | None = None) -> None:
