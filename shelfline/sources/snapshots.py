@@ -1,9 +1,9 @@
 """Versioned snapshots of a keyed table on plain Parquet.
 
 Rows live in id-range buckets, so a bucket holds at most ``bucket_width`` rows whatever the key
-distribution. A version is a small table bucket -> folder; a change writes new folders for the
+distribution. A version is a small map bucket -> folder; a change writes new folders for the
 touched buckets only and shares the others with the version before. Names (``read``,
-``current``, ``write``) point at versions; one appended row re-points any number of names at
+``current``, ``write``) point at versions; one appended line re-points any number of names at
 once, and is written last, so a crash at any earlier moment leaves the old state in force.
 
 One writer owns a store. Readers see the version their name points at.
@@ -11,6 +11,8 @@ One writer owns a store. Readers see the version their name points at.
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,8 +20,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VERSION = "version long, bucket long, folder string"
-_POINTER = "seq long, names map<string,long>, action string, batch string"
+
+
+@dataclass(frozen=True)
+class Pointer:
+    """What the names point at from here on."""
+
+    seq: int
+    names: dict[str, int]
+    action: str
+    batch: str | None = None
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One line of text as a one-file folder; what a crashed attempt left there is replaced."""
+    line = spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
+    line.write.mode("overwrite").text(path)
+
+
+def get_lines(spark: SparkSession, path: str) -> list[str]:
+    """All lines of the folders that match ``path``; none if there is no such folder."""
+    try:
+        return [r.value for r in spark.read.text(path).collect()]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
 
 
 def id_bucket(width: int, key: str = "id") -> Column:
@@ -42,7 +68,7 @@ class SnapshotStore:
         self.schema = schema
         self.key = key
         self.bucket_width = bucket_width
-        self._pointers: list | None = None
+        self._pointers: list[Pointer] | None = None
         self._manifests: dict[int, dict[int, str]] = {}
 
     # ---- names and versions -------------------------------------------------------------
@@ -59,14 +85,13 @@ class SnapshotStore:
             raise
         return True
 
-    def history(self) -> list:
-        """All pointer rows in order; read once, then kept by this single writer."""
+    def history(self) -> list[Pointer]:
+        """All pointers in order; read once, then kept up by this single writer."""
         if self._pointers is None:
-            if not self._exists(self._dir("pointers")):
-                self._pointers = []
-            else:
-                rows = self.spark.read.schema(_POINTER).json(self._dir("pointers", "*"))
-                self._pointers = sorted(rows.collect(), key=lambda r: r.seq)
+            lines = get_lines(self.spark, self._dir("pointers", "*"))
+            self._pointers = sorted(
+                (Pointer(**json.loads(line)) for line in lines), key=lambda p: p.seq
+            )
         return self._pointers
 
     def refresh(self) -> "SnapshotStore":
@@ -78,10 +103,10 @@ class SnapshotStore:
         return dict(history[-1].names) if history else {}
 
     def _point(self, names: dict[str, int], action: str, batch: str | None = None) -> None:
-        seq = len(self.history()) + 1
-        row = self.spark.createDataFrame([(seq, names, action, batch)], _POINTER).coalesce(1)
-        row.write.json(self._dir("pointers", f"seq={seq:09d}"))
-        self._pointers = None
+        pointer = Pointer(len(self.history()) + 1, names, action, batch)
+        text = json.dumps(asdict(pointer))
+        put_text(self.spark, self._dir("pointers", f"seq={pointer.seq:09d}"), text)
+        self._pointers = [*self.history(), pointer]
 
     def switch(self, version: int, *names: str) -> None:
         """Points the given names (default: all known and ``read``) at a version, at once."""
@@ -104,8 +129,8 @@ class SnapshotStore:
 
     def _folders(self, version: int) -> dict[int, str]:
         if version not in self._manifests:
-            rows = self.spark.read.schema(_VERSION).json(self._dir("versions", f"v{version:09d}"))
-            self._manifests[version] = {r.bucket: r.folder for r in rows.collect()}
+            (line,) = get_lines(self.spark, self._dir("versions", f"v{version:09d}"))
+            self._manifests[version] = {int(b): f for b, f in json.loads(line).items()}
         return self._manifests[version]
 
     def _load(self, folders: list[str]) -> DataFrame:
@@ -147,9 +172,7 @@ class SnapshotStore:
         return {r.bucket for r in found.collect()}
 
     def _commit(self, folders: dict[int, str], version: int) -> int:
-        rows = [(version, b, f) for b, f in sorted(folders.items())]
-        frame = self.spark.createDataFrame(rows, _VERSION).coalesce(1)
-        frame.write.json(self._dir("versions", f"v{version:09d}"))
+        put_text(self.spark, self._dir("versions", f"v{version:09d}"), json.dumps(folders))
         self._manifests[version] = folders
         return version
 

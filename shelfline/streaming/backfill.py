@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators.paging import id_windows
 from shelfline.operators.readmodels import documents
-from shelfline.sources.snapshots import SnapshotStore
+from shelfline.sources.snapshots import SnapshotStore, get_lines, put_text
 from shelfline.streaming.relay import Source
 
 
@@ -34,19 +33,14 @@ class CheckpointLog:
         self.root = root.rstrip("/")
 
     def last(self) -> Checkpoint | None:
-        try:
-            rows = self.spark.read.text(f"{self.root}/*").collect()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        found = [json.loads(r.value) for r in rows]
+        found = [json.loads(line) for line in get_lines(self.spark, f"{self.root}/*")]
+        if not found:
+            return None
         return Checkpoint(**max(found, key=lambda c: (c["batches"], c["status"] == "COMPLETED")))
 
     def write(self, checkpoint: Checkpoint) -> Checkpoint:
-        line = self.spark.createDataFrame([(json.dumps(asdict(checkpoint)),)], "value string")
         name = f"{checkpoint.batches:09d}-{checkpoint.status}"
-        line.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}")
+        put_text(self.spark, f"{self.root}/{name}", json.dumps(asdict(checkpoint)))
         return checkpoint
 
 
