@@ -2,7 +2,8 @@
 
 The built-in exact percentile keeps every different value of a group in one task. Here a
 histogram over value buckets finds the bucket of each wanted rank first; then only the values
-of those buckets are counted and ranked.
+of those buckets are counted and ranked. The histogram runs when the function is called, so that
+its few target buckets can be broadcast; the rest stays lazy.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfline.functions.small import checked
+
 #: Buckets per doubling of the value; a bucket spans about 0.3 % of it.
 BUCKETS_PER_OCTAVE = 256
 
@@ -83,6 +86,7 @@ def exact_quantiles(
     )
     keys = [*by, "bucket"]
     targets = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], "n", "max", "targets")
+    targets = checked(targets)
     same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
     inside = rows.join(targets, same, "inner").select(*keys, "v", "n", "max", "targets")
     counted = (

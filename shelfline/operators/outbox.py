@@ -189,15 +189,18 @@ def capture_summary(
 # ---- claim ---------------------------------------------------------------------------------
 
 
-def eligible(outbox: DataFrame, now: Column, lease_ms: int) -> DataFrame:
-    """Due PENDING rows, and PROCESSING rows whose last update is older than the lease."""
+def eligible(
+    outbox: DataFrame, now: Column, lease_ms: int, reclaim: bool = True
+) -> DataFrame:
+    """Due PENDING rows and, with ``reclaim``, PROCESSING rows that outlived their lease."""
     due = (F.col("status") == "PENDING") & (
         F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)
     )
     expired = (F.col("status") == "PROCESSING") & (
         F.col("updated_at") <= plus_ms(now, -lease_ms)
     )
-    return outbox.where((F.col("aggregate_type") == "PRODUCT") & (due | expired))
+    ready = (due | expired) if reclaim else due
+    return outbox.where((F.col("aggregate_type") == "PRODUCT") & ready)
 
 
 def lowest_ids(rows: DataFrame, n: int) -> DataFrame:
@@ -218,6 +221,7 @@ def claim(
     worker: str = RelayConfig.instance_id,
     token: str | None = None,
     after_id: int | None = None,
+    reclaim: bool = True,
 ) -> DataFrame:
     """The next batch in its claimed state; fold it into the outbox with ``merge_changes``.
 
@@ -225,7 +229,7 @@ def claim(
     """
     now = as_time(now, outbox)
     token = token or new_token()
-    rows = eligible(outbox, now, lease_ms)
+    rows = eligible(outbox, now, lease_ms, reclaim)
     if after_id is not None:
         rows = rows.where(F.col("id") > after_id)
     return lowest_ids(rows, batch_size).withColumns(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfline.operators.spec import RESULT_WINDOW, SearchSpec
 
-#: Up to this many leading rows a page is one top-k; beyond it rank selection takes over.
-TOP_K_LIMIT = 100_000
+#: Up to this many leading rows a page is one top-k, of which every task contributes as many
+#: rows; beyond it rank selection takes over and leaves at most ``DEEP_SKIP`` rows to skip.
+TOP_K_LIMIT = RESULT_WINDOW
+DEEP_SKIP = 1_000
 
 
 def page(rows: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -82,16 +84,15 @@ def deep_page(rows: DataFrame, spec: SearchSpec) -> DataFrame:
     """
     name, ascending = spec.sort_keys()
     key = _as_long(rows, name)
-    enough = TOP_K_LIMIT - spec.limit
-    start, before = narrow(rows, key, spec.offset, ascending, enough)
+    start, before = narrow(rows, key, spec.offset, ascending, DEEP_SKIP)
     if start is None:
         return rows.limit(0)
     lo, hi = start
     skip = spec.offset - before
     rest = rows.where(key >= lo if ascending else key <= hi)
-    if skip > enough:  # lo == hi: one key value holds more rows than a top-k should skip
+    if skip > DEEP_SKIP:  # lo == hi: one key value holds more rows than should be skipped
         tied = rows.where(key == lo)
-        (lo_id, hi_id), before_id = narrow(tied, F.col("id"), skip, ascending, enough)
+        (lo_id, hi_id), before_id = narrow(tied, F.col("id"), skip, ascending, DEEP_SKIP)
         skip -= before_id
         reached = F.col("id") >= lo_id if ascending else F.col("id") <= hi_id
         rest = rest.where(_beyond(key, lo, ascending) | reached)

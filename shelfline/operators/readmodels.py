@@ -105,15 +105,30 @@ def option_count(options: str = "options") -> Column:
     return F.aggregate(options, F.lit(0).cast("long"), lambda n, o: n + o["copies"])
 
 
+#: Most option objects that a written document lists one by one.
+NESTED_LIMIT = 10_000
+
+
 def expanded_options(options: str = "options") -> Column:
-    """The option list with every copy written out."""
-    return F.flatten(
+    """The option list with every copy written out, as (color, size, stockStatus, copies).
+
+    ``copies`` is null. A document with more than ``NESTED_LIMIT`` options keeps one entry per
+    triple instead and says in ``copies`` how many rows it stands for, so that a product with
+    any number of options is still one whole document.
+    """
+
+    def entry(o: Column, copies: Column) -> Column:
+        return F.struct(
+            o["color"].alias("color"),
+            o["size"].alias("size"),
+            o["stock_status"].alias("stockStatus"),
+            copies.cast("long").alias("copies"),
+        )
+
+    written_out = F.flatten(
         F.transform(
-            options,
-            lambda o: F.array_repeat(
-                F.struct(o["color"].alias("color"), o["size"].alias("size"),
-                         o["stock_status"].alias("stock_status")),
-                o["copies"].cast("int"),
-            ),
+            options, lambda o: F.array_repeat(entry(o, F.lit(None)), o["copies"].cast("int"))
         )
     )
+    counted = F.transform(options, lambda o: entry(o, o["copies"]))
+    return F.when(option_count(options) <= NESTED_LIMIT, written_out).otherwise(counted)

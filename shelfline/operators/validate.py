@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import distinct_from, has_delimiter
-from shelfline.operators.compare import id_set_diff
+from shelfline.functions.small import checked
 
 EXAMPLES = 50
 
@@ -41,7 +41,8 @@ def products_without_options(products: DataFrame, options: DataFrame) -> DataFra
 def orphan_options(products: DataFrame, options: DataFrame) -> DataFrame:
     """Option rows whose product does not exist.
 
-    Orphan product ids are found first, on distinct ids; rows are fetched by them afterwards.
+    Orphan product ids are found first, on distinct ids; rows are fetched by them afterwards,
+    without moving the options as long as few products are missing.
     """
     lost = (
         options.select(F.col("product_id").alias("id"))
@@ -49,7 +50,7 @@ def orphan_options(products: DataFrame, options: DataFrame) -> DataFrame:
         .join(products.select("id"), "id", "left_anti")
         .withColumnRenamed("id", "product_id")
     )
-    return options.join(lost, "product_id", "left_semi")
+    return options.join(checked(lost), "product_id", "left_semi")
 
 
 def source_signature_counts(options: DataFrame) -> DataFrame:

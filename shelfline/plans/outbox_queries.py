@@ -816,7 +816,8 @@ add(
     "catch_up_status",
     _catch_up,
     _outbox(
-        f"""SELECT CASE WHEN ({_ELIGIBLE_SQL}) AND id > (SELECT max(id) // 2 FROM outbox)
+        f"""SELECT CASE WHEN ({_ELIGIBLE_SQL}) AND status = 'PENDING'
+                             AND id > (SELECT max(id) // 2 FROM outbox)
                         THEN 'DONE' ELSE status END AS status, count(*) AS events
             FROM outbox GROUP BY ALL"""
     ),

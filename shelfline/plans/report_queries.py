@@ -118,6 +118,28 @@ def _json_roundtrip(spark, sf):
 add("documents_json_roundtrip", _json_roundtrip, q.with_relations(_FLAT_SQL, "document_rows"))
 
 
+def _json_rejects(spark, sf):
+    """Rejects of a folder whose DELETED documents lost their price."""
+    path = shared_dir(spark, "documents-json")
+    fields = documents_json.to_json_fields(
+        documents(spark, sf).withColumn("rating", F.col("rating").cast("decimal(3,2)"))
+    )
+    priced = F.when(F.col("status") != "DELETED", F.col("price"))
+    fields.withColumn("price", priced).write.json(path)
+    _, rejects = documents_json.read_documents(spark, path)
+    return rejects.select("reason", F.col("product_id").cast("long").alias("product_id"))
+
+
+add(
+    "documents_json_rejects",
+    _json_rejects,
+    _products(
+        """SELECT 'missing required field: price' AS reason, id AS product_id
+           FROM products WHERE status = 'DELETED'"""
+    ),
+)
+
+
 def _bulk(spark, sf):
     def field(name):
         return F.get_json_object("line", f"$.{name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfline import schemas
+from shelfline.functions.small import checked
 from shelfline.operators import paging, readmodels, search
 from shelfline.operators.compare import (
     compare_pages,
@@ -443,6 +444,18 @@ def _hinted(spark, sf, hint):
 for _hint in ("merge", "shuffle_hash"):
     add(f"join_hint_{_hint}", lambda s, sf, h=_hint: _hinted(s, sf, h), PATH_SQL["exists"](B2))
 
+
+
+def _checked_broadcast(spark, sf):
+    """The matching ids are broadcast if there are few enough of them."""
+    products, options = tables(spark, sf)
+    rows = search.filtered(products, B2.product_predicates()).select(*schemas.API_COLUMNS)
+    owners = checked(search.option_owners(options, B2))
+    return paging.with_position(paging.page(rows.join(owners, "id", "left_semi"), B2), B2)
+
+
+add("join_checked_broadcast", _checked_broadcast, PATH_SQL["exists"](B2))
+
 # Selectivity controls.
 
 SELECTIVITY_CASES = {

@@ -155,7 +155,14 @@ DOCUMENT_JSON = _struct("""
     updatedAt string?
     sourceUpdatedAt string?
     documentRefreshedAt string?
-""", options=T.ArrayType(_strings("color", "size", "stockStatus")))
+""", options=T.ArrayType(
+    T.StructType(
+        [
+            *_strings("color", "size", "stockStatus").fields,
+            T.StructField("copies", T.LongType()),  # only in documents too large to write out
+        ]
+    )
+))
 
 METRIC_SAMPLES = _struct("""
     ts timestamp

@@ -84,13 +84,23 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed json")), *missing, *unfit
     )
     judged = raw.withColumn("reason", reason)
+    triple = ["color", "size", "stockStatus"]
+
+    def only_triple(o):
+        return F.struct(*[o[c].alias(c) for c in triple])
+
+    def copies(t):
+        equal = F.filter("options", lambda o: only_triple(o).eqNullSafe(t))
+        ones = F.transform(equal, lambda o: F.coalesce(o["copies"], F.lit(1).cast("long")))
+        return F.aggregate(ones, F.lit(0).cast("long"), lambda n, one: n + one)
+
     counted = F.transform(
-        F.array_distinct("options"),
-        lambda o: F.struct(
-            o["color"].alias("color"),
-            o["size"].alias("size"),
-            o["stockStatus"].alias("stock_status"),
-            F.size(F.filter("options", lambda p: p.eqNullSafe(o))).cast("long").alias("copies"),
+        F.array_distinct(F.transform("options", only_triple)),
+        lambda t: F.struct(
+            t["color"].alias("color"),
+            t["size"].alias("size"),
+            t["stockStatus"].alias("stock_status"),
+            copies(t).alias("copies"),
         ),
     )
     docs = judged.where(F.col("reason").isNull()).select(
@@ -111,12 +121,7 @@ def to_json_fields(docs: DataFrame) -> DataFrame:
         (iso_text(F.col(snake)) if name.endswith("At") else F.col(snake)).alias(name)
         for name, snake in SNAKE.items()
     ]
-    options = F.transform(
-        expanded_options("options"),
-        lambda o: F.struct(o["color"].alias("color"), o["size"].alias("size"),
-                           o["stock_status"].alias("stockStatus")),
-    )
-    return docs.select(*camel, options.alias("options"))
+    return docs.select(*camel, expanded_options().alias("options"))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:

@@ -83,14 +83,15 @@ def relay_batch(
 ) -> int:
     """Claims, relays and finishes one batch; returns the number of claimed events.
 
-    ``after_id`` limits the batch to events above a high watermark; ``event_aware`` decides by
-    each product's last event instead of by its latest state only.
+    ``after_id`` limits the batch to events above a high watermark. ``event_aware`` is the mode
+    of a replay: each product's last event decides instead of its latest state only, and events
+    that another worker holds are left alone.
     """
     token = token or ob.new_token()
     table = outbox.read()
     claimed = ob.claim(
         table, now, config.batch_size, config.processing_timeout_ms, config.instance_id, token,
-        after_id,
+        after_id, reclaim=not event_aware,
     )
     outbox.apply_changes(claimed, None)
     table = outbox.read()

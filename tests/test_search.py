@@ -128,7 +128,7 @@ def test_cursor_of_a_short_result_is_none(model):
 @pytest.mark.parametrize("sort", sorted(SORTS))
 @pytest.mark.parametrize("offset", [0, 700, 1_490, 2_000])
 def test_deep_page_equals_offset(model, monkeypatch, sort, offset):
-    monkeypatch.setattr(paging, "TOP_K_LIMIT", 60)
+    monkeypatch.setattr(paging, "DEEP_SKIP", 20)
     monkeypatch.setattr(paging, "SLICES", 16)
     spec = SearchSpec(sort=sort, limit=30, offset=offset)
     expected = ids(model[0].orderBy(*spec.order()).offset(offset).limit(30))
@@ -136,7 +136,7 @@ def test_deep_page_equals_offset(model, monkeypatch, sort, offset):
 
 
 def test_deep_page_inside_one_shared_key(spark, monkeypatch):
-    monkeypatch.setattr(paging, "TOP_K_LIMIT", 60)
+    monkeypatch.setattr(paging, "DEEP_SKIP", 20)
     monkeypatch.setattr(paging, "SLICES", 16)
     rows = spark.range(5_000).select("id", F.lit(7).alias("price"))
     for sort in ("priceAsc", "priceDesc"):

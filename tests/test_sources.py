@@ -52,6 +52,25 @@ def test_json_source_is_strict_about_fields_and_types(spark, tmp_path):
     assert [r.field for r in documents_json.strict_fields(spark, path).collect()] == ["weight"]
 
 
+def test_a_document_with_very_many_options_is_written_whole(spark, tmp_path):
+    p = fx.products(spark, [(1, "ACTIVE", 1, 1, fx.T0), (2, "ACTIVE", 1, 1, fx.T0)])
+    many = readmodels.NESTED_LIMIT + 5
+    o = spark.range(many).select(
+        "id", F.lit(1).cast("long").alias("product_id"),
+        F.when(F.col("id") < 7, "RED").otherwise("BLUE").alias("color"),
+        F.lit("M").alias("size"), F.lit("IN_STOCK").alias("stock_status"),
+    ).unionByName(fx.options(spark, [(-1, 2, "RED", "M", "IN_STOCK")]))
+    docs = readmodels.documents(p, o, F.lit(fx.T0).cast("timestamp_ntz"))
+    path = str(tmp_path / "docs")
+    documents_json.write_documents(docs, path)
+    text = [r.value for r in spark.read.text(path).orderBy(F.length("value").desc()).collect()]
+    assert len(text[0]) < 1_000 and "copies" not in text[1]
+    back, _ = documents_json.read_documents(spark, path)
+    first = back.where("id = 1").first()
+    assert [(x.color, x.copies) for x in first.options] == [("RED", 7), ("BLUE", many - 7)]
+    assert back.where("id = 2").first().options[0].copies == 1
+
+
 def test_iso_times(spark):
     df = spark.createDataFrame(
         [("2026-05-02T12:00:00Z",), ("2026-05-02T12:00:00-11:00",), ("2026-05-02T12:00:00",)],
