@@ -6,9 +6,11 @@ expired lease, a result needs the token of the current claim. State is one small
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -48,6 +50,10 @@ _STATE = T.StructType(
 _RANK = {"enqueue": 0, "done": 1, "retry": 2, "failed": 3, "claim": 4}
 
 
+# The small processor below travels to the executors by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class EventLifecycle(StatefulProcessor):
     def __init__(self, config: RelayConfig):
         self.lease = pd.Timedelta(milliseconds=config.processing_timeout_ms)
