@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from shelfline.llm import near_dedup
+from shelfline.llm import html_text, language, near_dedup
 
 QUERIES = {
+    "op1_html_extraction": html_text.query,
+    "op3_language_id": language.query,
     "op10_simhash_near_dedup": near_dedup.query,
 }
 
