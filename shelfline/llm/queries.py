@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from shelfline.llm import html_text, language, near_dedup
+from shelfline.llm import html_text, language, near_dedup, secrets, topk, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
     "op3_language_id": language.query,
+    "op7_url_filters": url_filter.query,
+    "op8_secret_scans": secrets.query,
+    "op9_exact_topk": topk.query,
     "op10_simhash_near_dedup": near_dedup.query,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op7_url_filters": url_filter.CHECK,
+    "op9_exact_topk": topk.CHECK,
+}
