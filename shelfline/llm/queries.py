@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfline.llm import html_text, language, near_dedup, secrets, topk, url_filter
+from shelfline.llm import html_text, language, near_dedup, pieces, secrets, topk, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
     "op3_language_id": language.query,
+    "op6_sentencepiece": pieces.query,
     "op7_url_filters": url_filter.query,
     "op8_secret_scans": secrets.query,
     "op9_exact_topk": topk.query,
