@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfline.llm import html_text, language, near_dedup, pieces, secrets, topk, url_filter
+from shelfline.llm import html_text, language, near_dedup, pieces, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
     "op3_language_id": language.query,
+    "op4_warc": warc.query,
     "op6_sentencepiece": pieces.query,
     "op7_url_filters": url_filter.query,
     "op8_secret_scans": secrets.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 CHECKS: dict[str, str] = {
+    "op4_warc": warc.CHECK,
     "op7_url_filters": url_filter.CHECK,
     "op9_exact_topk": topk.CHECK,
 }
