@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfline.llm import html_text, language, near_dedup, pieces, secrets, topk, url_filter, warc
+from shelfline.llm import decontaminate, html_text, language, near_dedup, pieces, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
     "op3_language_id": language.query,
     "op4_warc": warc.query,
+    "op5_decontamination": decontaminate.query,
     "op6_sentencepiece": pieces.query,
     "op7_url_filters": url_filter.query,
     "op8_secret_scans": secrets.query,
