@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontaminate, html_text, language, near_dedup, pieces, secrets, topk, url_filter, warc
+from shelfline.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
+    "op2_line_dedup": line_dedup.query,
     "op3_language_id": language.query,
     "op4_warc": warc.query,
     "op5_decontamination": decontaminate.query,
