@@ -138,9 +138,9 @@ def _cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         names = ["query_id", "vec_id", "score"]
         if not queries.num_rows or not shard.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
-        width = max(1, *(int(max(np.diff(c.offsets.to_numpy()), default=0)) for t in (queries, shard) for c in t.column("v").chunks))
-        q, x = matrix(queries.column("v"), width), matrix(shard.column("v"), width)
-        q_ids, ids = queries.column("query_id").to_numpy(), shard.column("vec_id").to_numpy()
+        width = max(1, *(int(max(np.diff(c.offsets.to_numpy()), default=0)) for t in (queries.column("v"), shard.column("other")) for c in t.chunks))
+        q, x = matrix(queries.column("v"), width), matrix(shard.column("other"), width)
+        q_ids, ids = queries.column("query_id").to_numpy(), shard.column("other_id").to_numpy()
         reach = max(float(np.abs(m.astype(np.float64)).max()) for m in (q, x))
         if reach * reach * width * len(ids) < EXACT:
             found = search_shard(q_ids, q, queries.column("bound").to_numpy(), ids, x, k)
@@ -157,7 +157,7 @@ def top_k(spark: SparkSession, embeddings: DataFrame, k: int = K, query_step: in
     sizes = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_step == 0).alias("q")).first()
     shards, blocks = -(-sizes["n"] // SHARD) or 1, -(-sizes["q"] // BLOCK) or 1
     place = F.xxhash64("vec_id")
-    candidates = vectors.select("vec_id", "v", F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
+    candidates = vectors.select(F.col("vec_id").alias("other_id"), F.col("v").alias("other"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
     candidates = candidates.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     queries = vectors.where(F.col("vec_id") % query_step == 0)
     queries = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.shiftrightunsigned(place, 32), F.lit(blocks)).cast("int").alias("block"))
