@@ -207,7 +207,7 @@ def lowest_ids(rows: DataFrame, n: int) -> DataFrame:
     """The rows with the n lowest ids; a large n is cut at an id found by counting."""
     if n <= TOP_K_LIMIT:
         return rows.orderBy("id").limit(n)
-    found, before = narrow(rows, F.col("id"), n - 1, True, 0)
+    found, _ = narrow(rows, F.col("id"), n - 1, True, -1)
     if found is None:
         return rows
     return rows.where(F.col("id") <= found[1])
@@ -232,13 +232,19 @@ def claim(
     rows = eligible(outbox, now, lease_ms, reclaim)
     if after_id is not None:
         rows = rows.where(F.col("id") > after_id)
-    return lowest_ids(rows, batch_size).withColumns(
+    return held_by(lowest_ids(rows, batch_size), now, worker, token)
+
+
+def held_by(rows: DataFrame, now: Column | str, worker: str, token: str) -> DataFrame:
+    """The rows in the state that a worker's claim leaves them in."""
+    now = as_time(now, rows)
+    return rows.withColumns(
         {
             "status": F.lit("PROCESSING"),
             "claim_token": F.lit(token),
             "claimed_by": F.lit(worker),
             "claimed_at": now,
-            "next_retry_at": F.lit(None).cast(outbox.schema["next_retry_at"].dataType),
+            "next_retry_at": F.lit(None).cast(rows.schema["next_retry_at"].dataType),
             "updated_at": now,
         }
     )

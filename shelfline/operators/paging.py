@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelfline.operators.spec import RESULT_WINDOW, SearchSpec
 
 #: Up to this many leading rows a page is one top-k, of which every task contributes as many
-#: rows; beyond it rank selection takes over and leaves at most ``DEEP_SKIP`` rows to skip.
+#: rows; beyond it rank selection takes over and leaves at most ``DEEP_SKIP`` rows to skip. Both
+#: give the same rows in the same order, null keys included.
 TOP_K_LIMIT = RESULT_WINDOW
 DEEP_SKIP = 1_000
 
@@ -80,16 +81,24 @@ def deep_page(rows: DataFrame, spec: SearchSpec) -> DataFrame:
 
     Counting rows per slice of the sort key narrows down where the page starts; if very many
     rows share that key, counting per slice of the id does the same among them. What is left
-    to skip then fits an ordinary top-k.
+    to skip then fits an ordinary top-k. A null key ranks below all others, as it does in the
+    sort order. The counting jobs run when the function is called.
     """
     name, ascending = spec.sort_keys()
-    key = _as_long(rows, name)
+    plain = _as_long(rows, name)
+    least = rows.agg(F.coalesce(F.min(plain), F.lit(0)).alias("v")).first().v - 1
+    key = F.coalesce(plain, F.lit(least))
     start, before = narrow(rows, key, spec.offset, ascending, DEEP_SKIP)
     if start is None:
         return rows.limit(0)
     lo, hi = start
     skip = spec.offset - before
-    rest = rows.where(key >= lo if ascending else key <= hi)
+    # Plain ranges, which reach the file scan.
+    rest = rows
+    if not ascending:
+        rest = rows.where((plain <= hi) | plain.isNull())
+    elif lo > least:
+        rest = rows.where(plain >= lo)
     if skip > DEEP_SKIP:  # lo == hi: one key value holds more rows than should be skipped
         tied = rows.where(key == lo)
         (lo_id, hi_id), before_id = narrow(tied, F.col("id"), skip, ascending, DEEP_SKIP)
@@ -124,6 +133,7 @@ def narrow(rows: DataFrame, value: Column, rank: int, ascending: bool, enough: i
 
     Every pass counts into a bounded number of slices and descends into one of them, until no
     more than ``enough`` rows of the range lie before the rank or the range is one value.
+    A negative ``enough`` always goes on to one value.
     """
     bounds = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     if bounds.lo is None:

@@ -198,3 +198,11 @@ def test_lag_gate_and_empty_reports(spark):
     assert lag.scoped(scoped, run="run-a").count() == 1
     assert lag.scoped(scoped, run="", window_start="").count() == 2
     assert lag.scoped(scoped, run_like="run-%").count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 18_601, 20_000])
+def test_claims_are_exact_where_a_slice_holds_many_ids(spark, monkeypatch, n):
+    monkeypatch.setattr(ob, "TOP_K_LIMIT", 10)
+    rows = spark.range(1, 200_001)
+    found = ob.lowest_ids(rows, n).agg(F.count("*").alias("n"), F.max("id").alias("top")).first()
+    assert (found.n, found.top) == (n, n)

@@ -205,3 +205,24 @@ def test_signature_sql_function(spark):
         "product_option_signature('A', NULL, 'C') AS n"
     ).first()
     assert (row.s, row.n) == ("A|B|C", None)
+
+
+@pytest.mark.parametrize("sort", ["priceAsc", "priceDesc"])
+@pytest.mark.parametrize("limit", [10, 10_050])
+def test_pages_with_null_keys_do_not_depend_on_the_top_k_limit(spark, monkeypatch, sort, limit):
+    """More ids than slices; nulls come first when ascending, last when descending."""
+    monkeypatch.setattr(paging, "TOP_K_LIMIT", limit)
+    monkeypatch.setattr(paging, "DEEP_SKIP", 50)
+    price = F.when(F.col("id") % 9 != 0, (F.col("id") * 7919) % 50_000).alias("price")
+    rows = spark.range(40_000).select("id", price)
+    for offset in (0, 3_000, 4_420, 20_000, 36_000, 39_990, 45_000):
+        spec = SearchSpec(sort=sort, limit=30, offset=offset)
+        expected = ids(rows.orderBy(*spec.order()).offset(offset).limit(30))
+        assert ids(paging.page(rows, spec)) == expected
+
+
+def test_deep_page_of_keys_that_are_all_null(spark, monkeypatch):
+    monkeypatch.setattr(paging, "DEEP_SKIP", 20)
+    rows = spark.range(3_000).select("id", F.lit(None).cast("int").alias("price"))
+    spec = SearchSpec(sort="priceDesc", limit=5, offset=1_000)
+    assert ids(paging.deep_page(rows, spec)) == list(range(1_999, 1_994, -1))
