@@ -62,15 +62,19 @@ def compact_options(options: DataFrame) -> DataFrame:
     )
 
 
-def nested_options(options: DataFrame) -> DataFrame:
+def nested_options(options: DataFrame, listed: bool = False) -> DataFrame:
     """(product_id, options): one entry per different triple, in order of first appearance.
 
     Equal triples are counted in ``copies`` instead of being repeated. That keeps the multiset
     whole while the array stays within the 144 possible triples, however many rows a product
     owns; counting happens map-side before the first shuffle. Options that are compact already
-    are not counted again.
+    are not counted again. With ``listed`` every option row is an entry of its own, in order of
+    its id, with repeats where they stand; such a list is as long as a product has options.
     """
-    counted = options if "copies" in options.columns else compact_options(options)
+    if listed:
+        counted = options.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        counted = options if "copies" in options.columns else compact_options(options)
     ordered = F.array_sort(F.collect_list(F.struct("id", *TRIPLE, "copies")))
     return counted.groupBy("product_id").agg(
         F.transform(
@@ -85,11 +89,16 @@ def no_options() -> Column:
     )
 
 
-def documents(products: DataFrame, options: DataFrame, refreshed_at: Column) -> DataFrame:
-    """One document per product, with an empty list where a product has no options."""
+def documents(
+    products: DataFrame, options: DataFrame, refreshed_at: Column, listed: bool = False
+) -> DataFrame:
+    """One document per product, with an empty list where a product has no options.
+
+    ``listed`` chooses between counted and listed options, see ``nested_options``.
+    """
     return (
         products.join(
-            nested_options(options).withColumnRenamed("product_id", "id"), "id", "left"
+            nested_options(options, listed).withColumnRenamed("product_id", "id"), "id", "left"
         )
         .select(
             *products.columns,
@@ -105,16 +114,12 @@ def option_count(options: str = "options") -> Column:
     return F.aggregate(options, F.lit(0).cast("long"), lambda n, o: n + o["copies"])
 
 
-#: Most option objects that a written document lists one by one.
-NESTED_LIMIT = 10_000
-
-
-def expanded_options(options: str = "options") -> Column:
-    """The option list with every copy written out, as (color, size, stockStatus, copies).
+def expanded_options(options: str = "options", counted: bool = False) -> Column:
+    """The option list for writing, as (color, size, stockStatus, copies).
 
-    ``copies`` is null. A document with more than ``NESTED_LIMIT`` options keeps one entry per
-    triple instead and says in ``copies`` how many rows it stands for, so that a product with
-    any number of options is still one whole document.
+    Every copy is written out and ``copies`` is null; with ``counted`` an entry per triple says
+    in ``copies`` how many rows it stands for. The shape is the caller's choice for all documents,
+    whatever their size.
     """
 
     def entry(o: Column, copies: Column) -> Column:
@@ -125,10 +130,10 @@ def expanded_options(options: str = "options") -> Column:
             copies.cast("long").alias("copies"),
         )
 
-    written_out = F.flatten(
+    if counted:
+        return F.transform(options, lambda o: entry(o, o["copies"]))
+    return F.flatten(
         F.transform(
             options, lambda o: F.array_repeat(entry(o, F.lit(None)), o["copies"].cast("int"))
         )
     )
-    counted = F.transform(options, lambda o: entry(o, o["copies"]))
-    return F.when(option_count(options) <= NESTED_LIMIT, written_out).otherwise(counted)

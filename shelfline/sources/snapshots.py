@@ -12,7 +12,7 @@ One writer owns a store. Readers see the version their name points at.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 @dataclass(frozen=True)
 class Pointer:
     """What the names point at from here on."""
@@ -30,6 +29,8 @@ class Pointer:
     names: dict[str, int]
     action: str
     batch: str | None = None
+    #: The pointer whose content this one changed; 0 for the first.
+    parent: int | None = None
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -89,9 +90,9 @@ class SnapshotStore:
         """All pointers in order; read once, then kept up by this single writer."""
         if self._pointers is None:
             lines = get_lines(self.spark, self._dir("pointers", "*"))
-            self._pointers = sorted(
-                (Pointer(**json.loads(line)) for line in lines), key=lambda p: p.seq
-            )
+            found = [Pointer(**json.loads(line)) for line in lines]
+            found = [p if p.parent is not None else replace(p, parent=p.seq - 1) for p in found]
+            self._pointers = sorted(found, key=lambda p: p.seq)
         return self._pointers
 
     def refresh(self) -> "SnapshotStore":
@@ -103,7 +104,10 @@ class SnapshotStore:
         return dict(history[-1].names) if history else {}
 
     def _point(self, names: dict[str, int], action: str, batch: str | None = None) -> None:
-        pointer = Pointer(len(self.history()) + 1, names, action, batch)
+        last = len(self.history())
+        self._append(Pointer(last + 1, names, action, batch, last))
+
+    def _append(self, pointer: Pointer) -> None:
         text = json.dumps(asdict(pointer))
         put_text(self.spark, self._dir("pointers", f"seq={pointer.seq:09d}"), text)
         self._pointers = [*self.history(), pointer]
@@ -115,15 +119,30 @@ class SnapshotStore:
         self._point({**self.names(), **{n: version for n in wanted}}, "switch")
 
     def rollback(self) -> dict[str, int]:
-        """Restores all names to what they were before the last switch or change."""
+        """Restores all names to what they were before the switch or change now in force.
+
+        The restored state takes up its own past again: a second rollback goes one step further
+        back, and a batch that was rolled back may be applied anew.
+        """
         history = self.history()
-        if len(history) < 2:
+        before = self._parent(history[-1]) if history else None
+        if before is None:
             raise ValueError("nothing to roll back to")
-        self._point(dict(history[-2].names), "rollback")
+        self._append(replace(before, seq=len(history) + 1, action="rollback"))
         return self.names()
 
+    def _parent(self, pointer: Pointer) -> Pointer | None:
+        return self.history()[pointer.parent - 1] if pointer.parent else None
+
     def applied(self, batch: str) -> bool:
-        return any(row.batch == batch for row in self.history())
+        """Whether the content in force contains the batch."""
+        history = self.history()
+        pointer = history[-1] if history else None
+        while pointer is not None:
+            if pointer.batch == batch:
+                return True
+            pointer = self._parent(pointer)
+        return False
 
     # ---- content ------------------------------------------------------------------------
 

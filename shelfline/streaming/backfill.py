@@ -59,8 +59,9 @@ def backfill(
 
     Windows hold at most ``batch_size`` products and are planned from counts. Products and
     options are both cut to the window's id range, which reaches the file scans. A batch that
-    fails is tried once more. The store knows each batch by name, so a batch that was committed
-    before its checkpoint was written is not applied twice.
+    fails is tried once more. The store knows each batch by its window and size, so a batch that
+    was committed before its checkpoint was written is not applied twice, and one that has grown
+    since is.
     """
     log = CheckpointLog(spark, checkpoint_dir)
     state = log.last() or log.write(Checkpoint(run_id, None, batch_size, "RUNNING"))
@@ -73,7 +74,7 @@ def backfill(
     for lo, hi, rows in windows[:max_batches] if max_batches else windows:
         batch = window(products, lo, hi)
         docs = documents(batch, window(options, lo, hi, "product_id"), at)
-        name = f"backfill-{state.run_id}-{hi}"
+        name = f"backfill-{state.run_id}-{lo}-{hi}-{rows}"
         retried = 0
         try:
             write(docs, batch.select("id"), name)

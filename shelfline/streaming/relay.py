@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfline import schemas
 from shelfline.operators import outbox as ob
-from shelfline.sources.snapshots import SnapshotStore
+from shelfline.sources.snapshots import SnapshotStore, get_lines
 
 Loader = Callable[[], DataFrame]
 
@@ -184,28 +185,62 @@ def start_relay(
     watermark: int | None = None,
     interval: str | None = None,
     name: str = "document-relay",
+    outbox: SnapshotStore | None = None,
+    config: ob.RelayConfig | None = None,
+    reject: Column | None = None,
 ) -> StreamingQuery:
     """Keeps the store in step with a stream of events.
 
     Each micro-batch reduces its events to one decision per product, loads the current state
     of these products and applies the change as one store version. The version carries the
-    batch id, so a replayed batch changes nothing. ``interval`` sets a polling trigger; without
-    it the stream takes what is there and stops.
+    stream's own id and the batch id: a replayed batch changes nothing, and a stream that starts
+    anew on the same store, with a new checkpoint, is not taken for a replay. ``interval`` sets a
+    polling trigger; without it the stream takes what is there and stops.
+
+    With ``outbox``, the events of a batch are claimed there first and finished there last, with
+    the outcomes of the batch relay: DONE, a retry, or FAILED after the last attempt. A document
+    for which ``reject`` holds fails the events of its product only.
     """
     if watermark is not None:
         events = events.where(F.col("id") > watermark)
+    config = config or ob.RelayConfig()
+    spark = events.sparkSession
+    stream: list[str] = []
+
+    def batch_name(batch_id: int) -> str:
+        if not stream:
+            (line,) = get_lines(spark, f"{checkpoint}/metadata")
+            stream.append(json.loads(line)["id"])
+        return f"{name}-{stream[0]}-{batch_id}"
 
     def relay(batch: DataFrame, batch_id: int) -> None:
-        batch_name = f"{name}-{batch_id}"
-        if store.applied(batch_name):
+        own, at = batch_name(batch_id), F.lit(now()).cast("timestamp_ntz")
+        held = batch if outbox is None else claimed(batch, own, at)
+        if held is None or outbox is None and store.applied(own):
             return
-        decisions = ob.decide_latest(ob.group_by_product(batch), source.products()).persist()
+        decisions = ob.decide_latest(ob.group_by_product(held), source.products()).persist()
         try:
-            at = F.lit(now()).cast("timestamp_ntz")
-            apply_decisions(decisions, source, store, at, batch=batch_name)
+            failures = apply_decisions(decisions, source, store, at, batch=own, reject=reject)
+            if outbox is not None:
+                results = ob.results_for(held, failures, config.max_retry_count)
+                changes = ob.transition(outbox.read(), results, at, config.retry_delay_ms)
+                finished = f"{own}-finished"
+                outbox.apply_changes(changes, None, batch=finished, keys=held.select("id"))
         finally:
             decisions.unpersist()
 
+    def claimed(batch: DataFrame, own: str, at: Column) -> DataFrame | None:
+        """The events of a batch that are now held for it; none if it is finished or has none."""
+        if outbox.applied(f"{own}-finished"):
+            return None
+        ready = ob.eligible(outbox.read(), at, config.processing_timeout_ms)
+        ready = ready.join(batch.select("id").distinct(), "id", "left_semi")
+        taken = ob.held_by(ready, at, config.instance_id, own).select(*outbox.schema.names)
+        outbox.apply_changes(taken, None, batch=f"{own}-claimed")
+        held = (F.col("status") == "PROCESSING") & (F.col("claim_token") == own)
+        held = outbox.read().where(held)
+        return None if held.isEmpty() else held
+
     writer = events.writeStream.foreachBatch(relay).option("checkpointLocation", checkpoint)
     writer = (
         writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

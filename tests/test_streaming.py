@@ -244,3 +244,63 @@ def test_stream_skips_events_up_to_the_watermark(spark, sf, tmp_path):
     )
     query.awaitTermination()
     assert store.read().count() == 0
+
+
+def test_stream_with_a_new_checkpoint_is_no_replay(spark, sf, tmp_path):
+    p, o, out = star.products(spark, sf), star.options(spark, sf), star.outbox(spark, sf)
+    files = str(tmp_path / "events")
+    out.write.parquet(files)
+    store = relay.document_store(spark, str(tmp_path / "docs"), p, 400)
+
+    def run(checkpoint):
+        relay.start_relay(
+            relay.outbox_stream(spark, files, out.schema), relay.Source(lambda: p, lambda: o),
+            store, str(tmp_path / checkpoint), lambda: NOW,
+        ).awaitTermination()
+
+    run("cp1")
+    first = store.read().count()
+    store.replace(store.read().limit(0))
+    run("cp2")
+    assert store.read().count() == first > 0
+
+
+def test_stream_finishes_its_events(spark, tmp_path):
+    p = fx.products(spark, [(1, "ACTIVE", 1, 1, fx.T0), (2, "ACTIVE", 2, 1, fx.T0)])
+    o = fx.options(spark, [(1, 1, "RED", "M", "IN_STOCK")])
+    out = fx.events(spark, [(1, 1, "PRODUCT_CREATED"), (2, 2, "PRODUCT_CREATED"), (3, 9, "PRODUCT_DELETED")])
+    source, docs, events = build(spark, tmp_path, p, o, out)
+    files = str(tmp_path / "events")
+    out.write.parquet(files)
+
+    def run():
+        relay.start_relay(
+            relay.outbox_stream(spark, files, out.schema), source, docs, str(tmp_path / "cp"),
+            lambda: NOW, outbox=events, reject=F.col("id") == 2,
+        ).awaitTermination()
+
+    run()
+    got = {r.id: (r.status, r.retry_count, r.claim_token) for r in events.read().collect()}
+    assert got == {1: ("DONE", 0, None), 2: ("PENDING", 1, None), 3: ("DONE", 0, None)}
+    assert ids(docs.read()) == [1]
+    version = events.names()["read"]
+    run()
+    assert events.names()["read"] == version
+
+
+def test_backfill_batch_that_grew_after_a_crash_is_applied(spark, tmp_path):
+    o = fx.options(spark, BACKFILL_OPTIONS)
+    held = fx.products(spark, BACKFILL_PRODUCTS)
+    source = relay.Source(lambda: held, lambda: o)
+    store = relay.document_store(spark, str(tmp_path / "docs"), held, 1_000)
+
+    def crash_after_commit(docs, keys, name):
+        store.apply_changes(docs, None, name, keys=keys)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        bf.backfill(spark, source, store, str(tmp_path / "cp"), "r", 10, NOW, write=crash_after_commit)
+    more = fx.products(spark, [*BACKFILL_PRODUCTS, (-19002005, *BACKFILL_PRODUCTS[0][1:])])
+    grown = relay.Source(lambda: more, lambda: o)
+    done = bf.backfill(spark, grown, store, str(tmp_path / "cp"), "r", 10, NOW)
+    assert done.status == "COMPLETED" and store.read().count() == more.count()
