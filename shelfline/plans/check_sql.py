@@ -31,6 +31,13 @@ RELATIONS = {
                CASE l_returnflag WHEN 'A' THEN 'IN_STOCK' WHEN 'N' THEN 'LOW_STOCK'
                     WHEN 'R' THEN 'OUT_OF_STOCK' END AS stock_status
         FROM lineitem""",
+    "option_rows": f"""
+        SELECT l_orderkey AS product_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
+               list_extract({_list(schemas.COLORS)}, CAST(l_partkey % 8 AS INTEGER) + 1) AS color,
+               list_extract({_list(schemas.SIZES)}, CAST(l_suppkey % 6 AS INTEGER) + 1) AS size,
+               CASE l_returnflag WHEN 'A' THEN 'IN_STOCK' WHEN 'N' THEN 'LOW_STOCK'
+                    WHEN 'R' THEN 'OUT_OF_STOCK' END AS stock_status
+        FROM lineitem""",
     "outbox_base": """
         SELECT event_id AS id, user_id * 101 AS aggregate_id,
                CASE event_type WHEN 'signup' THEN 'PRODUCT_CREATED'

@@ -16,7 +16,7 @@ from shelfline.sources import latency_log
 from shelfline.sources import star_schema as star
 from shelfline.sources.snapshots import apply_changes
 from shelfline.streaming import backfill as bf
-from shelfline.streaming import lease, relay
+from shelfline.streaming import relay
 
 NOW = "2024-02-01 00:00:00"
 LEASE_MS = 86_400_000
@@ -697,7 +697,7 @@ add(
 # ---- upsert sink, backfill, catch-up, streams ----------------------------------------------
 
 
-def _source(spark, sf):
+def relay_source(spark, sf):
     products, options = tables(spark, sf)
     return relay.Source(lambda: products, lambda: options)
 
@@ -715,7 +715,7 @@ def _upsert_delete(spark, sf):
 
 _FLAT_COLUMNS = f"{q.API}, options_text, option_count"
 _TOUCHED = {"touched": "SELECT DISTINCT aggregate_id AS id FROM outbox"}
-_UPSERT_SQL = q.with_relations(
+UPSERT_SQL = q.with_relations(
     f"""SELECT {_FLAT_COLUMNS} FROM document_rows
         WHERE id IN (SELECT id FROM touched) AND status <> 'DELETED'
         UNION ALL
@@ -728,10 +728,10 @@ _UPSERT_SQL = q.with_relations(
     old_products=AS_CREATED_SQL,
     **_TOUCHED,
 )
-add("apply_changes", _upsert_delete, _UPSERT_SQL)
+add("apply_changes", _upsert_delete, UPSERT_SQL)
 
 
-def _old_store(spark, sf, width=4_000):
+def old_store(spark, sf, width=4_000):
     """A store holding the documents of the products as created."""
     from shelfline.operators import readmodels
 
@@ -743,13 +743,13 @@ def _old_store(spark, sf, width=4_000):
 
 def _stream_relay(spark, sf):
     """The same change as ``apply_changes``, relayed from the event files as a stream."""
-    store = _old_store(spark, sf)
+    store = old_store(spark, sf)
     raw = relay.outbox_stream(
         spark, sf, star.table(spark, sf, "events").schema, glob="events.parquet"
     )
     query = relay.start_relay(
         star.outbox_from_events(raw),
-        _source(spark, sf),
+        relay_source(spark, sf),
         store,
         shared_dir(spark, "relay-checkpoint"),
         lambda: NOW,
@@ -758,7 +758,7 @@ def _stream_relay(spark, sf):
     return flat_documents(store.read())
 
 
-add("stream_relay", _stream_relay, _UPSERT_SQL)
+add("stream_relay", _stream_relay, UPSERT_SQL)
 
 
 def _stream_status(spark, sf):
@@ -782,7 +782,7 @@ add(
 def _backfill(spark, sf):
     """A backfill that is interrupted after one batch and resumed."""
     products, _ = tables(spark, sf)
-    source = _source(spark, sf)
+    source = relay_source(spark, sf)
     store = relay.document_store(spark, shared_dir(spark, "store"), products, 4_000)
     checkpoints = shared_dir(spark, "backfill-checkpoint")
     size = max(1, products.count() // 4 + 1)
@@ -806,9 +806,9 @@ def _catch_up(spark, sf):
     events = relay.outbox_store(spark, shared_dir(spark, "outbox"), table, 4_000)
     events.replace(table)
     watermark = relay.high_watermark(table) // 2
-    store = _old_store(spark, sf)
+    store = old_store(spark, sf)
     config = ob.RelayConfig(enabled=True, batch_size=10_000_000, processing_timeout_ms=LEASE_MS)
-    relay.catch_up(events, store, _source(spark, sf), NOW, watermark, config)
+    relay.catch_up(events, store, relay_source(spark, sf), NOW, watermark, config)
     return events.read().groupBy("status").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -824,77 +824,6 @@ add(
 )
 
 
-#: Actions per kind of event, (kind, seconds after creation, action, worker), with the outcome
-#: the lease and token rules give them: (accepted, status afterwards, retries afterwards).
-LIFECYCLES = [
-    ((0, 0, "enqueue", "app"), (True, "PENDING", 0)),
-    ((0, 1, "claim", "a"), (True, "PROCESSING", 0)),
-    ((0, 30, "claim", "b"), (False, "PROCESSING", 0)),
-    ((0, 120, "claim", "b"), (True, "PROCESSING", 0)),
-    ((0, 121, "done", "a"), (False, "PROCESSING", 0)),
-    ((0, 180, "done", "b"), (True, "DONE", 0)),
-    ((1, 0, "enqueue", "app"), (True, "PENDING", 0)),
-    ((1, 1, "claim", "a"), (True, "PROCESSING", 0)),
-    ((1, 2, "retry", "a"), (True, "PENDING", 1)),
-    ((1, 3, "claim", "c"), (False, "PENDING", 1)),
-    ((1, 20, "claim", "c"), (True, "PROCESSING", 1)),
-    ((1, 21, "failed", "c"), (True, "FAILED", 2)),
-    ((2, 0, "enqueue", "app"), (True, "PENDING", 0)),
-    ((2, 1, "claim", "a"), (True, "PROCESSING", 0)),
-    ((2, 2, "done", "a"), (True, "DONE", 0)),
-]
-
-
-def _actions(events):
-    """The actions on every event; the kind is 0 or 1 for two in five events, else 2."""
-    kind = F.least(F.col("event_id") % 5, F.lit(2))
-    entries = [
-        F.struct(
-            F.lit(k).alias("kind"),
-            F.lit(seconds).alias("seconds"),
-            F.lit(action).alias("action"),
-            F.lit(worker).alias("worker"),
-        )
-        for (k, seconds, action, worker), _ in LIFECYCLES
-    ]
-    exploded = events.select("event_id", "ts", kind.alias("of"), F.inline(F.array(*entries)))
-    return exploded.where("kind = of").select(
-        "event_id",
-        F.timestamp_add("SECOND", F.col("seconds"), F.col("ts").cast("timestamp")).alias("at"),
-        "action",
-        "worker",
-        F.concat("worker", F.lit("-"), "event_id").alias("token"),
-    )
-
-
-def _stream_lifecycle(spark, sf):
-    raw = relay.outbox_stream(
-        spark, sf, star.table(spark, sf, "events").schema, glob="events.parquet"
-    )
-    path = shared_dir(spark, "lifecycle")
-    query = lease.run_lifecycle(
-        _actions(raw), ob.RelayConfig(), path, shared_dir(spark, "lifecycle-checkpoint")
-    )
-    query.awaitTermination()
-    return spark.read.schema(lease.OUTCOMES).parquet(path).select(
-        "event_id", "action", "worker", "accepted", "status", "retry_count",
-        F.col("at").cast("timestamp_ntz").alias("at"),
-    )
-
-
-add(
-    "stream_lifecycle",
-    _stream_lifecycle,
-    """SELECT event_id, action, worker, accepted, status, CAST(retries AS INTEGER) AS retry_count,
-              ts + to_seconds(seconds) AS at
-       FROM events JOIN (VALUES """
-    + ", ".join(f"({k}, {sec}, '{a}', '{w}', {ok}, '{st}', {n})"
-                for (k, sec, a, w), (ok, st, n) in LIFECYCLES)
-    + """) v(kind, seconds, action, worker, accepted, status, retries)
-       ON v.kind = least(event_id % 5, 2)""",
-)
-
-
 # ---- windows, drained relay, alias switch --------------------------------------------------
 
 
@@ -931,7 +860,7 @@ def _relay_drain(spark, sf):
     table = star.outbox(spark, sf)
     events = relay.outbox_store(spark, shared_dir(spark, "outbox"), table, 4_000)
     events.replace(table)
-    relay.drain_outbox(events, _old_store(spark, sf), _source(spark, sf), NOW, _DRAIN)
+    relay.drain_outbox(events, old_store(spark, sf), relay_source(spark, sf), NOW, _DRAIN)
     return events.read().groupBy("status").agg(
         F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id")
     )
@@ -954,7 +883,7 @@ def _alias_switch(spark, sf):
     from shelfline.operators import readmodels
 
     products, options = tables(spark, sf)
-    store = _old_store(spark, sf)
+    store = old_store(spark, sf)
     fresh = store.replace(readmodels.documents(products, options, refreshed_at()), "write")
 
     def seen(stage):

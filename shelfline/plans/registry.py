@@ -22,4 +22,9 @@ def add(name: str, query: Query, check: str | None = None) -> None:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from shelfline.plans import outbox_queries, report_queries, search_queries  # noqa: F401
+    from shelfline.plans import (  # noqa: F401
+        consistency_queries,
+        outbox_queries,
+        report_queries,
+        search_queries,
+    )

@@ -791,8 +791,9 @@ add(
 
 def _chunk_progress(spark, sf):
     path = shared_dir(spark, "chunked")
-    layout.write_chunked(_ids(spark, sf), path)
-    return layout.chunk_progress(spark.read.parquet(path), 1_000, 15_000)
+    ids = _ids(spark, sf)
+    layout.write_chunked(ids, path)
+    return layout.chunk_progress(spark.read.parquet(path), 1_000, ids.count())
 
 
 add(
@@ -800,7 +801,8 @@ add(
     _chunk_progress,
     f"""SELECT chunk_no, rows_inserted,
                CAST(sum(rows_inserted) OVER (ORDER BY chunk_no) AS BIGINT) AS inserted_so_far,
-               round(CAST(sum(rows_inserted) OVER (ORDER BY chunk_no) AS DOUBLE) * 100.0 / 15000, 2)
+               round(CAST(sum(rows_inserted) OVER (ORDER BY chunk_no) AS DOUBLE) * 100.0
+                     / (SELECT count(*) FROM ({_IDS_SQL})), 2)
                    AS percent
         FROM (SELECT CAST(ceil(id / 1000.0) AS BIGINT) AS chunk_no, count(*) AS rows_inserted
               FROM ({_IDS_SQL}) GROUP BY ALL)""",

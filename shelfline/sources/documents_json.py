@@ -115,22 +115,22 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return docs, rejects
 
 
-def to_json_fields(docs: DataFrame) -> DataFrame:
-    """The 13 camelCase fields with ISO times and the full option list."""
+def to_json_fields(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """The 13 camelCase fields with ISO times and the full option list, or a counted one."""
     camel = [
         (iso_text(F.col(snake)) if name.endswith("At") else F.col(snake)).alias(name)
         for name, snake in SNAKE.items()
     ]
-    return docs.select(*camel, expanded_options().alias("options"))
+    return docs.select(*camel, expanded_options(counted=counted).alias("options"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    to_json_fields(docs).write.mode("overwrite").json(path)
+def write_documents(docs: DataFrame, path: str, counted: bool = False) -> None:
+    to_json_fields(docs, counted).write.mode("overwrite").json(path)
 
 
-def bulk_lines(docs: DataFrame) -> DataFrame:
+def bulk_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
     """Two lines per document: line_order 0 is the action, 1 the source."""
-    fields = to_json_fields(docs)
+    fields = to_json_fields(docs, counted)
     action = F.to_json(F.struct(F.struct(F.col("productId").alias("_id")).alias("index")))
     source = F.to_json(F.struct(*fields.columns))
     lines = F.array(
@@ -140,12 +140,12 @@ def bulk_lines(docs: DataFrame) -> DataFrame:
     return fields.select(F.col("productId").alias("id"), F.inline(lines))
 
 
-def write_bulk(docs: DataFrame, path: str) -> None:
+def write_bulk(docs: DataFrame, path: str, counted: bool = False) -> None:
     """Text files in id order; a document never spans two files."""
     (
         docs.repartitionByRange("id")
         .sortWithinPartitions("id")
-        .transform(bulk_lines)
+        .transform(bulk_lines, counted)
         .select("line")
         .write.mode("overwrite")
         .text(path)

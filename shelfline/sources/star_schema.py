@@ -45,15 +45,25 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+def option_columns() -> list[Column]:
+    return [
         F.col("l_orderkey").alias("product_id"),
         _pick(schemas.COLORS, F.col("l_partkey") % 8).alias("color"),
         _pick(schemas.SIZES, F.col("l_suppkey") % 6).alias("size"),
         _translate(
             "l_returnflag", {"A": "IN_STOCK", "N": "LOW_STOCK", "R": "OUT_OF_STOCK"}
         ).alias("stock_status"),
-    )
+    ]
+
+
+def options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*option_columns())
+
+
+def option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``options`` with an ``id`` that orders the rows of a product."""
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("id")
+    return table(spark, sf_dir, "lineitem").select(order, *option_columns())
 
 
 def outbox_from_events(events: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_json_source_is_strict_about_fields_and_types(spark, tmp_path):
 
 def test_a_document_with_very_many_options_is_written_whole(spark, tmp_path):
     p = fx.products(spark, [(1, "ACTIVE", 1, 1, fx.T0), (2, "ACTIVE", 1, 1, fx.T0)])
-    many = readmodels.NESTED_LIMIT + 5
+    many = 10_005
     o = spark.range(many).select(
         "id", F.lit(1).cast("long").alias("product_id"),
         F.when(F.col("id") < 7, "RED").otherwise("BLUE").alias("color"),
@@ -62,9 +62,12 @@ def test_a_document_with_very_many_options_is_written_whole(spark, tmp_path):
     ).unionByName(fx.options(spark, [(-1, 2, "RED", "M", "IN_STOCK")]))
     docs = readmodels.documents(p, o, F.lit(fx.T0).cast("timestamp_ntz"))
     path = str(tmp_path / "docs")
-    documents_json.write_documents(docs, path)
+    documents_json.write_documents(docs, path, counted=True)
     text = [r.value for r in spark.read.text(path).orderBy(F.length("value").desc()).collect()]
-    assert len(text[0]) < 1_000 and "copies" not in text[1]
+    assert len(text[0]) < 1_000 and "copies" in text[1]
+    documents_json.write_documents(docs, str(tmp_path / "listed"))
+    listed, _ = documents_json.read_documents(spark, str(tmp_path / "listed"))
+    assert listed.where("id = 1").first().options[1].copies == many - 7
     back, _ = documents_json.read_documents(spark, path)
     first = back.where("id = 1").first()
     assert [(x.color, x.copies) for x in first.options] == [("RED", 7), ("BLUE", many - 7)]
@@ -227,3 +230,34 @@ def test_layouts_and_bucketed_join(spark, tmp_path):
     assert spark.read.parquet(path).count() == 50
     progress = layout.chunk_progress(p, 20, 50).orderBy("chunk_no").collect()
     assert [r.inserted_so_far for r in progress] == [1, 21, 41, 50]
+
+
+def test_store_rolls_back_step_by_step_and_replays(spark, store):
+    store.replace(rows(spark, k1="a"))
+    for batch, row in (("b2", {"k2": "b"}), ("b3", {"k3": "c"})):
+        store.apply_changes(rows(spark, **row), None, batch=batch)
+    store.rollback()
+    assert content(store.read()) == {1: "a", 2: "b"}
+    store.rollback()
+    assert content(store.read()) == {1: "a"}
+    assert not store.refresh().applied("b2") and not store.applied("b3")
+    assert store.apply_changes(rows(spark, k2="again"), None, batch="b2") is not None
+    assert content(store.read()) == {1: "a", 2: "again"}
+    assert store.apply_changes(rows(spark, k2="once more"), None, batch="b2") is None
+    store.rollback()
+    assert content(store.read()) == {1: "a"}
+    with pytest.raises(ValueError):
+        store.rollback()
+
+
+def test_listed_options_keep_their_order_and_repeats(spark, tmp_path):
+    p = fx.products(spark, [(1, "ACTIVE", 1, 1, fx.T0)])
+    o = fx.options(
+        spark,
+        [(3, 1, "RED", "M", "IN_STOCK"), (1, 1, "RED", "M", "IN_STOCK"), (2, 1, "BLACK", "M", "IN_STOCK")],
+    )
+    docs = readmodels.documents(p, o, F.lit(fx.T0).cast("timestamp_ntz"), listed=True)
+    assert [x.color for x in docs.first().options] == ["RED", "BLACK", "RED"]
+    documents_json.write_documents(docs, str(tmp_path / "d"))
+    line = spark.read.text(str(tmp_path / "d")).select(F.get_json_object("value", "$.options[*].color").alias("c"))
+    assert line.first().c == '["RED","BLACK","RED"]'
