@@ -4,8 +4,9 @@ import pytest
 from checking import compare, connect
 
 import __spark_entry__ as entry
+from shelfline.plans import registry
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = registry.QUERIES, registry.CHECKS
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +24,7 @@ def test_entry_has_rows(spark):
     page = entry.entry(spark)
     assert page.columns[0] == "position" or "position" in page.columns
     assert page.count() > 0
+
+
+def test_entry_offers_every_registered_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
