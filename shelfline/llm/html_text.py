@@ -3,10 +3,11 @@
 The standard library's parser streams a page once. Block elements cut it into lines; each line
 holds its text and the number of tags met since the line before. Text inside navigation, forms,
 scripts, adverts and the like counts as no text. The text-to-tag ratios are smoothed with a
-Gaussian and split by two-means; the lines of the upper cluster are content. Starting at the body,
-the region moves down into the element that holds nearly all content, and stops at an article or
-main element; every line of that region that is not boilerplate belongs to the text, also a short
-one between long ones.
+Gaussian and split by two-means; the lines of the upper cluster are content. The region starts at
+the article or main element with most content, or at the body where none holds a fair share, and
+moves down into the element that holds nearly all content, but not out of an article or main
+element; every line of that region that is not boilerplate belongs to the text, also a short one
+between long ones.
 
 Cases: null or empty html, or a page of boilerplate only, gives an empty text; unclosed elements end
 with their parent; null ids and repeated rows give a row each; an empty table gives no rows; other
@@ -52,15 +53,17 @@ MARKS = frozenset(
     "newsletter notice notices notification popup promo promotion related reply replies respond rail search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split()
 )
+NEGATED = frozenset(["has", "no", "with", "without"])
 MARKED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements the region does not leave for a child.
 LANDMARKS = frozenset(["article", "main"])
 #: Elements that names alone do not turn into boilerplate.
-UNMARKED = LANDMARKS | frozenset(["html", "body", "h1", "p", "b", "i", "em", "strong", "span"])
+UNMARKED = LANDMARKS | frozenset(["html", "body", "h1"])
 
 SIGMA = 1.0
-#: Share of the content that a child must hold for the region to move down to it.
-HELD = 0.7
+#: Share of the content that a child must hold for the region to move down to it, and an article or
+#: main element for the region to start there.
+HELD, HELD_BY_LANDMARK = 0.7, 0.3
 
 
 class Lines(HTMLParser):
@@ -69,7 +72,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.names, self.parents = ["#root"], [-1]
-        self.open: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        # Tag, element, whether its lines are boilerplate, whether its text is left out of a line.
+        self.open: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -78,7 +82,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            _, element, dropped = self.open[-1]
+            _, element, dropped, _ = self.open[-1]
             self.lines.append((text, self.tags, element, dropped))
             self.tags = 0
 
@@ -94,26 +98,30 @@ class Lines(HTMLParser):
             self.leave(name, stop=("ul", "ol", "dl", "table", "select", "menu"))
         if tag in VOID:
             return
-        dropped = self.open[-1][2]
-        if not dropped:
-            inside = any(name in LANDMARKS for name, _, _ in self.open)
-            dropped = tag in DROPPED or tag == "header" and not inside or tag not in UNMARKED and self.is_marked(attrs)
-        self.names.append(tag)
-        self.parents.append(self.open[-1][1])
-        # A block's lines end with it; inline elements keep the element of their block.
-        self.open.append((tag, len(self.names) - 1, dropped))
-        if dropped and not self.open[-2][2] and tag not in BLOCKS:
-            self.open.pop()
-            self.end_line()
-            self.open.append((tag, len(self.names) - 1, dropped))
+        _, parent, dropped, silent = self.open[-1]
+        if not dropped and not silent:
+            inside = any(x[0] in LANDMARKS for x in self.open)
+            found = tag in DROPPED or tag == "header" and not inside
+            found = found or tag not in UNMARKED and self.is_marked(attrs, inside)
+            dropped, silent = found and tag in BLOCKS, found and tag not in BLOCKS
+        if tag in BLOCKS:
+            self.names.append(tag)
+            self.parents.append(parent)
+            parent = len(self.names) - 1
+        # Inline elements belong to the line of their block.
+        self.open.append((tag, parent, dropped, silent))
 
     @staticmethod
-    def is_marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def is_marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id", "role") and value and any(w.lower() in MARKS for w in MARKED.findall(value)):
-                return True
+            if name in ("class", "id", "role"):
+                for part in (value or "").split():
+                    words = {w.lower() for w in MARKED.findall(part)}
+                    # An article's own header holds its title; "with-sidebar" is no sidebar.
+                    if words & MARKS - ({"header"} if inside else set()) and not words & NEGATED:
+                        return True
         return False
 
     def leave(self, tag: str, stop: tuple[str, ...]) -> None:
@@ -129,7 +137,7 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCKS or self.open[k][2] != self.open[k - 1][2] or any(x[0] in BLOCKS for x in self.open[k:]):
+                if any(x[0] in BLOCKS for x in self.open[k:]):
                     self.end_line()
                 del self.open[k:]
                 return
@@ -137,7 +145,8 @@ class Lines(HTMLParser):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.open[-1][3]:
+            self.parts.append(data)
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -176,8 +185,9 @@ def main_text(html: str | None) -> str:
         content = ratios > 0
     held = [0] * len(page.names)
     for chosen, (text, _, element, dropped) in zip(content, lines):
-        if chosen and not dropped:
-            held[element] += len(text)
+        if not dropped:
+            # Content counts for twice as much as other lines that are not boilerplate.
+            held[element] += len(text) * (2 if chosen else 1)
     for k in range(len(held) - 1, 0, -1):
         held[page.parents[k]] += held[k]
     titled = {0}
@@ -190,10 +200,10 @@ def main_text(html: str | None) -> str:
     children: dict[int, list[int]] = {}
     for k in range(1, len(page.names)):
         children.setdefault(page.parents[k], []).append(k)
-    region = 0
+    landmarks = [k for k, name in enumerate(page.names) if name in LANDMARKS and held[k] >= HELD_BY_LANDMARK * held[0]]
+    region = max(landmarks, key=lambda k: held[k], default=0)
     while page.names[region] not in LANDMARKS:
-        below = [k for k in children.get(region, ()) if page.names[k] in BLOCKS]
-        best = max(below, key=lambda k: held[k], default=None)
+        best = max(children.get(region, ()), key=lambda k: held[k], default=None)
         if best is None or held[best] < HELD * held[region] or region in titled and len(titled) > 1 and best not in titled:
             break
         if page.names[best] in ("p", "h1", "h2", "h3", "li", "pre"):
