@@ -212,7 +212,10 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; all columns stay."""
+    """docs without the documents that hold a benchmark item; all columns stay.
+
+    A row without doc_id cannot be named and stays.
+    """
     leaked = leaks(spark, docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
 

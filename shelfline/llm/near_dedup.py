@@ -169,7 +169,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the documents that are near copies of one with a smaller doc_id; all columns stay."""
+    """docs without the documents that are near copies of one with a smaller doc_id; all columns stay.
+
+    A row without doc_id cannot be named and stays; rows that share a doc_id stay or go together.
+    """
     found = near_duplicates(spark, docs)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -58,7 +58,7 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 class BallTree:
     """Balls over the rows of x, kept as levels from the root to the leaves."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, x: np.ndarray, leaf: int) -> None:
         self.order = np.arange(len(x))
         self.levels: list[list[tuple[int, int]]] = [[(0, len(x))]]
         while max(b - a for a, b in self.levels[-1]) > leaf:
@@ -88,7 +88,7 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.n
     ids, x = ids[by_id], x[by_id].astype(np.float64)
     q = q.astype(np.float64)
     n = len(ids)
-    tree = BallTree(x)
+    tree = BallTree(x, LEAF)
     least = np.where(bounds == np.iinfo(np.int64).min, -EXACT, bounds) * n
     best = np.full((len(q), k), 0, np.int64) + (least - 1)[:, None]
     norms = np.sqrt((q**2).sum(axis=1))
