@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.operators.readmodels import option_count
 from shelfline.functions.columns import distinct_from, one_row, ratio
 
 
@@ -127,7 +128,8 @@ def compare_documents(
 ) -> DataFrame:
     """(id, field, left_value, right_value) for every differing field of ids on both sides.
 
-    Options are compared by count and then by position, each entry as a whole.
+    Options are compared by the number of rows they stand for and then by position, each entry
+    as a whole.
     """
     fields = fields or COMPARED_FIELDS
     renamed = right.select(
@@ -149,10 +151,8 @@ def compare_documents(
         )
         for f in fields
     ]
-    sizes = F.when(
-        F.size("options") != F.size("r_options"),
-        entry(F.lit("options.count"), F.size("options"), F.size("r_options")),
-    )
+    count, r_count = option_count("options"), option_count("r_options")
+    sizes = F.when(count != r_count, entry(F.lit("options.count"), count, r_count))
     pairs = F.arrays_zip(F.col("options").alias("a"), F.col("r_options").alias("b"))
     by_position = F.transform(
         pairs,
@@ -165,10 +165,9 @@ def compare_documents(
             ),
         ),
     )
-    same_size = F.size("options") == F.size("r_options")
     all_entries = F.concat(
         F.array(*scalar, sizes),
-        F.when(same_size, by_position).otherwise(F.array()),
+        F.when(count == r_count, by_position).otherwise(F.array()),
     )
     return both.select("id", F.inline(F.array_compact(all_entries)))
 

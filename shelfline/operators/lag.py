@@ -80,16 +80,19 @@ def lag_report(outbox: DataFrame, now: Column | str, **scope: str) -> DataFrame:
 
 
 def lag_report_json(outbox: DataFrame, now: Column | str, **scope: str) -> DataFrame:
-    """The lag report with its retry distribution as one JSON object (column ``value``)."""
+    """The lag report with its scope and retry distribution as one JSON object (column ``value``)."""
     retries = retry_distribution(scoped(outbox, **scope)).agg(
         F.array_sort(F.collect_list(F.struct("retry_count", "event_count"))).alias("retries")
     )
     both = one_row(lag_report(outbox, now, **scope), retries)
+    bounds = {"windowStart": "window_start", "windowEnd": "window_end", "smokeRun": "run"}
+    window = [F.lit(scope.get(name) or None).cast("string").alias(key) for key, name in bounds.items()]
     counts = [c for c in both.columns if c.endswith("_count") or c.startswith("oldest")]
     lags = [c for c in both.columns if c.startswith("lag_")]
     return both.select(
         F.to_json(
             F.struct(
+                F.struct(*window).alias("window"),
                 F.struct(*[c for c in counts if c not in lags]).alias("statusCounts"),
                 F.struct(*lags).alias("totalIndexingLagMs"),
                 F.transform(

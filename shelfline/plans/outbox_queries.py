@@ -21,6 +21,8 @@ from shelfline.streaming import relay
 NOW = "2024-02-01 00:00:00"
 LEASE_MS = 86_400_000
 CLAIM = 100
+#: Added to ids that only the older or only the newer side of a comparison has.
+EARLIER, LATER = 1_000_000_000, 2_000_000_000
 
 
 def _outbox(check: str, *more: str, **extra: str) -> str:
@@ -31,15 +33,21 @@ def _outbox(check: str, *more: str, **extra: str) -> str:
 
 
 def _snapshots(spark, sf):
-    """Products before and after a change: new ones appear, deleted ones are gone for good."""
+    """Products before and after a change, each side with ids that the other does not have."""
     products = star.products(spark, sf)
-    before = as_created(products).where("created_at < TIMESTAMP_NTZ '2001-01-01 00:00:00'")
-    return before, products.where("status <> 'DELETED'")
+    late = F.col("created_at") >= F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    apart = [F.when(late, F.col("id") + EARLIER), F.when(F.col("status") == "DELETED", F.col("id") + LATER)]
+    before, after = (c.otherwise(F.col("id")).alias("id") for c in apart)
+    rest = [c for c in products.columns if c != "id"]
+    return as_created(products).select(before, *rest), products.select(after, *rest)
 
 
 _SNAPSHOT_SQL = {
-    "old_products": AS_CREATED_SQL + " WHERE created_at < TIMESTAMP '2001-01-01 00:00:00'",
-    "new_products": "SELECT * FROM products WHERE status <> 'DELETED'",
+    "created": AS_CREATED_SQL,
+    "old_products": f"""SELECT * REPLACE (CASE WHEN created_at >= TIMESTAMP '2001-01-01 00:00:00'
+                                               THEN id + {EARLIER} ELSE id END AS id) FROM created""",
+    "new_products": f"""SELECT * REPLACE (CASE WHEN status = 'DELETED' THEN id + {LATER} ELSE id END
+                                          AS id) FROM products""",
 }
 
 
@@ -383,33 +391,51 @@ def _lag_report_sql(where: str = "TRUE") -> str:
 
 
 _WINDOW = {"window_start": "2024-01-05 00:00:00", "window_end": "2024-01-20 00:00:00"}
+_IN_WINDOW = (
+    f"created_at >= TIMESTAMP '{_WINDOW['window_start']}' "
+    f"AND created_at < TIMESTAMP '{_WINDOW['window_end']}'"
+)
 add("lag_report", lambda s, sf: lag.lag_report(star.outbox(s, sf), NOW), _lag_report_sql())
 add(
     "lag_report_window",
     lambda s, sf: lag.lag_report(star.outbox(s, sf), NOW, **_WINDOW),
-    _lag_report_sql(
-        f"created_at >= TIMESTAMP '{_WINDOW['window_start']}' "
-        f"AND created_at < TIMESTAMP '{_WINDOW['window_end']}'"
-    ),
+    _lag_report_sql(_IN_WINDOW),
 )
+
+
+def _lag_json(spark, sf):
+    """Every field of the JSON object."""
+    counts = "pending_count long, processing_count long, failed_count long, done_count long"
+    lags = "lag_count long, lag_p50_ms double, lag_p95_ms double, lag_p99_ms double, lag_max_ms double"
+    shape = (
+        "window struct<windowStart string, windowEnd string, smokeRun string>, "
+        f"statusCounts struct<{counts}, oldest_pending_age_ms double>, "
+        f"totalIndexingLagMs struct<{lags}>, "
+        "retryCountDistribution array<struct<retryCount int, eventCount long>>"
+    )
+    found = lag.lag_report_json(star.outbox(spark, sf), NOW, **_WINDOW).select(
+        F.from_json("value", shape).alias("v")
+    )
+    retry = F.transform("v.retryCountDistribution", lambda r: F.concat_ws(":", r["retryCount"], r["eventCount"]))
+    return found.select(
+        F.col("v.window.windowStart").alias("window_start"),
+        F.col("v.window.windowEnd").alias("window_end"),
+        "v.statusCounts.*",
+        "v.totalIndexingLagMs.*",
+        F.array_join(retry, ",").alias("retries"),
+    )
+
+
 add(
     "lag_report_json",
-    lambda s, sf: lag.lag_report_json(star.outbox(s, sf), NOW).select(
-        F.get_json_object("value", "$.statusCounts.done_count").cast("long").alias("done_count"),
-        F.get_json_object("value", "$.totalIndexingLagMs.lag_p95_ms")
-        .cast("double")
-        .alias("lag_p95_ms"),
-        F.json_array_length(F.get_json_object("value", "$.retryCountDistribution"))
-        .cast("long")
-        .alias("retry_groups"),
-    ),
-    _outbox(
-        """SELECT count(*) FILTER (WHERE status = 'DONE') AS done_count,
-                  (SELECT round(quantile_cont(v, 0.95), 3) FROM lags) AS lag_p95_ms,
-                  count(DISTINCT retry_count) AS retry_groups FROM scoped""",
-        scoped="SELECT * FROM outbox",
-        **_LAG_SQL,
-    ),
+    _lag_json,
+    f"""SELECT '{_WINDOW["window_start"]}' AS window_start, '{_WINDOW["window_end"]}' AS window_end,
+               r.*, t.retries
+        FROM ({_lag_report_sql(_IN_WINDOW)}) r CROSS JOIN ({_outbox(
+            f"""SELECT string_agg(retry_count || ':' || n, ',' ORDER BY retry_count) AS retries FROM (
+                    SELECT retry_count, count(*) AS n FROM outbox WHERE {_IN_WINDOW}
+                    GROUP BY retry_count)"""
+        )}) t""",
 )
 add(
     "lag_gate",
@@ -472,9 +498,9 @@ add(
 )
 add(
     "duplicate_aggregates",
-    lambda s, sf: lag.duplicate_aggregates(star.outbox(s, sf).where("status = 'PENDING'")),
+    lambda s, sf: lag.duplicate_aggregates(star.outbox(s, sf)),
     _outbox(
-        """SELECT aggregate_id, count(*) AS event_count FROM outbox WHERE status = 'PENDING'
+        """SELECT aggregate_id, count(*) AS event_count FROM outbox
            GROUP BY aggregate_id HAVING count(*) > 1"""
     ),
 )
@@ -769,13 +795,19 @@ def _stream_status(spark, sf):
         star.outbox_from_events(raw), "outbox_status_counts", shared_dir(spark, "status")
     )
     query.awaitTermination()
-    return spark.table("outbox_status_counts").select("status", "event_count")
+    return spark.table("outbox_status_counts")
 
 
 add(
     "stream_status",
     _stream_status,
-    _outbox("SELECT status, count(*) AS event_count FROM outbox GROUP BY status"),
+    _outbox(
+        f"""SELECT status, CAST(length(bin(CAST(floor({_ms('created_at', 'processed_at')}) AS BIGINT)))
+                         AS INTEGER) AS lag_bits,
+                   count(*) AS event_count,
+                   max(CAST({_ms('created_at', 'processed_at')} AS DOUBLE)) AS lag_max_ms
+            FROM outbox GROUP BY ALL"""
+    ),
 )
 
 
