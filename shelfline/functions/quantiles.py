@@ -1,9 +1,10 @@
 """Exact quantiles whose state stays small on any data size.
 
-The built-in exact percentile keeps every different value of a group in one task. Here a
-histogram over value buckets finds the bucket of each wanted rank first; then only the values
-of those buckets are counted and ranked. The histogram runs when the function is called, so that
-its few target buckets can be broadcast; the rest stays lazy.
+The built-in exact percentile keeps every different value of a group in one task. Here a histogram
+over value buckets finds the bucket of each wanted rank first, and a second one cuts each of these
+buckets into equal slices between its least and greatest value; only the values of the slices that
+hold a wanted rank are counted and ranked. Both histograms run when the function is called, so that
+their few targets can be broadcast; the rest stays lazy.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from shelfline.functions.small import checked
 
 #: Buckets per doubling of the value; a bucket spans about 0.3 % of it.
 BUCKETS_PER_OCTAVE = 256
+#: Equal slices of a bucket that holds a wanted rank.
+SLICES = 16_384
 
 
 def _bucket(value: Column) -> Column:
@@ -37,6 +40,36 @@ def _wanted(name: str, prob: float, total: Column, discrete: bool) -> list[Colum
     return [entry("lo", F.floor(position)), entry("hi", F.ceil(position))]
 
 
+def _counts(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Rows, least and greatest value of each bucket."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("top"), *more
+    )
+
+
+def _reached(rows: DataFrame, hist: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the buckets that hold a target, with targets ranked within the bucket.
+
+    ``hist`` has the buckets with their targets and, in ``upto``, the rows up to each bucket.
+    """
+    before = F.col("upto") - F.col("c")
+    here = F.filter("targets", lambda t: (t["rank"] < F.col("upto")) & (t["rank"] >= before))
+    within = F.transform(
+        here,
+        lambda t: F.struct(
+            t["name"].alias("name"), t["side"].alias("side"), (t["rank"] - before).alias("rank")
+        ),
+    )
+    targets = hist.withColumn("targets", within).where(F.size("targets") > 0)
+    targets = targets.select(
+        *[F.col(k).alias(f"t_{k}") for k in keys], "low", "top", "n", "max", "targets"
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
+    return rows.join(checked(targets), same, "inner").select(
+        *keys, "v", "low", "top", "n", "max", "targets"
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -56,8 +89,7 @@ def exact_quantiles(
     )
     in_group = Window.partitionBy(*by)
     hist = (
-        rows.groupBy(*by, "bucket")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("top"))
+        _counts(rows, [*by, "bucket"])
         .withColumn("upto", F.sum("c").over(in_group.orderBy("bucket")))
         .withColumn("n", F.sum("c").over(in_group))
         .withColumn("max", F.max("top").over(in_group))
@@ -65,30 +97,17 @@ def exact_quantiles(
     wanted = F.array(
         *[w for name, p in probs.items() for w in _wanted(name, p, F.col("n"), discrete)]
     )
-    here = F.filter(
-        wanted,
-        lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("c")),
-    )
-    targets = (
-        hist.withColumn("targets", here)
-        .where(F.size("targets") > 0)
-        .withColumn(
-            "targets",
-            F.transform(
-                "targets",
-                lambda t: F.struct(
-                    t["name"].alias("name"),
-                    t["side"].alias("side"),
-                    (t["rank"] - (F.col("upto") - F.col("c"))).alias("rank"),
-                ),
-            ),
-        )
-    )
     keys = [*by, "bucket"]
-    targets = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], "n", "max", "targets")
-    targets = checked(targets)
-    same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
-    inside = rows.join(targets, same, "inner").select(*keys, "v", "n", "max", "targets")
+    inside = _reached(rows, hist.withColumn("targets", wanted), keys)
+    share = F.try_divide(F.col("v") - F.col("low"), F.col("top") - F.col("low"))
+    place = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
+    inside = inside.withColumn("slice", F.when(F.col("top") > F.col("low"), place).otherwise(0))
+    carried = [F.any_value(c).alias(c) for c in ("n", "max", "targets")]
+    hist = _counts(inside, [*keys, "slice"], *carried).withColumn(
+        "upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("slice"))
+    )
+    keys = [*keys, "slice"]
+    inside = _reached(inside.select(*keys, "v"), hist, keys)
     counted = (
         inside.groupBy(*keys, "v")
         .agg(

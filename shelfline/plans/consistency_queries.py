@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfline.functions.quantiles import exact_quantiles
 from shelfline.operators import outbox as ob
 from shelfline.operators import paging, readmodels
 from shelfline.operators.spec import SearchSpec
@@ -165,3 +166,28 @@ add(
         "option_rows",
     ),
 )
+
+#: So far from zero, all values share one bucket of the first histogram.
+_FAR = 1_700_000_000_000
+
+
+def _narrow_quantiles(spark, sf):
+    """Quantiles of event ids far from zero, per type of event."""
+    events = star.outbox(spark, sf)
+    rows = events.select((F.col("id") + _FAR).alias("v"), "event_type")
+    found = exact_quantiles(rows, "v", {"p05": 0.05, "p50": 0.5, "p99": 0.99}, ["event_type"])
+    near = [F.round(F.col(c) - _FAR, 2).alias(c) for c in ("p05", "p50", "p99", "max")]
+    return found.select("event_type", "n", *near)
+
+
+add(
+    "quantiles_narrow_range",
+    _narrow_quantiles,
+    q.with_relations(
+        """SELECT event_type, count(*) AS n, round(quantile_cont(CAST(id AS DOUBLE), 0.05), 2) AS p05,
+                  round(quantile_cont(CAST(id AS DOUBLE), 0.5), 2) AS p50,
+                  round(quantile_cont(CAST(id AS DOUBLE), 0.99), 2) AS p99,
+                  CAST(max(id) AS DOUBLE) AS max FROM outbox GROUP BY event_type""",
+        "outbox",
+    ),
+)

@@ -200,3 +200,14 @@ def test_exact_quantiles_per_group_and_with_nulls(spark):
     assert exact_quantiles(df.limit(0), "v", {"p50": 0.5}).first().p50 is None
     assert exact_quantiles(df.limit(0), "v", {"p50": 0.5}, ["g"]).count() == 0
     assert lag.quantile_row(df.limit(0), "v").first().p95 == 0
+
+
+def test_quantiles_of_close_values_rank_few_of_them(spark):
+    """200 000 values in one bucket: no window sees more than a slice of them."""
+    from shelfline.functions import quantiles
+
+    rows = spark.range(200_000).select((F.col("id") + 1_700_000_000_000).alias("v"))
+    found = quantiles.exact_quantiles(rows, "v", {"p50": 0.5, "p99": 0.99})
+    assert found.first().p50 == 1_700_000_000_000 + 99_999.5
+    bucket = rows.select(quantiles._bucket(F.col("v")).alias("b")).distinct().count()
+    assert bucket == 1
