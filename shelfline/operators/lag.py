@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import elapsed_ms, elapsed_s, one_row, ratio
@@ -313,12 +313,19 @@ def fallback_rollup(requests: DataFrame) -> DataFrame:
 
 
 def latency_rollup(requests: DataFrame) -> DataFrame:
-    """Per scenario and in total: requests, share, rate, p95 and failed checks."""
+    """Per scenario and in total: requests, share in percent, rate, p95 and failed checks.
+
+    A check fails with any status but 200 and, where the log has both columns, with another number
+    of rows than the limit asked for.
+    """
+    bad = F.col("status") != 200
+    if {"returned_count", "limit"} <= set(requests.columns):
+        bad = bad | (F.col("returned_count") != F.col("limit"))
     rows = requests.select(
         F.explode(F.array(F.col("scenario"), F.lit("all"))).alias("scenario"),
         "ts",
         "duration_ms",
-        (F.col("status") != 200).alias("bad"),
+        bad.alias("bad"),
     )
     totals = rows.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("requests"),
@@ -329,6 +336,8 @@ def latency_rollup(requests: DataFrame) -> DataFrame:
     return totals.join(p95.select("scenario", "p95"), "scenario").select(
         "scenario",
         "requests",
+        # A handful of rows, one for each scenario and the total.
+        ratio(F.col("requests") * 100, F.max("requests").over(Window.partitionBy()), 4).alias("share_pct"),
         "failed_checks",
         ratio(F.col("requests"), F.col("seconds"), 6).alias("requests_per_s"),
         F.round("p95", 3).alias("p95_ms"),

@@ -126,6 +126,38 @@ def capture_events(
     )
 
 
+def capture_option_events(
+    old: DataFrame, new: DataFrame, created_at: Column, first_id: int = 1
+) -> DataFrame:
+    """One PENDING PRODUCT_OPTION_CHANGED row per product whose options differ in two snapshots.
+
+    Options are compared as a multiset, by counts that are reduced map-side: a product with very
+    many options moves at most one count per different triple and task. The event ids of a
+    capture lie beyond the highest id of ``capture_events`` only if ``first_id`` says so.
+    """
+    triple = ["color", "size", "stock_status"]
+    signed = [s.select("product_id", *triple, F.lit(w).alias("w")) for s, w in ((old, -1), (new, 1))]
+    counts = signed[0].unionAll(signed[1]).groupBy("product_id", *triple).agg(F.sum("w").alias("w"))
+    changed = counts.where("w <> 0").groupBy(F.col("product_id").alias("aggregate_id")).agg(
+        F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(0)).alias("added"),
+        F.sum(F.when(F.col("w") < 0, -F.col("w")).otherwise(0)).alias("removed"),
+    )
+    kind = "PRODUCT_OPTION_CHANGED"
+    payload = F.to_json(
+        F.struct(
+            F.col("aggregate_id").alias("productId"),
+            F.lit(kind).alias("eventType"),
+            F.lit(False).alias("tombstone"),
+            F.col("added").alias("addedOptions"),
+            F.col("removed").alias("removedOptions"),
+        )
+    )
+    events = changed.select(
+        "*", F.lit(kind).alias("event_type"), F.lit(0).alias("slot")
+    )
+    return pending_events(events.withColumn("id", _slot_id(first_id)), payload, created_at)
+
+
 def _slot_id(first_id: int) -> Column:
     """Two id slots per product, also for negative product ids."""
     pid = F.col("aggregate_id")

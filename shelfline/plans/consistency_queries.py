@@ -11,7 +11,7 @@ from shelfline.operators.spec import SearchSpec
 from shelfline.plans import check_sql as q
 from shelfline.plans.outbox_queries import NOW, UPSERT_SQL, old_store, relay_source
 from shelfline.plans.registry import add
-from shelfline.plans.report_queries import flat_documents
+from shelfline.plans.report_queries import flat_documents, restocked
 from shelfline.plans.search_queries import refreshed_at
 from shelfline.session import shared_dir
 from shelfline.sources import documents_json
@@ -191,3 +191,34 @@ add(
         "outbox",
     ),
 )
+
+
+def _captured_options(spark, sf):
+    """Options whose stock, or every seventh of which the product, has changed."""
+    new = star.option_rows(spark, sf)
+    owner = F.when(F.col("id.l_linenumber") == 7, F.col("product_id") + 1)
+    old = restocked(new).withColumn("product_id", F.coalesce(owner, "product_id"))
+    events = ob.capture_option_events(old, new, F.lit(NOW), first_id=1)
+    payload = F.from_json("payload", "productId long, addedOptions long, removedOptions long")
+    return events.withColumn("e", payload).select("id", "aggregate_id", "event_type", "status", "e.*")
+
+
+add(
+    "capture_option_events",
+    _captured_options,
+    q.with_relations(
+        """SELECT product_id * 4 + 1 AS id, product_id AS aggregate_id,
+                  'PRODUCT_OPTION_CHANGED' AS event_type, 'PENDING' AS status,
+                  product_id AS "productId",
+                  CAST(sum(greatest(w, 0)) AS BIGINT) AS "addedOptions",
+                  CAST(sum(greatest(-w, 0)) AS BIGINT) AS "removedOptions"
+           FROM (SELECT product_id, color, size, stock_status, sum(w) AS w FROM (
+                   SELECT product_id, color, size, stock_status, 1 AS w FROM option_rows
+                   UNION ALL
+                   SELECT CASE WHEN line = 7 THEN product_id + 1 ELSE product_id END, color, size,
+                          CASE stock_status WHEN 'OUT_OF_STOCK' THEN 'IN_STOCK' ELSE stock_status END, -1
+                   FROM option_rows) GROUP BY ALL)
+           WHERE w <> 0 GROUP BY product_id""",
+        "option_rows",
+    ),
+)

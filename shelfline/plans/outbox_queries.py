@@ -680,7 +680,8 @@ def _requests(spark, sf):
         F.lit("documents").alias("read_path"),
         F.col("value").alias("duration_ms"),
         F.when(failed & (n % 10 == 9), 503).otherwise(200).alias("status"),
-        F.lit(50).alias("returned_count"),
+        F.when(n % 50 == 7, 49).otherwise(50).alias("returned_count"),
+        F.lit(50).alias("limit"),
         F.when(failed, F.element_at(reasons, (n % 5).cast("int") + 1)).alias("failure_reason"),
     )
 
@@ -691,7 +692,8 @@ _REQUESTS_SQL = f"""
            CASE WHEN event_type = 'error' AND event_id % 10 = 9 THEN 503 ELSE 200 END AS status,
            CASE WHEN event_type = 'error'
                 THEN list_extract({lag.REASONS!r}, CAST(event_id % 5 AS INTEGER) + 1) END
-               AS failure_reason FROM events"""
+               AS failure_reason,
+           CASE WHEN event_id % 50 = 7 THEN 49 ELSE 50 END AS returned_count FROM events"""
 add(
     "fallback_rollup",
     lambda s, sf: lag.fallback_rollup(_requests(s, sf)),
@@ -712,7 +714,8 @@ add(
     f"""WITH r AS ({_REQUESTS_SQL}),
              a AS (SELECT * FROM r UNION ALL SELECT * REPLACE ('all' AS scenario) FROM r)
         SELECT scenario, count(*) AS requests,
-               count(*) FILTER (WHERE status <> 200) AS failed_checks,
+               round(CAST(count(*) * 100 AS DOUBLE) / (SELECT count(*) FROM r), 4) AS share_pct,
+               count(*) FILTER (WHERE status <> 200 OR returned_count <> 50) AS failed_checks,
                round(CAST(count(*) AS DOUBLE)
                      / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 0), 6)
                    AS requests_per_s,

@@ -270,7 +270,7 @@ add(
 )
 
 
-def _restocked(options: DataFrame) -> DataFrame:
+def restocked(options: DataFrame) -> DataFrame:
     """Options before they went out of stock."""
     back = F.when(F.col("stock_status") == "OUT_OF_STOCK", "IN_STOCK").otherwise(F.col("stock_status"))
     return options.withColumn("stock_status", back)
@@ -282,7 +282,7 @@ _RESTOCKED = "CASE stock_status WHEN 'OUT_OF_STOCK' THEN 'IN_STOCK' ELSE stock_s
 def _in_stock_table(spark, sf):
     """A read table that never saw an option go out of stock."""
     products, options = tables(spark, sf)
-    return readmodels.signature_table(products, _restocked(options), refreshed_at())
+    return readmodels.signature_table(products, restocked(options), refreshed_at())
 
 
 add(
@@ -429,7 +429,7 @@ def _document_differences(spark, sf):
     owner = F.when(F.col("id.l_linenumber") == 7, -F.col("product_id") - 1).otherwise(F.col("product_id"))
     old = readmodels.documents(
         as_created(products).withColumn("rating", rating),
-        _restocked(options).withColumn("product_id", owner),
+        restocked(options).withColumn("product_id", owner),
         refreshed_at(),
         listed=True,
     )
