@@ -11,7 +11,9 @@ Three differing bits leave two of five blocks of a SimHash untouched, so lines m
 of two blocks each. Lines that share a key and lie within three bits of another are joined with
 their texts, and a group works through its lines: each is compared with those it is not yet
 connected to, so a group of near copies costs one round and its links are as many as its lines.
-All pairs are settled, none are emitted.
+All pairs are settled, none are emitted. A group of more than HOT lines is no single task's work: a
+join first compares all its lines with one of them, and the lines that are not linked to it are then
+compared with all lines of the group in cells of bounded size.
 
 Cases: null text stays null and has no lines; empty lines stay; rows that share a doc_id are the
 same occurrence and keep the same lines; the lines of rows without doc_id are left alone and take
@@ -48,6 +50,8 @@ MASKS = tuple(
 REMEMBERED = 500_000
 #: Rows of a run compared at once.
 TOGETHER = 512
+#: Lines that one task compares as a whole group, and lines on a side of a cell of a larger one.
+HOT, CELL = 20_000, 5_000
 
 
 def normal_words(line: str) -> list[str]:
@@ -176,6 +180,51 @@ def group_links(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def cell_links(asking: pa.Table, held: pa.Table) -> pa.Table:
+    """Links (a, b) between asking and held lines; held lines with `joined` are one component already."""
+    ids, sims = held.column("line").to_numpy(), held.column("sim").to_numpy().view(np.uint64)
+    texts = held.column("norm").to_pylist()
+    label = np.where(held.column("joined").to_numpy(zero_copy_only=False), -1, np.arange(len(ids)))
+    links = []
+    for own, sim, text in zip(*(asking.column(c).to_pylist() for c in ("line", "sim", "norm"))):
+        close = np.flatnonzero(np.bitwise_count(sims ^ np.int64(sim).view(np.uint64)) <= LIMIT)
+        met: set[int] = set()
+        for j in close.tolist():
+            if ids[j] != own and int(label[j]) not in met and similar(text, texts[j]):
+                links.append((own, ids[j]))
+                met.add(int(label[j]))
+        if met:
+            label[np.isin(label, list(met))] = min(met)
+    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def hot_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups in sizes (of_mask, of_value, n), each spread over many tasks."""
+    same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
+    first = members.join(sizes, same).groupBy("of_mask", "of_value", "n").agg(F.min(F.struct("line", "sim", "norm")).alias("first"))
+    rows = members.join(first, same)
+    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("first.sim"))) <= LIMIT
+    longer = F.greatest(F.char_length("norm"), F.char_length("first.norm"))
+    most = F.floor((1 - SIMILAR) * longer + 1e-9)
+    is_first = F.col("line") == F.col("first.line")
+    rows = rows.select(
+        "mask", "value", "sim", "line", "norm", F.col("first.line").alias("of_first"),
+        F.ceil(F.col("n") / CELL).alias("k"),
+        F.when(is_first | ~near, is_first).otherwise(F.levenshtein("norm", "first.norm") <= most).alias("joined"),
+    )
+    linked = rows.where("joined and line <> of_first").select(F.col("line").alias("a"), F.col("of_first").alias("b"))
+    cells = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
+    asking = rows.where("not joined").select("mask", "value", "sim", "line", "norm", F.pmod(F.xxhash64("line"), F.col("k")).alias("x"), F.explode(cells).alias("y"))
+    held = rows.select(
+        "mask", F.col("value"), F.col("sim").alias("held_sim"), F.col("line").alias("held_line"), F.col("norm").alias("held_norm"),
+        "joined", F.explode(cells).alias("x"), F.pmod(F.xxhash64("line"), F.col("k")).alias("y"),
+    )
+    held = held.toDF("mask", "value", "sim", "line", "norm", "joined", "x", "y")
+    keys = ["mask", "value", "x", "y"]
+    crossed = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(cell_links, "a long, b long")
+    return linked.unionAll(crossed)
+
+
 def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(of_doc, pos): the lines to remove from each document."""
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
@@ -196,7 +245,11 @@ def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # A document that stands twice gives its lines twice.
     texts = written(spark, texts.groupBy("line", "line_sim").agg(F.min("norm").alias("norm")), "line-texts")
     members = runs.join(texts, F.col("sim") == F.col("line_sim")).select("mask", "value", "sim", "line", "norm")
-    links = members.groupBy("mask", "value").applyInArrow(group_links, "a long, b long")
+    members = written(spark, members, "members")
+    sizes = members.groupBy(F.col("mask").alias("of_mask"), F.col("value").alias("of_value")).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
+    usual = members.join(sizes, same, "left_anti").groupBy("mask", "value")
+    links = usual.applyInArrow(group_links, "a long, b long").unionAll(hot_links(members, sizes))
     roots = components(spark, links)
     rooted = lines.join(roots, F.col("line") == F.col("node"))
     best = rooted.groupBy("root").agg(F.min("first").alias("kept"))

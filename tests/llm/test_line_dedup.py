@@ -76,9 +76,13 @@ def test_edge_rows(spark):
     assert line_dedup.keep_first_lines(spark, docs.limit(0)).count() == 0
 
 
-def test_a_large_group_of_near_lines_keeps_one(spark):
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_a_large_group_of_near_lines_keeps_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "CELL", 3)
     words = LONG.split() * 3
     texts = [" ".join(words[:i] + ["changed"] + words[i + 1 :]) for i in range(0, 60, 2)]
+    texts += [t.replace("length", "lengths") for t in texts] + [" ".join(words[5:]), " ".join(words[::-1])]
     rows = [(i, t) for i, t in enumerate([" ".join(words), *texts])]
     got = line_dedup.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == plain(rows)
