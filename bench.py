@@ -21,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from shelfline.functions.quantiles import exact_quantiles  # noqa: E402
 from shelfline.operators import distribution, lag, paging, readmodels, search  # noqa: E402
 from shelfline.operators import outbox as ob  # noqa: E402
 from shelfline.operators.spec import SearchSpec  # noqa: E402
@@ -148,6 +149,14 @@ def main() -> None:
         runs[f"{name}_exists"] = lambda spec=spec: search.search_exists(
             products, options, spec
         ).collect()
+        runs[f"{name}_join_distinct_plain"] = lambda spec=spec: search.search_join_distinct(
+            products, raw_options, spec
+        ).collect()
+    deep = SearchSpec(sort="reviewCountDesc", limit=50, offset=products.count() * 2 // 3)
+    runs["deep_page"] = lambda: paging.page(products, deep).collect()
+    runs["price_quantiles"] = lambda: exact_quantiles(
+        products, "price", {"p50": 0.5, "p99": 0.99}
+    ).collect()
     for name, spec in sets.items():
         runs[f"{name}_join_distinct"] = lambda spec=spec: search.search_join_distinct(
             products, options, spec
@@ -186,6 +195,12 @@ def main() -> None:
         )
         rates["relay_events_per_s"] = sum(sizes) / times["relay_drain"]
         rates["relay_events"] = sum(sizes)
+        config = ob.RelayConfig(enabled=True, batch_size=100, max_drain_rounds=2)
+        sizes = []
+        times["relay_drain_100"] = seconds(
+            lambda: sizes.extend(relay.drain_outbox(events, store, source, NOW, config))
+        )
+        rates["relay_events_per_s_100"] = sum(sizes) / times["relay_drain_100"]
 
     print(
         json.dumps(

@@ -27,10 +27,10 @@ def group_counts(
 def top_groups(df: DataFrame, keys: list[str], n: int = 20, digits: int = 4) -> DataFrame:
     """The n largest groups with their share of all rows; ties go to the smaller keys.
 
-    The total is a sum over the same counts, taken from one more pass over the small side.
+    The total is a sum over the same counts, so the shuffled counts are used twice.
     """
     counts = group_counts(df, *keys)
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counts.agg(F.sum("row_count").alias("total")).scalar()
     ranked = counts.orderBy(F.col("row_count").desc(), *keys).limit(n)
     return ranked.withColumn("percentage", share(F.col("row_count"), total, digits))
 

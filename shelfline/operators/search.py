@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfline import schemas
 from shelfline.operators import paging
-from shelfline.operators.spec import SearchSpec
+from shelfline.operators.spec import RESULT_WINDOW, SearchSpec
 
 
 def _all(predicates: list[Column]) -> Column:
@@ -123,8 +123,13 @@ def search_signatures(table: DataFrame, spec: SearchSpec) -> DataFrame:
     return paging.page(matches_signatures(table, spec.validate()), spec)
 
 
-def search_documents(docs: DataFrame, spec: SearchSpec, flattened: bool = False) -> DataFrame:
-    paging.check_result_window(spec.validate())
+def search_documents(
+    docs: DataFrame, spec: SearchSpec, flattened: bool = False, window: int | None = RESULT_WINDOW
+) -> DataFrame:
+    """A page of documents; one that ends beyond ``window`` rows is refused, None sets no bound."""
+    spec.validate()
+    if window is not None:
+        paging.check_result_window(spec, window)
     return paging.page(matches_documents(docs, spec, flattened), spec)
 
 
@@ -141,11 +146,11 @@ def search_keyset(
 
 
 def search(path: str, spec: SearchSpec, **tables: DataFrame) -> DataFrame:
-    """One entry for all paths; every path returns the same columns."""
+    """One entry for all paths; every path returns the same rows and columns at every offset."""
     if path == "db":
         return search_exists(tables["products"], tables["options"], spec)
     if path == "documents":
-        return search_documents(tables["documents"], spec)
+        return search_documents(tables["documents"], spec, window=None)
     if path == "signatures":
         return search_signatures(tables["signatures"], spec)
     if path == "join_distinct":
