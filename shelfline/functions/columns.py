@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline import schemas
-
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 SIGNATURE_DELIMITER = "|"
 
@@ -125,10 +123,6 @@ def payload_field(name: str, payload: str = "payload") -> Column:
     return F.get_json_object(F.col(payload), f"$.{name}")
 
 
-def parsed_payload(payload: str = "payload") -> Column:
-    return F.from_json(F.col(payload), schemas.PAYLOAD)
-
-
 def one_row(*frames: DataFrame) -> DataFrame:
     """Several one-row tables with different columns as one row; no join is needed for that."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -159,35 +159,14 @@ DOCUMENT_JSON = _struct("""
     T.StructType(
         [
             *_strings("color", "size", "stockStatus").fields,
-            T.StructField("copies", T.LongType()),  # only in documents too large to write out
+            T.StructField("copies", T.LongType()),  # only in documents written with counted options
         ]
     )
 ))
 
-METRIC_SAMPLES = _struct("""
-    ts timestamp
-    metric string
-    labels map<string,string>
-    value double
-""")
-
-REQUEST_LOG = _struct("""
-    ts timestamp
-    scenario string
-    read_path string
-    duration_ms double
-    status int
-    returned_count int
-    failure_reason string?
-""")
-
 API_COLUMNS = [f.name for f in PRODUCTS.fields]
 
 
-def required(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields if not f.nullable]
-
-
 def product_rules() -> dict:
     """Row rules of ``products`` as boolean columns; each must hold for every row."""
     return {
