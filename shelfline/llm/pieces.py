@@ -31,9 +31,10 @@ from shelfline.llm.common import portions, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
-#: Encoded words a task remembers before it starts anew; it only saves work.
-REMEMBERED = 400_000
+#: Encoded words and judged pairs a worker remembers before it starts anew; it only saves work.
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 500_000
 START = ""
+PAIR = (2,)
 
 
 class Vocabulary:
@@ -47,6 +48,7 @@ class Vocabulary:
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
         self.output: list[bytes] = []
+        self.encoder: Encoder | None = None
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -60,18 +62,30 @@ class Vocabulary:
                 self.output.append(piece.replace(MARK, " ").encode())
 
 
+    def shared_encoder(self) -> Encoder:
+        """One encoder for all tasks of a worker, which keeps the broadcast vocabulary between them."""
+        if self.encoder is None:
+            self.encoder = Encoder(self)
+        return self.encoder
+
+
 class Encoder:
-    """Encodes sorted words; keeps the forward table of the last word and the pairs judged so far."""
+    """Encodes sorted words; keeps the forward table of the last word, and words and pairs met so far."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.apart: dict[tuple[str, str], bool] = {}
-        # Lengths of the longer pieces that end in two given characters, longest first.
+        self.known: dict[str, tuple[int, ...]] = {}
+        # Lengths of the pieces that end in three given characters, longest first; elsewhere only
+        # a piece of two characters can end.
         lengths: dict[str, set[int]] = {}
         for piece in vocabulary.ids:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
+            if len(piece) > 2:
+                found = lengths.setdefault(piece[-3:], set())
+                found.add(len(piece))
+                if piece[-2:] in vocabulary.ids:
+                    found.add(2)
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         self.word, self.last = "", [START]
 
     def merged(self, text: str) -> list[str]:
@@ -88,25 +102,28 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def stay_apart(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        found = self.apart.get(pair)
-        if found is None:
-            wanted = [right] if left == START else [left, right]
-            found = self.apart[pair] = self.merged(left + right) == wanted
+        wanted = [right] if left == START else [left, right]
+        found = self.apart[left, right] = self.merged(left + right) == wanted
         return found
 
     def encode(self, word: str) -> tuple[int, ...]:
         """Ids of a word; cheapest when words come in sorted order."""
-        last, before, ids = self.last, self.word, self.vocabulary.ids
+        last, before, ids, lengths, apart = self.last, self.word, self.vocabulary.ids, self.lengths, self.apart
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
         del last[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            for n in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                if n <= end:
-                    piece = word[end - n : end]
-                    if piece in ids and self.stay_apart(last[end - n], piece):
+            for n in lengths.get(word[end - 3 : end], PAIR) if end > 2 else PAIR:
+                if n > end:
+                    continue
+                piece = word[end - n : end]
+                if piece in ids:
+                    left = last[end - n]
+                    found = apart.get((left, piece))
+                    if found is None:
+                        found = self.stay_apart(left, piece)
+                    if found:
                         last.append(piece)
                         break
             else:
@@ -125,7 +142,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def encode_texts(texts: list[str | None], encoder: Encoder, known: dict[str, tuple[int, ...]]) -> list[list[int]]:
+def encode_texts(texts: list[str | None], encoder: Encoder) -> list[list[int]]:
+    known = encoder.known
+    if len(known) > REMEMBERED:
+        known.clear()
+    if len(encoder.apart) > REMEMBERED_PAIRS:
+        encoder.apart.clear()
     cut = [words_of(t) for t in texts]
     for word in sorted({w for words in cut for w in words if w not in known}):
         known[word] = encoder.encode(word)
@@ -145,11 +167,9 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFram
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = Encoder(vocabulary.value), {}
+        encoder = vocabulary.value.shared_encoder()
         for part in portions(batches, "text"):
-            if len(known) > REMEMBERED:
-                known.clear()
-            found = encode_texts(part.column("text").to_pylist(), encoder, known)
+            found = encode_texts(part.column("text").to_pylist(), encoder)
             decoded = [decode(ids, vocabulary.value.output) for ids in found]
             arrays = [part.column("doc_id"), pa.array(found, pa.list_(pa.int32())), pa.array([len(x) for x in found], pa.int32()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "token_ids", "n_tokens", "decoded"])

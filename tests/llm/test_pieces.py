@@ -36,7 +36,7 @@ def test_odd_texts(library, vocabulary):
     parts = list("aeth\n\t \u00e9\U0001f600\u65e5=<>_x0\u2581") + ["the", "ing", "    ", "  ", "<s>", "<0x41>", "======"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(3_000)]
     texts += [" " * n for n in range(40)] + ["a" + " " * n + "b" for n in range(40)] + ["x" * 5_000, "ab" * 3_000]
-    got = pieces.encode_texts(texts, pieces.Encoder(vocabulary), {})
+    got = pieces.encode_texts(texts, pieces.Encoder(vocabulary))
     assert got == library.encode(texts)
     assert [pieces.decode(ids, vocabulary.output) for ids in got] == [t.replace("\u2581", " ") for t in texts]
 
@@ -44,7 +44,7 @@ def test_odd_texts(library, vocabulary):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), max_size=5))
 def test_any_text_round_trips(library, vocabulary, texts):
-    got = pieces.encode_texts(texts, pieces.Encoder(vocabulary), {})
+    got = pieces.encode_texts(texts, pieces.Encoder(vocabulary))
     assert got == [library.encode(t) for t in texts]
     assert [pieces.decode(ids, vocabulary.output) for ids in got] == [t.replace("\u2581", " ") for t in texts]
 

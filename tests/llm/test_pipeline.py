@@ -17,7 +17,7 @@ def test_run_equals_plain_stages(spark, sf):
     bad = {d for d, _ in leaked(list(texts.items()), items)}
     vocabulary = pieces.Vocabulary(pieces.MODEL)
     kept = {d: t for d, t in texts.items() if d not in bad}
-    want = dict(zip(kept, pieces.encode_texts(list(kept.values()), pieces.Encoder(vocabulary), {})))
+    want = dict(zip(kept, pieces.encode_texts(list(kept.values()), pieces.Encoder(vocabulary))))
     got = pipeline.run(spark, sf).collect()
     assert {r.doc_id: r.token_ids for r in got} == want and len(got) == len(want)
     assert len(want) < len(docs) and bad
