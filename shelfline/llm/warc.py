@@ -49,6 +49,8 @@ SAMPLE = 1 << 15
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LOWEST = -(1 << 63)
+#: Most tasks that read archives back; each takes its files one after the other.
+READERS = 10_000
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -222,7 +224,8 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("name").repartition("name").mapInArrow(run, shape)
+    # A fixed number of partitions: names are few bytes, which adaptive execution would put in one.
+    return manifest.select("name").repartition(min(manifest.count() or 1, READERS), "name").mapInArrow(run, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
