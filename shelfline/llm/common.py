@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from shelfline.session import shared_dir
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +26,17 @@ def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: str) -> DataFrame:
+    """Rows mapped in Arrow batches that Spark bounds by bytes, however long single texts are.
+
+    The bound is a session setting; it is set here only where the session has none.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "32m")
+    return rows.mapInArrow(run, shape)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The strings of an Arrow column as their UTF-8 bytes."""
     return pc.cast(column, pa.binary()).to_pylist()

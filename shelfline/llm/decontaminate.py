@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import portions, table
+from shelfline.llm.common import in_batches, portions, table
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
@@ -169,7 +169,7 @@ def weighted_items(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["item_id", "text", "word", "tf", "size"])
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    counts = items.mapInArrow(count, "item_id long, text string, word string, tf long, size long")
+    counts = in_batches(items, count, "item_id long, text string, word string, tf long, size long")
     totals = counts.select("item_id", "text", "size").distinct().agg(F.count("*"), F.avg("size")).first()
     if not totals[0]:
         return counts.limit(0).groupBy("item_id", "text").agg(F.collect_list(F.struct("word", F.lit(0.0).alias("w"))).alias("weights"))
@@ -206,7 +206,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
                 rest = [pa.array([x[k] for x in found], pa.int64() if k == 6 else pa.float64()) for k in range(2, 7)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(taken), items, *rest], names)
 
-        found = chosen.mapInArrow(run, shape)
+        found = in_batches(chosen, run, shape)
         result = found if result is None else result.unionAll(found)
     return spark.createDataFrame([], shape) if result is None else result
 

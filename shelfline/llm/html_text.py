@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import portions, table
+from shelfline.llm.common import in_batches, portions, table
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,7 +228,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(chosen, run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import portions, table
+from shelfline.llm.common import in_batches, portions, table
 
 UNKNOWN = "und"
 #: N-grams kept in a profile.
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Profiles:
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "code", "n"])
 
     sample = usable.where(place < share[F.col("lang")]).select("lang", "text")
-    grams = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = in_batches(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     entry = F.struct((-F.col("n")).alias("n"), "code")
     top = grams.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, PROFILE).alias("top"))
     return Profiles({r["lang"]: [x["code"] for x in r["top"]] for r in top.collect()})
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(chosen, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

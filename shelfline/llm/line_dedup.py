@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import components, portions, table, written
+from shelfline.llm.common import components, in_batches, portions, table, written
 from shelfline.llm.simhash import majority
 
 WORD = re.compile(r"\w+")
@@ -228,20 +228,20 @@ def hot_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(of_doc, pos): the lines to remove from each document."""
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    marked = written(spark, chosen.mapInArrow(line_marks, "doc_id long, pos int, h long, sim long"), "lines")
+    marked = written(spark, in_batches(chosen, line_marks, "doc_id long, pos int, h long, sim long"), "lines")
     place = F.struct("doc_id", "pos")
     # Equal lines have equal hashes and SimHashes; both together name a line.
     lines = marked.groupBy("h", "sim").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     lines = written(spark, lines.select("h", "sim", F.xxhash64("h", "sim").alias("line"), "first", "n"), "distinct-lines")
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("sim").bitwiseAND(F.expr(f"{signed(m)}L")).alias("value")) for k, m in enumerate(MASKS)])
     sent = lines.select("sim").distinct().select("sim", F.explode(keys).alias("at")).select("at.mask", "at.value", "sim")
-    runs = sent.repartition("mask", "value").mapInArrow(near_runs, "mask int, value long, sim long")
+    runs = in_batches(sent.repartition("mask", "value"), near_runs, "mask int, value long, sim long")
     # Different lines with one SimHash are near each other under any key.
     same = lines.groupBy("sim").agg(F.count("*").alias("k")).where("k > 1").select(F.lit(-1).alias("mask"), F.col("sim").alias("value"), "sim")
     runs = written(spark, runs.unionAll(same), "runs")
     asked = lines.join(runs.select(F.col("sim").alias("near_sim")).distinct(), F.col("sim") == F.col("near_sim"), "left_semi")
     wanted = asked.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "line", "sim")).alias("wanted"))
-    texts = chosen.join(wanted, F.col("doc_id") == F.col("in_doc")).mapInArrow(normal_texts, "line long, line_sim long, norm string")
+    texts = in_batches(chosen.join(wanted, F.col("doc_id") == F.col("in_doc")), normal_texts, "line long, line_sim long, norm string")
     # A document that stands twice gives its lines twice.
     texts = written(spark, texts.groupBy("line", "line_sim").agg(F.min("norm").alias("norm")), "line-texts")
     members = runs.join(texts, F.col("sim") == F.col("line_sim")).select("mask", "value", "sim", "line", "norm")

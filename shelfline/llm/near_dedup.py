@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import components, portions, table, utf8, written
+from shelfline.llm.common import components, in_batches, portions, table, utf8, written
 from shelfline.llm.simhash import majority
 
 LIMIT = 2
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = fingerprint_texts(utf8(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def links(distinct: DataFrame) -> DataFrame:
         value = F.shiftrightunsigned(F.shiftleft("fp", shift), 64 - width)
         places.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
     sent = distinct.select("fp", F.explode(F.array(*places)).alias("at")).select("fp", "at.block", "at.value")
-    return sent.repartition("block", "value").select("block", "fp").mapInArrow(_linked, "a long, b long")
+    return in_batches(sent.repartition("block", "value").select("block", "fp"), _linked, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import portions, table
+from shelfline.llm.common import in_batches, portions, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -175,7 +175,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFram
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "token_ids", "n_tokens", "decoded"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, decoded string")
+    return in_batches(chosen, run, "doc_id long, token_ids array<int>, n_tokens int, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

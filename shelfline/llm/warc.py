@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import table, written
+from shelfline.llm.common import in_batches, table, written
 from shelfline.session import shared_dir
 
 #: Payloads below this are never replaced by a revisit.
@@ -174,7 +174,7 @@ def write(spark: SparkSession, pages: DataFrame, root: str, shard_bytes: int = S
     both = records.unionAll(revisits.distinct().select("page_id", "digest", *none, "refers_to", F.lit(0).alias("kind")))
     both = both.withColumn("shard", shard_of(place)).repartitionById(int(shards), F.col("shard"))
     ordered = both.sortWithinPartitions("shard", "page_id", "kind", "digest", "url").drop("kind")
-    made = ordered.mapInArrow(shard_writer(root, roll_bytes), "name string, shard int, records long, bytes long")
+    made = in_batches(ordered, shard_writer(root, roll_bytes), "name string, shard int, records long, bytes long")
     return written(spark, made, "manifest")
 
 
@@ -225,7 +225,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
 
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     # A fixed number of partitions: names are few bytes, which adaptive execution would put in one.
-    return manifest.select("name").repartition(min(manifest.count() or 1, READERS), "name").mapInArrow(run, shape)
+    return in_batches(manifest.select("name").repartition(min(manifest.count() or 1, READERS), "name"), run, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
