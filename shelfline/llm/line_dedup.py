@@ -8,9 +8,10 @@ all others are removed from their documents; everything else of a document stays
 
 Only distinct lines are compared; occurrences are counted and reduced to the first before they move.
 Three differing bits leave two of five blocks of a SimHash untouched, so lines meet under ten keys
-of two blocks each. Lines that share a key and lie within three bits of another are joined with
-their texts, and a group works through its lines: each is compared with those it is not yet
-connected to, so a group of near copies costs one round and its links are as many as its lines.
+of two blocks each; a pair is looked at under the first key it shares. Lines that share a key and
+lie within three bits of another are joined with their texts, and a group works through its lines:
+each is compared with those it is not yet connected to, so a group of near copies costs one round
+and its links are as many as its lines.
 All pairs are settled, none are emitted. A group of more than HOT lines is no single task's work: a
 join first compares all its lines with one of them, and the lines that are not linked to it are then
 compared with all lines of the group in cells of bounded size.
@@ -54,32 +55,46 @@ TOGETHER = 512
 HOT, CELL = 20_000, 5_000
 
 
+def normal(text: str) -> str:
+    return DIGIT.sub("0", text.lower())
+
+
 def normal_words(line: str) -> list[str]:
-    return WORD.findall(DIGIT.sub("0", line.lower()))
+    return WORD.findall(normal(line))
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def only_here(differ: np.ndarray, mask: int) -> np.ndarray:
+    """Whether no earlier key brings two lines with these differing bits together as well."""
+    found = np.ones(differ.shape, bool)
+    for earlier in MASKS[:mask]:
+        found &= (differ & np.uint64(earlier)) != 0
+    return found
 
 
 def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, pos, h, sim) of the lines long enough to compare."""
-    known: dict[str, int] = {}
+    known = WordHashes()
     mix = np.uint64(0x9E3779B97F4A7C15)
     for part in portions(batches, "text"):
         if len(known) > REMEMBERED:
             known.clear()
         ids, places, whole, hashes, sizes = [], [], [], [], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-            for pos, line in enumerate(text.split("\n")):
-                words = normal_words(line)
+            for pos, line in enumerate(normal(text).split("\n")):
+                words = WORD.findall(line)
                 if len(words) < LEAST_WORDS:
                     continue
                 ids.append(doc_id)
                 places.append(pos)
                 whole.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
                 sizes.append(len(words))
-                for word in words:
-                    code = known.get(word)
-                    if code is None:
-                        code = known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-                    hashes.append(code)
+                hashes.extend(map(known.__getitem__, words))
         sizes = np.array(sizes, np.int64)
         single = np.array(hashes, np.uint64)
         # Word pairs are hashed from the hashes of their words; a line's last word has none.
@@ -97,15 +112,19 @@ def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (mask, value, sim), sorted, that have another SimHash within LIMIT bits in their run."""
+    """Rows of (mask, value, sim) that have another SimHash within LIMIT bits in their run.
+
+    A pair counts under the first key that its two lines share only.
+    """
 
-    def near(sims: np.ndarray) -> np.ndarray:
+    def near(sims: np.ndarray, mask: int) -> np.ndarray:
         found = np.zeros(len(sims), bool)
         for i in range(0, len(sims), TOGETHER):
             for j in range(i, len(sims), TOGETHER):
-                close = np.bitwise_count(sims[i : i + TOGETHER, None] ^ sims[None, j : j + TOGETHER]) <= LIMIT
-                if i == j:
-                    np.fill_diagonal(close, False)
+                differ = sims[i : i + TOGETHER, None] ^ sims[None, j : j + TOGETHER]
+                close = (np.bitwise_count(differ) <= LIMIT) & (differ != 0)
+                if close.any():
+                    close &= only_here(differ, mask)
                 found[i : i + TOGETHER] |= close.any(axis=1)
                 found[j : j + TOGETHER] |= close.any(axis=0)
         return found
@@ -120,11 +139,10 @@ def near_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(mask)]))
     kept = np.zeros(len(mask), bool)
     size = ends - starts
-    for a in starts[size == 2]:
-        if int(sim[a] ^ sim[a + 1]).bit_count() <= LIMIT:
-            kept[a : a + 2] = True
-    for a, b in zip(starts[size > 2], ends[size > 2]):
-        kept[a:b] = near(sim[a:b])
+    for a, b in zip(starts[size > 1].tolist(), ends[size > 1].tolist()):
+        if b - a == 2 and int(sim[a] ^ sim[a + 1]).bit_count() > LIMIT:
+            continue
+        kept[a:b] = near(sim[a:b], int(mask[a]))
     yield pa.RecordBatch.from_arrays([pa.array(mask[kept]), pa.array(value[kept]), pa.array(sim[kept].view(np.int64))], ["mask", "value", "sim"])
 
 
@@ -165,15 +183,20 @@ def similar(a: str, b: str) -> bool:
 
 def group_links(group: pa.Table) -> pa.Table:
     """Links (a, b) between the lines of one key that connect exactly what is similar, in steps."""
-    ids = group.column("line").to_numpy()
+    ids, mask = group.column("line").to_numpy(), group.column("mask")[0].as_py()
     order = np.argsort(ids, kind="stable")
     ids, sims = ids[order], group.column("sim").to_numpy()[order].view(np.uint64)
     texts = group.column("norm").take(pa.array(order)).to_pylist()
     label = np.arange(len(ids))
     links = []
     for i in range(len(ids) - 1):
-        close = np.flatnonzero((np.bitwise_count(sims ^ sims[i]) <= LIMIT) & (label != label[i]))
-        for j in close[close > i].tolist():
+        differ = sims ^ sims[i]
+        close = (np.bitwise_count(differ) <= LIMIT) & (label != label[i])
+        close[: i + 1] = False
+        # Equal SimHashes have a group of their own.
+        if mask >= 0 and close.any():
+            close &= (differ != 0) & only_here(differ, mask)
+        for j in np.flatnonzero(close).tolist():
             if label[j] != label[i] and similar(texts[i], texts[j]):
                 links.append((ids[j], ids[i]))
                 label[label == label[j]] = label[i]
