@@ -1,18 +1,20 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, verified edit similarity.
+"""Fuzzy line deduplication: SimHash blocks and n-gram minima of normalised lines, verified edit similarity.
 
 A line is normalised to its words in lower case with digits as 0; lines of fewer than five words are
-left alone. Two normalised lines are linked if they are equal, or if their SimHashes (of words and
-word pairs) differ in at most three bits and their edit similarity, 1 - distance / longer length,
-is at least 0.8. Of each connected group the occurrence with the least (doc_id, line number) stays,
+left alone. Two normalised lines are linked if they are equal, or if their edit similarity,
+1 - distance / longer length, is at least 0.8. Of each connected group the occurrence with the least (doc_id, line number) stays,
 all others are removed from their documents; everything else of a document stays as it is.
 
 Only distinct lines are compared; occurrences are counted and reduced to the first before they move.
-Three differing bits leave two of five blocks of a SimHash untouched, so lines meet under ten keys
-of two blocks each; a pair is looked at under the first key it shares. Lines that share a key and
-lie within three bits of another are joined with their texts, and a group works through its lines:
+Lines meet in two ways. SimHashes of words and word pairs that differ in at most three bits leave two
+of five blocks untouched and share one of ten keys of two blocks each; a pair is looked at under the
+first key it shares. As an edit similarity of 0.8 moves far more bits than three, lines also meet under
+BANDS keys of BAND_ROWS minima each of their hashed character n-grams; there only the edit similarity
+counts. A pair that shares no key at all is missed; the README states the recall. Lines that share a
+key are joined with their texts, a set of lines once only, and a group works through its lines:
 each is compared with those it is not yet connected to, so a group of near copies costs one round
 and its links are as many as its lines.
-All pairs are settled, none are emitted. A group of more than HOT lines is no single task's work: a
+All pairs of a group are settled, none are emitted. A group of more than HOT lines is no single task's work: a
 join first compares all its lines with one of them, and the lines that are not linked to it are then
 compared with all lines of the group in cells of bounded size.
 
@@ -47,6 +49,13 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MASKS = tuple(
     sum(((1 << width) - 1) << shift for shift, width in (BLOCKS[i], BLOCKS[j])) for i in range(5) for j in range(i)
 )
+#: Keys of n-gram minima: how many, minima in each, n, and n for lines of up to BRIEF characters, which
+#: have both; a line of under 0.8 * BRIEF characters has no similar line of more than BRIEF.
+BANDS, BAND_ROWS, GRAM, BRIEF_GRAM, BRIEF = 20, 4, 6, 3, 50
+#: The `mask` of these keys.
+BAND = len(MASKS)
+#: Counters of letter pairs by which dissimilar lines of a group are told apart before any is compared.
+COUNTERS = 64
 #: Hashes of words a task remembers before it starts anew; it only saves work.
 REMEMBERED = 500_000
 #: Rows of a run compared at once.
@@ -146,6 +155,95 @@ def near_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(mask[kept]), pa.array(value[kept]), pa.array(sim[kept].view(np.int64))], ["mask", "value", "sim"])
 
 
+def gram_minima(texts: list[str], n: int) -> np.ndarray:
+    """Least hash of a text's n-grams in each of BANDS * BAND_ROWS bins; an empty bin takes the next one's."""
+    bins = BANDS * BAND_ROWS
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    flat = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    grams = np.zeros(len(flat), np.uint64)
+    padded = np.concatenate((flat, np.zeros(n, np.uint64)))
+    for k in range(n):
+        grams = grams * np.uint64(0x100000001B3) + padded[k : k + len(flat)] + np.uint64(1)
+    for shift, mix in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        grams = (grams ^ (grams >> np.uint64(shift))) * np.uint64(mix)
+    grams ^= grams >> np.uint64(31)
+    # The last n - 1 places start no gram. Texts too short for one have no similar text but their equals.
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    within = np.arange(len(flat)) - starts[owner]
+    whole = within <= np.maximum(sizes[owner] - n, 0)
+    least = np.full(len(texts) * bins, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, owner[whole] * bins + (grams[whole] % np.uint64(bins)).astype(np.int64), grams[whole])
+    least = least.reshape(-1, bins)
+    empty = least == np.iinfo(np.uint64).max
+    at = np.where(empty, 2 * bins, np.arange(bins))
+    following = np.minimum.accumulate(np.concatenate((at, at + bins), axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins] % bins
+    # A minimum that was taken over tells how far it came, else one gram would count as many.
+    away = (following - np.arange(bins)) % bins
+    return np.take_along_axis(least, following, axis=1) + away.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, line): the keys of n-gram minima of each line."""
+    for part in portions(batches, "norm", 1 << 20):
+        ids, texts = part.column("line").to_numpy(), part.column("norm").to_pylist()
+        brief = [i for i, t in enumerate(texts) if len(t) <= BRIEF]
+        for n, chosen in ((GRAM, range(len(texts))), (BRIEF_GRAM, brief)):
+            if not len(chosen):
+                continue
+            # A key's bins lie far apart, as neighbours of a short text may have taken over one minimum.
+            minima = gram_minima([texts[i] for i in chosen], n).reshape(len(chosen), BAND_ROWS, BANDS)
+            values = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * n), (len(chosen), BANDS)).copy()
+            for k in range(BAND_ROWS):
+                values = (values ^ minima[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                values ^= values >> np.uint64(32)
+            lines = np.repeat(ids[np.array(chosen)], BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel().view(np.int64)), pa.array(lines)], ["value", "line"])
+
+
+def band_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, line, lot) of the keys that several lines share; equal sets of lines have one lot."""
+    columns = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy() for k in range(2)] for b in batches))]
+    if not columns:
+        return
+    value, line = columns
+    order = np.lexsort((line, value))
+    value, line = value[order], line[order]
+    # A document that stands twice gives its lines twice.
+    first = np.concatenate(([True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])))
+    value, line = value[first], line[first]
+    starts = np.concatenate(([0], np.flatnonzero(value[1:] != value[:-1]) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(value)])))
+    mixed = line.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    lot = np.repeat(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts), sizes).view(np.int64)
+    kept = np.repeat(sizes > 1, sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (value, line, lot)], ["value", "line", "lot"])
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """Counts of letter pairs; a single edit changes at most four of them by one."""
+    counts = np.zeros((len(texts), COUNTERS), np.int32)
+    for row, text in zip(counts, texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row += np.bincount((codes[:-1] * 31 + codes[1:]) % COUNTERS, minlength=COUNTERS).astype(np.int32)
+    return counts
+
+
+class Likely:
+    """Which texts of a list may be similar to one: by length and by letter pairs, never wrongly not."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.counts, self.lengths = pair_counts(texts), np.array([len(t) for t in texts], np.int64)
+
+    def to(self, counts: np.ndarray, length: int) -> np.ndarray:
+        most = ((1 - SIMILAR) * np.maximum(self.lengths, length) + 1e-9).astype(np.int64)
+        found = np.abs(self.lengths - length) <= most
+        at = np.flatnonzero(found)
+        found[at] = np.abs(self.counts[at] - counts).sum(axis=1) <= 4 * most[at]
+        return found
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, by bit-parallel columns over whole numbers; most + 1 if it is above most."""
     if abs(len(a) - len(b)) > most:
@@ -187,14 +285,18 @@ def group_links(group: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     ids, sims = ids[order], group.column("sim").to_numpy()[order].view(np.uint64)
     texts = group.column("norm").take(pa.array(order)).to_pylist()
+    likely = Likely(texts) if mask == BAND else None
     label = np.arange(len(ids))
     links = []
     for i in range(len(ids) - 1):
-        differ = sims ^ sims[i]
-        close = (np.bitwise_count(differ) <= LIMIT) & (label != label[i])
+        close = label != label[i]
         close[: i + 1] = False
+        if not close.any():
+            continue
+        differ = sims ^ sims[i]
+        close &= likely.to(likely.counts[i], len(texts[i])) if likely else np.bitwise_count(differ) <= LIMIT
         # Equal SimHashes have a group of their own.
-        if mask >= 0 and close.any():
+        if 0 <= mask < BAND and close.any():
             close &= (differ != 0) & only_here(differ, mask)
         for j in np.flatnonzero(close).tolist():
             if label[j] != label[i] and similar(texts[i], texts[j]):
@@ -208,9 +310,13 @@ def cell_links(asking: pa.Table, held: pa.Table) -> pa.Table:
     ids, sims = held.column("line").to_numpy(), held.column("sim").to_numpy().view(np.uint64)
     texts = held.column("norm").to_pylist()
     label = np.where(held.column("joined").to_numpy(zero_copy_only=False), -1, np.arange(len(ids)))
+    likely = Likely(texts) if BAND in held.column("mask").slice(0, 1).to_pylist() else None
     links = []
     for own, sim, text in zip(*(asking.column(c).to_pylist() for c in ("line", "sim", "norm"))):
-        close = np.flatnonzero(np.bitwise_count(sims ^ np.int64(sim).view(np.uint64)) <= LIMIT)
+        if likely:
+            close = np.flatnonzero(likely.to(pair_counts([text])[0], len(text)))
+        else:
+            close = np.flatnonzero(np.bitwise_count(sims ^ np.int64(sim).view(np.uint64)) <= LIMIT)
         met: set[int] = set()
         for j in close.tolist():
             if ids[j] != own and int(label[j]) not in met and similar(text, texts[j]):
@@ -226,7 +332,7 @@ def hot_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
     same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
     first = members.join(sizes, same).groupBy("of_mask", "of_value", "n").agg(F.min(F.struct("line", "sim", "norm")).alias("first"))
     rows = members.join(first, same)
-    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("first.sim"))) <= LIMIT
+    near = (F.col("mask") == BAND) | (F.bit_count(F.col("sim").bitwiseXOR(F.col("first.sim"))) <= LIMIT)
     longer = F.greatest(F.char_length("norm"), F.char_length("first.norm"))
     most = F.floor((1 - SIMILAR) * longer + 1e-9)
     is_first = F.col("line") == F.col("first.line")
@@ -262,12 +368,23 @@ def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Different lines with one SimHash are near each other under any key.
     same = lines.groupBy("sim").agg(F.count("*").alias("k")).where("k > 1").select(F.lit(-1).alias("mask"), F.col("sim").alias("value"), "sim")
     runs = written(spark, runs.unionAll(same), "runs")
-    asked = lines.join(runs.select(F.col("sim").alias("near_sim")).distinct(), F.col("sim") == F.col("near_sim"), "left_semi")
-    wanted = asked.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "line", "sim")).alias("wanted"))
+    wanted = lines.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "line", "sim")).alias("wanted"))
     texts = in_batches(chosen.join(wanted, F.col("doc_id") == F.col("in_doc")), normal_texts, "line long, line_sim long, norm string")
+    texts = written(spark, texts, "distinct-texts")
+    keyed = in_batches(texts.select("line", "norm"), band_keys, "value long, line long")
+    bands = written(spark, in_batches(keyed.repartition("value"), band_runs, "value long, line long, lot long"), "bands")
+    # One key for each set of lines.
+    lots = bands.groupBy("lot").agg(F.min("value").alias("of_lot"))
+    bands = bands.join(lots.select("of_lot"), F.col("value") == F.col("of_lot"), "left_semi").select("value", F.col("line").alias("near_line"))
+    bands = written(spark, bands, "bands")
+    near_sims = runs.select("sim").distinct().join(lines, "sim").select("line")
+    asked = near_sims.unionAll(bands.select("near_line")).distinct().select(F.col("line").alias("asked"))
+    texts = texts.join(asked, F.col("line") == F.col("asked"), "left_semi")
     # A document that stands twice gives its lines twice.
     texts = written(spark, texts.groupBy("line", "line_sim").agg(F.min("norm").alias("norm")), "line-texts")
     members = runs.join(texts, F.col("sim") == F.col("line_sim")).select("mask", "value", "sim", "line", "norm")
+    banded = bands.join(texts, F.col("near_line") == F.col("line")).select(F.lit(BAND).alias("mask"), "value", F.col("line_sim").alias("sim"), "line", "norm")
+    members = members.unionAll(banded)
     members = written(spark, members, "members")
     sizes = members.groupBy(F.col("mask").alias("of_mask"), F.col("value").alias("of_value")).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))

@@ -101,3 +101,13 @@ def test_keys_meet_within_the_limit(bits):
     for start in range(0, 64, 3):
         flipped = sum(1 << (start + 23 * i) % 64 for i in range(bits))
         assert any(not flipped & mask for mask in line_dedup.MASKS)
+
+
+def test_similar_lines_many_bits_apart_are_linked(spark):
+    line = "seven short words are in this line"
+    rows = [(1, line), (2, line.replace("short", "shore")), (3, "wholly other words stand in that one")]
+    rows += [(4, LONG), (5, LONG.replace("document", "paper").replace("each", "one")), (6, line.replace("words", "w"))]
+    sims = {r["doc_id"]: r["sim"] for b in line_dedup.line_marks(iter([pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows])])) for r in b.to_pylist()}
+    assert (sims[1] ^ sims[2] & (1 << 64) - 1).bit_count() > 3 and ((sims[4] ^ sims[5]) & (1 << 64) - 1).bit_count() > 3
+    got = {r.doc_id: r.text for r in line_dedup.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: line, 2: "", 3: rows[2][1], 4: LONG, 5: "", 6: ""}
