@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash blocks and n-gram minima of normalised lines, verified edit similarity.
 
-A line is normalised to its words in lower case with digits as 0; lines of fewer than five words are
-left alone. Two normalised lines are linked if they are equal, or if their edit similarity,
+A line is normalised to its words in lower case with digits as 0; lines without a word are left alone.
+Two normalised lines are linked if they are equal, or if their edit similarity,
 1 - distance / longer length, is at least 0.8. Of each connected group the occurrence with the least (doc_id, line number) stays,
 all others are removed from their documents; everything else of a document stays as it is.
 
@@ -40,7 +40,6 @@ from shelfline.llm.simhash import majority
 
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"\d")
-LEAST_WORDS = 5
 LIMIT = 3
 SIMILAR = 0.8
 #: First bit and width of the five blocks of a SimHash.
@@ -87,7 +86,7 @@ def only_here(differ: np.ndarray, mask: int) -> np.ndarray:
 
 
 def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pos, h, sim) of the lines long enough to compare."""
+    """(doc_id, pos, h, sim) of the lines that have a word."""
     known = WordHashes()
     mix = np.uint64(0x9E3779B97F4A7C15)
     for part in portions(batches, "text"):
@@ -97,7 +96,7 @@ def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
             for pos, line in enumerate(normal(text).split("\n")):
                 words = WORD.findall(line)
-                if len(words) < LEAST_WORDS:
+                if not words:
                     continue
                 ids.append(doc_id)
                 places.append(pos)

@@ -111,3 +111,9 @@ def test_similar_lines_many_bits_apart_are_linked(spark):
     assert (sims[1] ^ sims[2] & (1 << 64) - 1).bit_count() > 3 and ((sims[4] ^ sims[5]) & (1 << 64) - 1).bit_count() > 3
     got = {r.doc_id: r.text for r in line_dedup.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: line, 2: "", 3: rows[2][1], 4: LONG, 5: "", 6: ""}
+
+
+def test_short_lines_and_text_without_spaces_are_lines_too(spark):
+    rows = [(1, "one two\nown\n\n***"), (2, "One, two!\n\n***\nother"), (3, "這一行文字沒有空格但是重複出現"), (4, "這一行文字沒有空格但是重複出現。\n尾"), (5, "own")]
+    got = line_dedup.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "\n***\nother", 3: rows[2][1], 4: "尾", 5: ""}
