@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontaminate, fill_middle, html_text, language, line_dedup, near_dedup, pieces, resample, secrets, topk, url_filter, warc
+from shelfline.llm import decontaminate, fill_middle, html_text, language, line_dedup, near_dedup, pieces, quality, resample, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_exact_topk": topk.query,
     "op10_simhash_near_dedup": near_dedup.query,
+    "op11_quality_classifier": quality.query,
     "op12_importance_resampling": resample.query,
     "op13_fill_in_middle": fill_middle.query,
 }
