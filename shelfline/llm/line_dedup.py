@@ -1,27 +1,28 @@
-"""Fuzzy line deduplication: SimHash blocks and n-gram minima of normalised lines, verified edit similarity.
+"""Fuzzy line deduplication: keys of n-gram minima of normalised lines, verified edit similarity.
 
 A line is normalised to its words in lower case with digits as 0; lines without a word are left alone.
 Two normalised lines are linked if they are equal, or if their edit similarity,
-1 - distance / longer length, is at least 0.8. Of each connected group the occurrence with the least (doc_id, line number) stays,
-all others are removed from their documents; everything else of a document stays as it is.
-
-Only distinct lines are compared; occurrences are counted and reduced to the first before they move.
-Lines meet in two ways. SimHashes of words and word pairs that differ in at most three bits leave two
-of five blocks untouched and share one of ten keys of two blocks each; a pair is looked at under the
-first key it shares. As an edit similarity of 0.8 moves far more bits than three, lines also meet under
-BANDS keys of BAND_ROWS minima each of their hashed character n-grams; there only the edit similarity
-counts. A pair that shares no key at all is missed; the README states the recall. Lines that share a
-key are joined with their texts, a set of lines once only, and a group works through its lines:
-each is compared with those it is not yet connected to, so a group of near copies costs one round
-and its links are as many as its lines.
-All pairs of a group are settled, none are emitted. A group of more than HOT lines is no single task's work: a
-join first compares all its lines with one of them, and the lines that are not linked to it are then
-compared with all lines of the group in cells of bounded size.
-
-Cases: null text stays null and has no lines; empty lines stay; rows that share a doc_id are the
-same occurrence and keep the same lines; the lines of rows without doc_id are left alone and take
-no part; an empty table gives no rows; other columns stay, and n_chars, where there is one, becomes
-the length of the new text.
+1 - distance / longer length, is at least SIMILAR. Of each connected group the first occurrence stays,
+by (doc_id, text, line number); all others are removed, everything else of a document stays as it is.
+
+Cuts of one SimHash cannot find such lines: an edit similarity of 0.9 moves so many of its bits that
+blocks which still agree are too short to tell lines apart. Lines therefore meet under BANDS keys, each
+of a few minima of their hashed character n-grams; the README has the recall of both. What follows is
+the usual way: join on the keys, verify the edit similarity, keep one line of each connected group.
+
+- Only distinct lines are keyed. Keys that a single line has end in the task that sorts them.
+- Every line of a key is paired with the key's least line. These pairs are made distinct over all keys,
+  joined with their texts once and verified in the JVM by a banded edit distance, narrow band first.
+- That settles keys of two lines, and keys whose lines are connected by now. Lines of the others are
+  compared among themselves in cells of at most CELL_BYTES of text on a side, so no key is a single
+  task's work; only pairs that are not yet connected are looked at, and links are as many as joined groups.
+
+A pair that shares no key is missed unless other lines connect it; the README states how many are.
+
+Cases: null text stays null and has no lines; empty lines stay; rows without doc_id take part and come
+after all others; rows that share a doc_id are told apart by their texts, rows alike in both are one
+document and keep the same lines; an empty table gives no rows; other columns stay, and n_chars, where
+there is one, becomes the length of the new text.
 """
 
 from __future__ import annotations
@@ -36,127 +37,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import components, in_batches, portions, table, written
-from shelfline.llm.simhash import majority
 
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"\d")
-LIMIT = 3
-SIMILAR = 0.8
-#: First bit and width of the five blocks of a SimHash.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Each key masks two blocks; at least one pair of blocks is equal within LIMIT bits.
-MASKS = tuple(
-    sum(((1 << width) - 1) << shift for shift, width in (BLOCKS[i], BLOCKS[j])) for i in range(5) for j in range(i)
-)
-#: Keys of n-gram minima: how many, minima in each, n, and n for lines of up to BRIEF characters, which
-#: have both; a line of under 0.8 * BRIEF characters has no similar line of more than BRIEF.
-BANDS, BAND_ROWS, GRAM, BRIEF_GRAM, BRIEF = 20, 4, 6, 3, 50
-#: The `mask` of these keys.
-BAND = len(MASKS)
-#: Counters of letter pairs by which dissimilar lines of a group are told apart before any is compared.
+SIMILAR = 0.9
+#: Keys of a line and, for lines of at least 0.9 * BRIEF characters, n-gram length and minima in a key.
+BANDS, GRAM, BAND_ROWS = 12, 8, 3
+#: The same for lines of up to BRIEF characters; lines of about BRIEF have both, so any two similar lines have one sort alike.
+BRIEF, BRIEF_GRAM, BRIEF_ROWS = 60, 3, 4
+#: Counters of letter pairs by which dissimilar lines of a cell are told apart before any is compared.
 COUNTERS = 64
-#: Hashes of words a task remembers before it starts anew; it only saves work.
+#: Lines a task remembers to have sent already; it only saves work.
 REMEMBERED = 500_000
-#: Rows of a run compared at once.
-TOGETHER = 512
-#: Lines that one task compares as a whole group, and lines on a side of a cell of a larger one.
-HOT, CELL = 20_000, 5_000
-
-
-def normal(text: str) -> str:
-    return DIGIT.sub("0", text.lower())
+#: Bytes of text on one side of a cell.
+CELL_BYTES = 1 << 20
+#: Most edits that the first, cheap comparison looks for.
+FEW_EDITS = 16
 
 
 def normal_words(line: str) -> list[str]:
-    return WORD.findall(normal(line))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return code
-
-
-def only_here(differ: np.ndarray, mask: int) -> np.ndarray:
-    """Whether no earlier key brings two lines with these differing bits together as well."""
-    found = np.ones(differ.shape, bool)
-    for earlier in MASKS[:mask]:
-        found &= (differ & np.uint64(earlier)) != 0
-    return found
+    return WORD.findall(DIGIT.sub("0", line.lower()))
 
 
 def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pos, h, sim) of the lines that have a word."""
-    known = WordHashes()
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    """(doc_id, row, pos, line, check, norm) of the lines that have a word.
+
+    `line` and `check` are the halves of a 128-bit hash of the normalised line; `norm` is that line, or
+    null where this task has sent it before.
+    """
+    sent: set[int] = set()
     for part in portions(batches, "text"):
-        if len(known) > REMEMBERED:
-            known.clear()
-        ids, places, whole, hashes, sizes = [], [], [], [], []
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-            for pos, line in enumerate(normal(text).split("\n")):
+        if len(sent) > REMEMBERED:
+            sent.clear()
+        ids, rows, places, hashes, norms = [], [], [], [], []
+        for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+            for pos, line in enumerate(DIGIT.sub("0", text.lower()).split("\n")):
                 words = WORD.findall(line)
                 if not words:
                     continue
+                norm = " ".join(words)
+                code = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
                 ids.append(doc_id)
+                rows.append(row)
                 places.append(pos)
-                whole.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
-                sizes.append(len(words))
-                hashes.extend(map(known.__getitem__, words))
-        sizes = np.array(sizes, np.int64)
-        single = np.array(hashes, np.uint64)
-        # Word pairs are hashed from the hashes of their words; a line's last word has none.
-        pairs = (single[:-1] * mix) ^ single[1:] if len(single) else single
-        pairs = (pairs ^ (pairs >> np.uint64(29))) * mix
-        ends = np.cumsum(sizes)
-        both = np.empty(2 * len(single), np.uint64)
-        both[0::2] = single
-        both[1::2][: len(pairs)] = pairs
-        kept = np.ones(len(both), bool)
-        kept[2 * ends - 1] = False
-        sims = majority(both[kept], 2 * sizes - 1)
-        arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sims.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "pos", "h", "sim"])
-
-
-def near_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (mask, value, sim) that have another SimHash within LIMIT bits in their run.
-
-    A pair counts under the first key that its two lines share only.
-    """
-
-    def near(sims: np.ndarray, mask: int) -> np.ndarray:
-        found = np.zeros(len(sims), bool)
-        for i in range(0, len(sims), TOGETHER):
-            for j in range(i, len(sims), TOGETHER):
-                differ = sims[i : i + TOGETHER, None] ^ sims[None, j : j + TOGETHER]
-                close = (np.bitwise_count(differ) <= LIMIT) & (differ != 0)
-                if close.any():
-                    close &= only_here(differ, mask)
-                found[i : i + TOGETHER] |= close.any(axis=1)
-                found[j : j + TOGETHER] |= close.any(axis=0)
-        return found
-
-    columns = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy() for k in range(3)] for b in batches))]
-    if not columns:
-        return
-    mask, value, sim = columns
-    order = np.lexsort((sim, value, mask))
-    mask, value, sim = mask[order], value[order], sim[order].view(np.uint64)
-    cut = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-    starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(mask)]))
-    kept = np.zeros(len(mask), bool)
-    size = ends - starts
-    for a, b in zip(starts[size > 1].tolist(), ends[size > 1].tolist()):
-        if b - a == 2 and int(sim[a] ^ sim[a + 1]).bit_count() > LIMIT:
-            continue
-        kept[a:b] = near(sim[a:b], int(mask[a]))
-    yield pa.RecordBatch.from_arrays([pa.array(mask[kept]), pa.array(value[kept]), pa.array(sim[kept].view(np.int64))], ["mask", "value", "sim"])
+                hashes.append(code)
+                norms.append(None if code in sent else norm)
+                sent.add(code)
+        halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in hashes), np.int64).reshape(-1, 2)
+        arrays = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(norms, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "pos", "line", "check", "norm"])
 
 
-def gram_minima(texts: list[str], n: int) -> np.ndarray:
-    """Least hash of a text's n-grams in each of BANDS * BAND_ROWS bins; an empty bin takes the next one's."""
-    bins = BANDS * BAND_ROWS
+def gram_minima(texts: list[str], n: int, bins: int) -> np.ndarray:
+    """Least hash of a text's n-grams in each of so many bins; an empty bin takes the next one's."""
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     flat = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     grams = np.zeros(len(flat), np.uint64)
@@ -182,42 +115,54 @@ def gram_minima(texts: list[str], n: int) -> np.ndarray:
     return np.take_along_axis(least, following, axis=1) + away.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, line): the keys of n-gram minima of each line."""
+def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, keys) of each line; lines of about BRIEF characters have two rows."""
     for part in portions(batches, "norm", 1 << 20):
         ids, texts = part.column("line").to_numpy(), part.column("norm").to_pylist()
-        brief = [i for i, t in enumerate(texts) if len(t) <= BRIEF]
-        for n, chosen in ((GRAM, range(len(texts))), (BRIEF_GRAM, brief)):
-            if not len(chosen):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        for n, width, chosen in ((GRAM, BAND_ROWS, sizes >= int(SIMILAR * BRIEF)), (BRIEF_GRAM, BRIEF_ROWS, sizes <= BRIEF)):
+            at = np.flatnonzero(chosen)
+            if not len(at):
                 continue
             # A key's bins lie far apart, as neighbours of a short text may have taken over one minimum.
-            minima = gram_minima([texts[i] for i in chosen], n).reshape(len(chosen), BAND_ROWS, BANDS)
-            values = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * n), (len(chosen), BANDS)).copy()
-            for k in range(BAND_ROWS):
+            minima = gram_minima([texts[i] for i in at.tolist()], n, BANDS * width).reshape(len(at), width, BANDS)
+            values = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * n), (len(at), BANDS)).copy()
+            for k in range(width):
                 values = (values ^ minima[:, k]) * np.uint64(0x9E3779B97F4A7C15)
                 values ^= values >> np.uint64(32)
-            lines = np.repeat(ids[np.array(chosen)], BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel().view(np.int64)), pa.array(lines)], ["value", "line"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), keys], ["line", "keys"])
+
 
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, line, least, n, lot) of the keys that several lines share, of rows (value, line).
 
-def band_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, line, lot) of the keys that several lines share; equal sets of lines have one lot."""
+    `least` is the least line of the key, n counts its lines, and keys with the same lines have one lot.
+    """
     columns = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy() for k in range(2)] for b in batches))]
-    if not columns:
+    if not columns or not len(columns[0]):
         return
     value, line = columns
+    order = np.argsort(value, kind="stable")
+    value, line = value[order], line[order]
+    edge = value[1:] != value[:-1]
+    alone = np.concatenate(([True], edge)) & np.concatenate((edge, [True]))
+    value, line = value[~alone], line[~alone]
     order = np.lexsort((line, value))
     value, line = value[order], line[order]
-    # A document that stands twice gives its lines twice.
-    first = np.concatenate(([True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])))
-    value, line = value[first], line[first]
+    # Several tasks may send a line.
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])))[: len(value)]
+    value, line = value[new], line[new]
+    if not len(value):
+        return
     starts = np.concatenate(([0], np.flatnonzero(value[1:] != value[:-1]) + 1))
     sizes = np.diff(np.concatenate((starts, [len(value)])))
     mixed = line.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    lot = np.repeat(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts), sizes).view(np.int64)
+    lot = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts).view(np.int64)
     kept = np.repeat(sizes > 1, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (value, line, lot)], ["value", "line", "lot"])
+    found = (value, line, np.repeat(line[starts], sizes), np.repeat(sizes, sizes), np.repeat(lot, sizes))
+    yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in found], ["value", "line", "least", "n", "lot"])
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
@@ -235,11 +180,12 @@ class Likely:
     def __init__(self, texts: list[str]) -> None:
         self.counts, self.lengths = pair_counts(texts), np.array([len(t) for t in texts], np.int64)
 
-    def to(self, counts: np.ndarray, length: int) -> np.ndarray:
-        most = ((1 - SIMILAR) * np.maximum(self.lengths, length) + 1e-9).astype(np.int64)
-        found = np.abs(self.lengths - length) <= most
-        at = np.flatnonzero(found)
-        found[at] = np.abs(self.counts[at] - counts).sum(axis=1) <= 4 * most[at]
+    def to(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Whether the texts at these places may be similar to text i."""
+        most = ((1 - SIMILAR) * np.maximum(self.lengths[at], self.lengths[i]) + 1e-9).astype(np.int64)
+        found = np.abs(self.lengths[at] - self.lengths[i]) <= most
+        held = at[found]
+        found[found] = np.abs(self.counts[held] - self.counts[i]).sum(axis=1) <= 4 * most[found]
         return found
 
 
@@ -278,150 +224,104 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def group_links(group: pa.Table) -> pa.Table:
-    """Links (a, b) between the lines of one key that connect exactly what is similar, in steps."""
-    ids, mask = group.column("line").to_numpy(), group.column("mask")[0].as_py()
-    order = np.argsort(ids, kind="stable")
-    ids, sims = ids[order], group.column("sim").to_numpy()[order].view(np.uint64)
-    texts = group.column("norm").take(pa.array(order)).to_pylist()
-    likely = Likely(texts) if mask == BAND else None
-    label = np.arange(len(ids))
-    links = []
+def cell_links(cell: pa.Table) -> pa.Table:
+    """Links (a, b) between lines of a cell that have different roots, as few as connect what is similar.
+
+    A cell holds one part of a key's lines, or two whose lines are compared across only.
+    """
+    order = np.argsort(cell.column("line").to_numpy(), kind="stable")
+    ids, part, root = (cell.column(c).to_numpy()[order] for c in ("line", "part", "root"))
+    texts = cell.column("norm").take(pa.array(order)).to_pylist()
+    across = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
+    likely, label, links = Likely(texts), root.copy(), []
     for i in range(len(ids) - 1):
         close = label != label[i]
         close[: i + 1] = False
-        if not close.any():
+        if across:
+            close &= part != part[i]
+        at = np.flatnonzero(close)
+        if not len(at):
             continue
-        differ = sims ^ sims[i]
-        close &= likely.to(likely.counts[i], len(texts[i])) if likely else np.bitwise_count(differ) <= LIMIT
-        # Equal SimHashes have a group of their own.
-        if 0 <= mask < BAND and close.any():
-            close &= (differ != 0) & only_here(differ, mask)
-        for j in np.flatnonzero(close).tolist():
+        for j in at[likely.to(i, at)].tolist():
             if label[j] != label[i] and similar(texts[i], texts[j]):
                 links.append((ids[j], ids[i]))
                 label[label == label[j]] = label[i]
     return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def cell_links(asking: pa.Table, held: pa.Table) -> pa.Table:
-    """Links (a, b) between asking and held lines; held lines with `joined` are one component already."""
-    ids, sims = held.column("line").to_numpy(), held.column("sim").to_numpy().view(np.uint64)
-    texts = held.column("norm").to_pylist()
-    label = np.where(held.column("joined").to_numpy(zero_copy_only=False), -1, np.arange(len(ids)))
-    likely = Likely(texts) if BAND in held.column("mask").slice(0, 1).to_pylist() else None
-    links = []
-    for own, sim, text in zip(*(asking.column(c).to_pylist() for c in ("line", "sim", "norm"))):
-        if likely:
-            close = np.flatnonzero(likely.to(pair_counts([text])[0], len(text)))
-        else:
-            close = np.flatnonzero(np.bitwise_count(sims ^ np.int64(sim).view(np.uint64)) <= LIMIT)
-        met: set[int] = set()
-        for j in close.tolist():
-            if ids[j] != own and int(label[j]) not in met and similar(text, texts[j]):
-                links.append((own, ids[j]))
-                met.add(int(label[j]))
-        if met:
-            label[np.isin(label, list(met))] = min(met)
-    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-def hot_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) of the groups in sizes (of_mask, of_value, n), each spread over many tasks."""
-    same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
-    first = members.join(sizes, same).groupBy("of_mask", "of_value", "n").agg(F.min(F.struct("line", "sim", "norm")).alias("first"))
-    rows = members.join(first, same)
-    near = (F.col("mask") == BAND) | (F.bit_count(F.col("sim").bitwiseXOR(F.col("first.sim"))) <= LIMIT)
-    longer = F.greatest(F.char_length("norm"), F.char_length("first.norm"))
-    most = F.floor((1 - SIMILAR) * longer + 1e-9)
-    is_first = F.col("line") == F.col("first.line")
-    rows = rows.select(
-        "mask", "value", "sim", "line", "norm", F.col("first.line").alias("of_first"),
-        F.ceil(F.col("n") / CELL).alias("k"),
-        F.when(is_first | ~near, is_first).otherwise(F.levenshtein("norm", "first.norm") <= most).alias("joined"),
-    )
-    linked = rows.where("joined and line <> of_first").select(F.col("line").alias("a"), F.col("of_first").alias("b"))
-    cells = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
-    asking = rows.where("not joined").select("mask", "value", "sim", "line", "norm", F.pmod(F.xxhash64("line"), F.col("k")).alias("x"), F.explode(cells).alias("y"))
-    held = rows.select(
-        "mask", F.col("value"), F.col("sim").alias("held_sim"), F.col("line").alias("held_line"), F.col("norm").alias("held_norm"),
-        "joined", F.explode(cells).alias("x"), F.pmod(F.xxhash64("line"), F.col("k")).alias("y"),
-    )
-    held = held.toDF("mask", "value", "sim", "line", "norm", "joined", "x", "y")
-    keys = ["mask", "value", "x", "y"]
-    crossed = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(cell_links, "a long, b long")
-    return linked.unionAll(crossed)
+def most_edits(a: str, b: str) -> F.Column:
+    return F.floor((1 - SIMILAR) * F.greatest(F.char_length(a), F.char_length(b)) + 1e-9).cast("int")
+
+
+def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    one, two = (texts.select(F.col("line").alias(f"{k}_line"), F.col("norm").alias(f"{k}_norm")) for k in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_line")).join(two, F.col("b") == F.col("b_line"))
+    both = both.withColumn("most", most_edits("a_norm", "b_norm"))
+    both = both.where(F.abs(F.char_length("a_norm") - F.char_length("b_norm")) <= F.col("most"))
+    few = F.expr(f"levenshtein(a_norm, b_norm, least(most, {FEW_EDITS})) >= 0")
+    many = F.expr(f"most > {FEW_EDITS} and levenshtein(a_norm, b_norm, most) >= 0")
+    return both.where(F.when(few, True).otherwise(many)).select("a", "b")
+
+
+def in_cells(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the lines of each key; runs are rows (value, line, root)."""
+    members = runs.join(texts.withColumnRenamed("line", "of_line"), F.col("line") == F.col("of_line")).drop("of_line")
+    sizes = members.groupBy(F.col("value").alias("of_value")).agg(F.ceil(F.sum(F.octet_length("norm")) / CELL_BYTES).alias("k"))
+    dealt = members.join(sizes, F.col("value") == F.col("of_value")).withColumn("part", F.pmod(F.xxhash64("line", "value"), F.col("k")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    dealt = dealt.select("value", "line", "root", "norm", "part", other.alias("other"))
+    dealt = dealt.select("value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "line", "root", "norm", "part")
+    return dealt.groupBy("value", "x", "y").applyInArrow(cell_links, "a long, b long")
+
+
+def line_links(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Links (a, b) that connect similar lines of rows (line, norm); a line may have several rows."""
+    keyed = in_batches(lines, line_keys, "line long, keys array<long>").select(F.explode("keys").alias("value"), "line")
+    shape = "value long, line long, least long, n long, lot long"
+    runs = written(spark, in_batches(keyed.repartition("value"), shared_keys, shape), "shared-keys")
+    asked = runs.select(F.col("line").alias("asked")).distinct()
+    texts = lines.join(asked, F.col("line") == F.col("asked"), "left_semi")
+    texts = written(spark, texts.groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
+    pairs = runs.where("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
+    found = written(spark, near_pairs(pairs, texts), "near-lines")
+    roots = components(spark, found)
+    larger = runs.where("n > 2").join(roots, F.col("line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "line"))
+    larger = larger.select("value", "line", "lot", "root")
+    open_keys = larger.groupBy("lot").agg(F.min("value").alias("of_value"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_keys = open_keys.where("low <> high").select("of_value")
+    rest = larger.join(open_keys, F.col("value") == F.col("of_value"), "left_semi").select("value", "line", "root")
+    return found.unionAll(in_cells(rest, texts))
 
 
 def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(of_doc, pos): the lines to remove from each document."""
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    marked = written(spark, in_batches(chosen, line_marks, "doc_id long, pos int, h long, sim long"), "lines")
-    place = F.struct("doc_id", "pos")
-    # Equal lines have equal hashes and SimHashes; both together name a line.
-    lines = marked.groupBy("h", "sim").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = written(spark, lines.select("h", "sim", F.xxhash64("h", "sim").alias("line"), "first", "n"), "distinct-lines")
-    keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("sim").bitwiseAND(F.expr(f"{signed(m)}L")).alias("value")) for k, m in enumerate(MASKS)])
-    sent = lines.select("sim").distinct().select("sim", F.explode(keys).alias("at")).select("at.mask", "at.value", "sim")
-    runs = in_batches(sent.repartition("mask", "value"), near_runs, "mask int, value long, sim long")
-    # Different lines with one SimHash are near each other under any key.
-    same = lines.groupBy("sim").agg(F.count("*").alias("k")).where("k > 1").select(F.lit(-1).alias("mask"), F.col("sim").alias("value"), "sim")
-    runs = written(spark, runs.unionAll(same), "runs")
-    wanted = lines.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "line", "sim")).alias("wanted"))
-    texts = in_batches(chosen.join(wanted, F.col("doc_id") == F.col("in_doc")), normal_texts, "line long, line_sim long, norm string")
-    texts = written(spark, texts, "distinct-texts")
-    keyed = in_batches(texts.select("line", "norm"), band_keys, "value long, line long")
-    bands = written(spark, in_batches(keyed.repartition("value"), band_runs, "value long, line long, lot long"), "bands")
-    # One key for each set of lines.
-    lots = bands.groupBy("lot").agg(F.min("value").alias("of_lot"))
-    bands = bands.join(lots.select("of_lot"), F.col("value") == F.col("of_lot"), "left_semi").select("value", F.col("line").alias("near_line"))
-    bands = written(spark, bands, "bands")
-    near_sims = runs.select("sim").distinct().join(lines, "sim").select("line")
-    asked = near_sims.unionAll(bands.select("near_line")).distinct().select(F.col("line").alias("asked"))
-    texts = texts.join(asked, F.col("line") == F.col("asked"), "left_semi")
-    # A document that stands twice gives its lines twice.
-    texts = written(spark, texts.groupBy("line", "line_sim").agg(F.min("norm").alias("norm")), "line-texts")
-    members = runs.join(texts, F.col("sim") == F.col("line_sim")).select("mask", "value", "sim", "line", "norm")
-    banded = bands.join(texts, F.col("near_line") == F.col("line")).select(F.lit(BAND).alias("mask"), "value", F.col("line_sim").alias("sim"), "line", "norm")
-    members = members.unionAll(banded)
-    members = written(spark, members, "members")
-    sizes = members.groupBy(F.col("mask").alias("of_mask"), F.col("value").alias("of_value")).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
-    usual = members.join(sizes, same, "left_anti").groupBy("mask", "value")
-    links = usual.applyInArrow(group_links, "a long, b long").unionAll(hot_links(members, sizes))
-    roots = components(spark, links)
-    rooted = lines.join(roots, F.col("line") == F.col("node"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    moved = rooted.select("h", "sim", "root").join(best, "root").select(F.col("h").alias("of_h"), F.col("sim").alias("of_sim"), "kept")
-    alone = lines.where("n > 1").join(roots, F.col("line") == F.col("node"), "left_anti")
-    keepers = moved.unionAll(alone.select(F.col("h").alias("of_h"), F.col("sim").alias("of_sim"), F.col("first").alias("kept")))
-    found = marked.join(keepers, (F.col("h") == F.col("of_h")) & (F.col("sim") == F.col("of_sim")))
-    return found.where(place != F.col("kept")).select(F.col("doc_id").alias("of_doc"), "pos")
-
-
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The normalised text of the wanted lines of each document."""
-    for part in portions(batches, "text"):
-        rows = []
-        for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
-            cut = text.split("\n")
-            rows += [(w["line"], w["sim"], " ".join(normal_words(cut[w["pos"]]))) for w in wanted if w["pos"] < len(cut)]
-        types = (pa.int64(), pa.int64(), pa.string())
-        columns = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["line", "line_sim", "norm"])
+    """(of_doc, of_row, pos): the lines to remove from each document; of_row is row_key() of it."""
+    chosen = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).where("text is not null")
+    marked = written(spark, in_batches(chosen, line_marks, "doc_id long, row long, pos int, line long, check long, norm string"), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "pos")
+    lines = marked.groupBy("line", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    roots = components(spark, line_links(spark, marked.where("norm is not null").select("line", "norm")))
+    rooted = lines.join(roots, F.col("line") == F.col("node"), "left").select("line", "check", "first", "n", "root")
+    rooted = written(spark, rooted.where("n > 1 or root is not null"), "repeated-lines")
+    best = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("kept")).withColumnRenamed("root", "of_root")
+    keepers = rooted.join(best, F.col("root") == F.col("of_root"), "left")
+    keepers = keepers.select(F.col("line").alias("of_line"), F.col("check").alias("of_check"), F.coalesce("kept", "first").alias("kept"))
+    found = marked.join(keepers, (F.col("line") == F.col("of_line")) & (F.col("check") == F.col("of_check")))
+    return found.where(place != F.col("kept")).select(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"), "pos")
+
+
+def row_key() -> F.Column:
+    """Tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with repeated lines removed, and the name of an added column that counts them."""
-    removed = duplicates(spark, docs).distinct().groupBy("of_doc").agg(F.collect_list("pos").alias("gone_pos"))
+    removed = duplicates(spark, docs).distinct().groupBy("of_row", "of_doc").agg(F.collect_list("pos").alias("gone_pos"))
     names = list(docs.columns)
-    own, gone, count = (free_name(n, names) for n in ("of_doc", "gone_pos", "n_removed"))
-    removed = removed.select(F.col("of_doc").alias(own), F.col("gone_pos").alias(gone))
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col(own), "left")
+    own, row, gone, count = (free_name(n, names) for n in ("of_doc", "of_row", "gone_pos", "n_removed"))
+    removed = removed.select(F.col("of_doc").alias(own), F.col("of_row").alias(row), F.col("gone_pos").alias(gone))
+    joined = docs.join(removed, (row_key() == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
     cut = F.split(F.col("text"), "\n", -1)
     kept = F.filter(F.transform(cut, lambda x, i: F.struct(x.alias("line"), i.alias("pos"))), lambda x: ~F.array_contains(F.col(gone), x["pos"]))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
