@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """Cuts the lineage by a table in the shared folder, which outlives a lost executor."""
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

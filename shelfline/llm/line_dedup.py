@@ -12,7 +12,7 @@ the usual way: join on the keys, verify the edit similarity, keep one line of ea
 
 - Only distinct lines are keyed. Keys that a single line has end in the task that sorts them.
 - Every line of a key is paired with the key's least line. These pairs are made distinct over all keys,
-  joined with their texts once and verified in the JVM by a banded edit distance, narrow band first.
+  joined with their texts once and verified: first by counts of letter pairs, then by edit distance.
 - That settles keys of two lines, and keys whose lines are connected by now. Lines of the others are
   compared among themselves in cells of at most CELL_BYTES of text on a side, so no key is a single
   task's work; only pairs that are not yet connected are looked at, and links are as many as joined groups.
@@ -46,13 +46,15 @@ BANDS, GRAM, BAND_ROWS = 12, 8, 3
 #: The same for lines of up to BRIEF characters; lines of about BRIEF have both, so any two similar lines have one sort alike.
 BRIEF, BRIEF_GRAM, BRIEF_ROWS = 60, 3, 4
 #: Counters of letter pairs by which dissimilar lines of a cell are told apart before any is compared.
-COUNTERS = 64
+COUNTERS = 256
 #: Lines a task remembers to have sent already; it only saves work.
 REMEMBERED = 500_000
 #: Bytes of text on one side of a cell.
 CELL_BYTES = 1 << 20
-#: Most edits that the first, cheap comparison looks for.
-FEW_EDITS = 16
+#: The same for pairs of lines.
+PAIR_COUNTERS = 1024
+#: Bits of the filter of lines that share a key.
+FILTER_BITS = 1 << 23
 
 
 def normal_words(line: str) -> list[str]:
@@ -249,19 +251,43 @@ def cell_links(cell: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def most_edits(a: str, b: str) -> F.Column:
-    return F.floor((1 - SIMILAR) * F.greatest(F.char_length(a), F.char_length(b)) + 1e-9).cast("int")
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, a_norm, b_norm) whose texts are similar."""
+    for part in portions(portions(batches, "a_norm", 1 << 20), "b_norm", 1 << 20):
+        ones, twos = (part.column(c).to_pylist() for c in ("a_norm", "b_norm"))
+        sizes = np.array([(len(x), len(y)) for x, y in zip(ones, twos)], np.int64)
+        most = ((1 - SIMILAR) * sizes.max(axis=1) + 1e-9).astype(np.int64)
+        # Letter pairs counted in one text less those in the other; an edit changes at most four counts by one.
+        flat = np.frombuffer("".join(x + y for x, y in zip(ones, twos)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(ones)), sizes.sum(axis=1))
+        side = np.repeat(np.tile([1, -1], len(ones)), sizes.ravel())
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(sizes.ravel()) - 1] = False
+        cell = own[:-1] * PAIR_COUNTERS + (flat[:-1] * 1009 + flat[1:]) % PAIR_COUNTERS
+        apart = np.bincount(cell[inside[:-1]], side[:-1][inside[:-1]], len(ones) * PAIR_COUNTERS).reshape(len(ones), -1)
+        may = (np.abs(sizes[:, 0] - sizes[:, 1]) <= most) & (np.abs(apart).sum(axis=1) <= 4 * most)
+        kept = [i for i in np.flatnonzero(may).tolist() if edit_distance(ones[i], twos[i], int(most[i])) <= most[i]]
+        yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(kept, pa.int64())) for c in "ab"], ["a", "b"])
 
 
 def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     one, two = (texts.select(F.col("line").alias(f"{k}_line"), F.col("norm").alias(f"{k}_norm")) for k in "ab")
     both = pairs.join(one, F.col("a") == F.col("a_line")).join(two, F.col("b") == F.col("b_line"))
-    both = both.withColumn("most", most_edits("a_norm", "b_norm"))
-    both = both.where(F.abs(F.char_length("a_norm") - F.char_length("b_norm")) <= F.col("most"))
-    few = F.expr(f"levenshtein(a_norm, b_norm, least(most, {FEW_EDITS})) >= 0")
-    many = F.expr(f"most > {FEW_EDITS} and levenshtein(a_norm, b_norm, most) >= 0")
-    return both.where(F.when(few, True).otherwise(many)).select("a", "b")
+    longer, shorter = (f(F.char_length("a_norm"), F.char_length("b_norm")) for f in (F.greatest, F.least))
+    both = both.where(longer - shorter <= (1 - SIMILAR) * longer + 1e-9)
+    return in_batches(both.select("a", "b", "a_norm", "b_norm"), verified, "a long, b long")
+
+
+def perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose line may be among `wanted` (asked), by one bit for each; it only keeps others from moving.
+
+    The bits are FILTER_BITS / 64 rows at most, whatever the input: safe to broadcast.
+    """
+    word, bit = (lambda c: F.shiftright(F.pmod(c, F.lit(FILTER_BITS)), 6)), (lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))"))
+    bits = wanted.groupBy(word(F.col("asked")).alias("word")).agg(F.bit_or(bit("asked")).alias("bits"))
+    held = rows.join(F.broadcast(bits), word(F.col("line")) == F.col("word"))
+    return held.where(F.col("bits").bitwiseAND(bit("line")) != 0).select(*rows.columns)
 
 
 def in_cells(runs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,7 +307,7 @@ def line_links(spark: SparkSession, lines: DataFrame) -> DataFrame:
     shape = "value long, line long, least long, n long, lot long"
     runs = written(spark, in_batches(keyed.repartition("value"), shared_keys, shape), "shared-keys")
     asked = runs.select(F.col("line").alias("asked")).distinct()
-    texts = lines.join(asked, F.col("line") == F.col("asked"), "left_semi")
+    texts = perhaps(lines, asked).join(asked, F.col("line") == F.col("asked"), "left_semi")
     texts = written(spark, texts.groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
     pairs = runs.where("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
     found = written(spark, near_pairs(pairs, texts), "near-lines")
