@@ -50,7 +50,9 @@ COUNTERS = 256
 #: Lines a task remembers to have sent already; it only saves work.
 REMEMBERED = 500_000
 #: Bytes of text on one side of a cell.
-CELL_BYTES = 1 << 20
+CELL_BYTES = 1 << 19
+#: The same for pairs of lines.
+COUNTERS = 256
 #: The same for pairs of lines.
 PAIR_COUNTERS = 1024
 #: Bits of the filter of lines that share a key.
@@ -168,12 +170,13 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
-    """Counts of letter pairs; a single edit changes at most four of them by one."""
-    counts = np.zeros((len(texts), COUNTERS), np.int32)
-    for row, text in zip(counts, texts):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        row += np.bincount((codes[:-1] * 31 + codes[1:]) % COUNTERS, minlength=COUNTERS).astype(np.int32)
-    return counts
+    """Counts of letter pairs of each text; a single edit changes at most four of them by one."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    inside = own[1:] == own[:-1]
+    cells = own[:-1] * COUNTERS + (flat[:-1] * 1009 + flat[1:]) % COUNTERS
+    return np.bincount(cells[inside], minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
 
 
 class Likely:
@@ -187,7 +190,8 @@ class Likely:
         most = ((1 - SIMILAR) * np.maximum(self.lengths[at], self.lengths[i]) + 1e-9).astype(np.int64)
         found = np.abs(self.lengths[at] - self.lengths[i]) <= most
         held = at[found]
-        found[found] = np.abs(self.counts[held] - self.counts[i]).sum(axis=1) <= 4 * most[found]
+        if len(held):
+            found[found] = np.abs(self.counts[held] - self.counts[i]).sum(axis=1) <= 4 * most[found]
         return found
 
 
@@ -226,29 +230,55 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def cell_links(cell: pa.Table) -> pa.Table:
+def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between lines of a cell that have different roots, as few as connect what is similar.
 
-    A cell holds one part of a key's lines, or two whose lines are compared across only.
+    Rows come sorted by cell (value, x, y). A cell holds one part of a key's lines, or two whose lines
+    are compared across only. Many small cells are worked through together.
     """
-    order = np.argsort(cell.column("line").to_numpy(), kind="stable")
-    ids, part, root = (cell.column(c).to_numpy()[order] for c in ("line", "part", "root"))
-    texts = cell.column("norm").take(pa.array(order)).to_pylist()
-    across = cell.column("x")[0].as_py() != cell.column("y")[0].as_py()
-    likely, label, links = Likely(texts), root.copy(), []
-    for i in range(len(ids) - 1):
-        close = label != label[i]
-        close[: i + 1] = False
-        if across:
-            close &= part != part[i]
-        at = np.flatnonzero(close)
-        if not len(at):
-            continue
-        for j in at[likely.to(i, at)].tolist():
-            if label[j] != label[i] and similar(texts[i], texts[j]):
-                links.append((ids[j], ids[i]))
-                label[label == label[j]] = label[i]
-    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = [batch.column(c).to_numpy() for c in ("value", "x", "y")]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cells], axis=0)) + 1
+        # The last cell of a batch may go on in the next one.
+        if held and tuple(c[0] for c in cells) != tuple(held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("value", "x", "y")):
+            yield from whole_cells(held)
+            held = []
+        if len(edges):
+            yield from whole_cells([*held, batch.slice(0, edges[-1])])
+            held = []
+        held.append(batch.slice(edges[-1] if len(edges) else 0))
+    if held:
+        yield from whole_cells(held)
+
+
+def whole_cells(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    value, x, y, ids, part, label = (rows.column(c).to_numpy().copy() for c in ("value", "x", "y", "line", "part", "root"))
+    texts = rows.column("norm").to_pylist()
+    starts = np.concatenate(([0], np.flatnonzero((value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(ids)])).tolist()
+    sizes, links, group = np.fromiter(map(len, texts), np.int64, len(texts)), [], 0
+    while group + 1 < len(starts):
+        # As many cells as hold some text together, or one.
+        first, taken = starts[group], group + 1
+        while taken + 1 < len(starts) and sizes[first : starts[taken + 1]].sum() <= CELL_BYTES:
+            taken += 1
+        likely = Likely(texts[first : starts[taken]])
+        for start, stop in zip(starts[group:taken], starts[group + 1 : taken + 1]):
+            across = x[start] != y[start]
+            for i in range(start, stop - 1):
+                at = np.flatnonzero(label[i + 1 : stop] != label[i]) + i + 1
+                if across:
+                    at = at[part[at] != part[i]]
+                if not len(at):
+                    continue
+                for j in at[likely.to(i - first, at - first)].tolist():
+                    if label[j] != label[i] and similar(texts[i], texts[j]):
+                        links.append((ids[j], ids[i]))
+                        own = label[start:stop]
+                        own[own == label[j]] = label[i]
+        group = taken
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +328,8 @@ def in_cells(runs: DataFrame, texts: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     dealt = dealt.select("value", "line", "root", "norm", "part", other.alias("other"))
     dealt = dealt.select("value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "line", "root", "norm", "part")
-    return dealt.groupBy("value", "x", "y").applyInArrow(cell_links, "a long, b long")
+    dealt = dealt.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y", "line")
+    return in_batches(dealt, cell_links, "a long, b long")
 
 
 def line_links(spark: SparkSession, lines: DataFrame) -> DataFrame:
