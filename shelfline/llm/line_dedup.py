@@ -45,13 +45,11 @@ SIMILAR = 0.9
 BANDS, GRAM, BAND_ROWS = 12, 8, 3
 #: The same for lines of up to BRIEF characters; lines of about BRIEF have both, so any two similar lines have one sort alike.
 BRIEF, BRIEF_GRAM, BRIEF_ROWS = 60, 3, 4
-#: Counters of letter pairs by which dissimilar lines of a cell are told apart before any is compared.
-COUNTERS = 256
 #: Lines a task remembers to have sent already; it only saves work.
 REMEMBERED = 500_000
 #: Bytes of text on one side of a cell.
 CELL_BYTES = 1 << 19
-#: The same for pairs of lines.
+#: Counters of letter pairs by which dissimilar lines of a cell are told apart before any is compared.
 COUNTERS = 256
 #: The same for pairs of lines.
 PAIR_COUNTERS = 1024
@@ -212,12 +210,15 @@ def edit_distance(a: str, b: str, most: int) -> int:
         at[c] = at.get(c, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, distance = every, 0, len(a)
-    for c in b:
+    for left_over, c in zip(range(len(b) - 1, -1, -1), b):
         equal = at.get(c, 0)
         diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
         right = minus | (every & ~(diagonal | plus))
         left = plus & diagonal
         distance += bool(right & top) - bool(left & top)
+        # Each column behind this one takes off one at most.
+        if distance - left_over > most:
+            return most + 1
         right = (right << 1 | 1) & every
         plus = ((left << 1) & every) | (every & ~(diagonal | right))
         minus = right & diagonal
