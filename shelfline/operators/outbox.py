@@ -459,6 +459,11 @@ def purge(outbox: DataFrame, now: Column | str, keep_days: int = 7) -> DataFrame
     return outbox.where(~F.coalesce(_past_retention(as_time(now, outbox), keep_days), F.lit(False)))
 
 
+def past_retention(outbox: DataFrame, now: Column | str, keep_days: int = 7) -> DataFrame:
+    """The DONE rows that ``purge`` leaves out."""
+    return outbox.where(F.coalesce(_past_retention(as_time(now, outbox), keep_days), F.lit(False)))
+
+
 def purge_summary(outbox: DataFrame, now: Column | str, keep_days: int = 7) -> DataFrame:
     old = F.coalesce(_past_retention(as_time(now, outbox), keep_days), F.lit(False))
     status = F.col("status")

@@ -790,6 +790,87 @@ def _stream_relay(spark, sf):
 add("stream_relay", _stream_relay, UPSERT_SQL)
 
 
+def _retention_store(spark, sf):
+    """A stored outbox after its purge and clean-up, with the folders that hold it."""
+    table = star.outbox(spark, sf)
+    store = relay.outbox_store(spark, shared_dir(spark, "outbox"), table, 4_000)
+    store.replace(table)
+    before = len(store.folders())
+    relay.retain(store, NOW, steps=0)
+    rows = store.read().groupBy("status").agg(
+        F.count(F.lit(1)).alias("events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.sum("aggregate_id").alias("aggregate_sum"),
+    )
+    # One folder per bucket of 4 000 ids, old or rewritten, none beside them.
+    return rows.withColumns({"folders_before": F.lit(before).cast("long"), "folders": F.lit(len(store.folders())).cast("long")})
+
+
+add(
+    "retention_store",
+    _retention_store,
+    _outbox(
+        f"""SELECT status, count(*) AS events, min(id) AS first_id, max(id) AS last_id,
+                   CAST(sum(aggregate_id) AS BIGINT) AS aggregate_sum,
+                   (SELECT count(DISTINCT CAST(floor(id / 4000.0) AS BIGINT)) FROM outbox) AS folders_before,
+                   (SELECT count(DISTINCT CAST(floor(id / 4000.0) AS BIGINT)) FROM outbox
+                    WHERE NOT coalesce({_OLD}, FALSE)) AS folders
+            FROM outbox WHERE NOT coalesce({_OLD}, FALSE) GROUP BY status"""
+    ),
+)
+
+
+#: When the second look at the due events takes place, later than any retry of the first.
+LATER_ON = "2024-02-01 00:05:00"
+_RETRIED = ob.RelayConfig(batch_size=1_000_000, processing_timeout_ms=LEASE_MS)
+
+
+def _stream_retries(spark, sf):
+    """Events of refused products come back by themselves: no event arrives for the second look."""
+    table = star.outbox(spark, sf)
+    events = relay.outbox_store(spark, shared_dir(spark, "outbox"), table, 1_000_000)
+    events.replace(table)
+    docs, files, ticks, checkpoint = (shared_dir(spark, x) for x in ("docs", "files", "ticks", "checkpoint"))
+    products, _ = tables(spark, sf)
+    store = relay.document_store(spark, docs, products)
+    table.select("id").write.parquet(files)
+    spark.range(1).write.parquet(ticks)
+    for now, reject in ((NOW, F.col("id") % 5 == 0), (LATER_ON, F.lit(False))):
+        relay.start_relay(
+            relay.outbox_stream(spark, files, "id long"), relay_source(spark, sf), store, checkpoint,
+            lambda at=now: at, outbox=events, config=_RETRIED, reject=reject,
+            wake=relay.outbox_stream(spark, ticks, "id long"),
+        ).awaitTermination()
+        spark.range(1).write.mode("append").parquet(ticks)
+    return events.read().groupBy("status", "retry_count").agg(
+        F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id"),
+        F.sum("aggregate_id").alias("aggregate_sum"),
+    )
+
+
+add(
+    "stream_retry_delivery",
+    _stream_retries,
+    _outbox(
+        f""", seen AS (
+          SELECT o.*, ({_ELIGIBLE_SQL.replace("status", "o.status").replace("updated_at", "o.updated_at")}) AS due,
+                 p.id IS NOT NULL AND p.status <> 'DELETED' AND p.id % 5 = 0 AS refused
+          FROM outbox o LEFT JOIN products p ON p.id = o.aggregate_id
+        ), after_first AS (
+          SELECT id, aggregate_id, CASE WHEN due AND refused THEN retry_count + 1 ELSE retry_count END AS retry_count,
+                 CASE WHEN NOT due THEN status WHEN NOT refused THEN 'DONE'
+                      WHEN retry_count + 1 >= {_RETRIED.max_retry_count} THEN 'FAILED' ELSE 'PENDING' END AS status,
+                 CASE WHEN due THEN TIMESTAMP '{NOW}' + to_milliseconds({_RETRIED.retry_delay_ms}) ELSE next_retry_at END AS next_retry_at,
+                 CASE WHEN due THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at
+          FROM seen
+        )
+        SELECT CASE WHEN {_ELIGIBLE_SQL.replace(NOW, LATER_ON)} THEN 'DONE' ELSE status END AS status,
+               retry_count, count(*) AS events, max(id) AS last_id, CAST(sum(aggregate_id) AS BIGINT) AS aggregate_sum
+        FROM after_first GROUP BY ALL""",
+        "products",
+    ),
+)
+
+
 def _stream_status(spark, sf):
     raw = relay.outbox_stream(
         spark, sf, star.table(spark, sf, "events").schema, glob="events.parquet"

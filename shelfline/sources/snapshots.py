@@ -249,6 +249,56 @@ class SnapshotStore:
         self._point({**self.names(), **{n: version for n in names}}, "change", batch)
         return version
 
+    # ---- clean-up -----------------------------------------------------------------------
+
+    def clean_up(self, steps: int = 1) -> list[str]:
+        """Removes version folders that neither the names in force nor ``steps`` rollbacks reach.
+
+        Returns the removed folders, relative to the root. Pointers stay, so batches stay known as
+        applied; a rollback beyond the kept steps finds its folders gone and fails. Folders of a
+        version that crashed before it was committed go too. Readers of older versions must have
+        ended; a folder that is gone already is passed over, so an interrupted clean-up may run again.
+        """
+        history = self.refresh().history()
+        pointer = history[-1] if history else None
+        live: set[int] = set()
+        for _ in range(steps + 1):
+            if pointer is None:
+                break
+            live |= set(pointer.names.values())
+            pointer = self._parent(pointer)
+        kept = {folder for version in live for folder in self._folders(version).values()}
+        removed = []
+        for version in self._children("data"):
+            path = f"data/{version}"
+            held = {f for f in kept if f.startswith(f"{path}/")}
+            if not held:
+                removed.append(path)
+            else:
+                buckets = [f"{path}/{b}" for b in self._children(path) if b.startswith("bucket=")]
+                removed += [b for b in buckets if b not in held]
+        live_names = {f"v{version:09d}" for version in live}
+        removed += [f"versions/{v}" for v in self._children("versions") if v not in live_names]
+        files, root = self._files()
+        for folder in removed:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, folder), True)
+        self._manifests = {v: f for v, f in self._manifests.items() if v in live}
+        return sorted(removed)
+
+    def folders(self) -> list[str]:
+        """All bucket folders in the store, whether a version needs them or not."""
+        versions = [f"data/{v}" for v in self._children("data")]
+        return [f"{v}/{b}" for v in versions for b in self._children(v) if b.startswith("bucket=")]
+
+    def _files(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+
+    def _children(self, folder: str) -> list[str]:
+        files, root = self._files()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(root, folder)
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
 
 def apply_changes(
     rows: DataFrame, upserts: DataFrame, deletes: DataFrame, key: str = "id"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,8 +98,8 @@ def relay_batch(
     outbox.apply_changes(claimed, None)
     table = outbox.read()
     held = table.where((F.col("status") == "PROCESSING") & (F.col("claim_token") == token))
-    count = held.count()
-    if count == 0:
+    n_held = held.count()
+    if n_held == 0:
         return 0
     products = source.products()
     if event_aware:
@@ -116,7 +117,7 @@ def relay_batch(
         outbox.apply_changes(changes, None, keys=held.select("id"))
     finally:
         decisions.unpersist()
-    return count
+    return n_held
 
 
 def drain_outbox(
@@ -157,6 +158,17 @@ def high_watermark(outbox: DataFrame) -> int:
     return outbox.agg(F.coalesce(F.max("id"), F.lit(0)).alias("w")).first().w
 
 
+def retain(outbox: SnapshotStore, now: Column | str, keep_days: int = 7, batch: str | None = None, steps: int = 1) -> list[str]:
+    """Takes DONE events of more than ``keep_days`` ago out of the store, then removes what no version needs.
+
+    Only buckets that hold such events are rewritten. A named ``batch`` that ran before purges nothing
+    again. Returns the removed folders.
+    """
+    table = outbox.read()
+    outbox.apply_changes(None, ob.past_retention(table, now, keep_days).select("id"), batch=batch)
+    return outbox.clean_up(steps)
+
+
 # ---- streaming -----------------------------------------------------------------------------
 
 
@@ -176,6 +188,11 @@ def outbox_stream(
     return reader.parquet(path)
 
 
+def heartbeat(spark: SparkSession) -> DataFrame:
+    """A stream of one row for each trigger: a polling relay then looks at the due events every time."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+
 def start_relay(
     events: DataFrame,
     source: Source,
@@ -188,6 +205,7 @@ def start_relay(
     outbox: SnapshotStore | None = None,
     config: ob.RelayConfig | None = None,
     reject: Column | None = None,
+    wake: DataFrame | None = None,
 ) -> StreamingQuery:
     """Keeps the store in step with a stream of events.
 
@@ -197,12 +215,20 @@ def start_relay(
     anew on the same store, with a new checkpoint, is not taken for a replay. ``interval`` sets a
     polling trigger; without it the stream takes what is there and stops.
 
-    With ``outbox``, the events of a batch are claimed there first and finished there last, with
-    the outcomes of the batch relay: DONE, a retry, or FAILED after the last attempt. A document
-    for which ``reject`` holds fails the events of its product only.
+    With ``outbox``, that store is the queue of due events and a micro-batch is the occasion to
+    empty it: in rounds of at most ``batch_size`` events, all that are due are claimed there
+    first and finished there last, whether they came with this batch, wait for a retry, or were
+    held by a worker whose lease has ended. Outcomes are those of the batch relay: DONE, a retry,
+    or FAILED after the last attempt. A document for which ``reject`` holds fails the events of
+    its product only. ``wake`` is another stream (``heartbeat``, say) whose rows are occasions
+    too, so a retry that falls due is delivered without a new event.
     """
     if watermark is not None:
         events = events.where(F.col("id") > watermark)
+    if wake is not None:
+        if outbox is None:
+            raise ValueError("only an outbox store has events that fall due")
+        events = events.select("id").unionByName(wake.select(F.lit(None).cast("long").alias("id")))
     config = config or ob.RelayConfig()
     spark = events.sparkSession
     stream: list[str] = []
@@ -215,9 +241,12 @@ def start_relay(
 
     def relay(batch: DataFrame, batch_id: int) -> None:
         own, at = batch_name(batch_id), F.lit(now()).cast("timestamp_ntz")
-        held = batch if outbox is None else claimed(batch, own, at)
-        if held is None or outbox is None and store.applied(own):
-            return
+        if outbox is not None:
+            empty_queue(own, at)
+        elif not store.applied(own):
+            decide(batch, own, at)
+
+    def decide(held: DataFrame, own: str, at: Column) -> None:
         decisions = ob.decide_latest(ob.group_by_product(held), source.products()).persist()
         try:
             failures = apply_decisions(decisions, source, store, at, batch=own, reject=reject)
@@ -229,17 +258,22 @@ def start_relay(
         finally:
             decisions.unpersist()
 
-    def claimed(batch: DataFrame, own: str, at: Column) -> DataFrame | None:
-        """The events of a batch that are now held for it; none if it is finished or has none."""
-        if outbox.applied(f"{own}-finished"):
-            return None
-        ready = ob.eligible(outbox.read(), at, config.processing_timeout_ms)
-        ready = ready.join(batch.select("id").distinct(), "id", "left_semi")
-        taken = ob.held_by(ready, at, config.instance_id, own).select(*outbox.schema.names)
-        outbox.apply_changes(taken, None, batch=f"{own}-claimed")
-        held = (F.col("status") == "PROCESSING") & (F.col("claim_token") == own)
-        held = outbox.read().where(held)
-        return None if held.isEmpty() else held
+    def empty_queue(own: str, at: Column) -> None:
+        """Rounds until nothing is due; a replayed batch passes over the rounds it has finished."""
+        for n in count():
+            part = f"{own}-{n}"
+            if outbox.applied(f"{part}-finished"):
+                continue
+            if not outbox.applied(f"{part}-claimed"):
+                ready = ob.eligible(outbox.read(), at, config.processing_timeout_ms)
+                if watermark is not None:
+                    ready = ready.where(F.col("id") > watermark)
+                ready = ob.lowest_ids(ready, config.batch_size)
+                taken = ob.held_by(ready, at, config.instance_id, part).select(*outbox.schema.names)
+                if outbox.apply_changes(taken, None, batch=f"{part}-claimed") is None:
+                    return
+            held = (F.col("status") == "PROCESSING") & (F.col("claim_token") == part)
+            decide(outbox.read().where(held), part, at)
 
     writer = events.writeStream.foreachBatch(relay).option("checkpointLocation", checkpoint)
     writer = (

@@ -2,8 +2,6 @@
 
 import math
 import re
-import subprocess
-import sys
 
 import numpy as np
 import pytest
@@ -142,23 +140,6 @@ def test_no_query_plans_a_cross_join_or_row_wise_python(spark, sf):
     assert found == {}
 
 
-def test_stateful_processor_travels_without_the_package():
-    """Executors must not need to import it from this repository."""
-    from pyspark import cloudpickle
-
-    from shelfline.streaming.lease import EventLifecycle
-
-    payload = cloudpickle.dumps(EventLifecycle(ob.RelayConfig()))
-    code = (
-        "import pickle, sys; sys.path = [p for p in sys.path if p not in ('', '.')]; "
-        "print(type(pickle.loads(sys.stdin.buffer.read())).__name__)"
-    )
-    done = subprocess.run(
-        [sys.executable, "-c", code], input=payload, capture_output=True, cwd="/", check=False
-    )
-    assert done.stdout.decode().strip().endswith("EventLifecycle"), done.stderr.decode()
-
-
 def frame(spark, values, group="a"):
     return spark.createDataFrame([(group, v) for v in values], "g string, v double")
 

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
@@ -288,6 +290,59 @@ def test_stream_finishes_its_events(spark, tmp_path):
     assert events.names()["read"] == version
 
 
+def test_a_retry_is_delivered_without_a_new_event(spark, tmp_path):
+    p = fx.products(spark, [(1, "ACTIVE", 1, 1, fx.T0), (2, "ACTIVE", 2, 1, fx.T0)])
+    o = fx.options(spark, [(1, 1, "RED", "M", "IN_STOCK")])
+    out = fx.events(spark, [(1, 1, "PRODUCT_CREATED"), (2, 2, "PRODUCT_CREATED"), (3, 9, "PRODUCT_DELETED")])
+    source, docs, events = build(spark, tmp_path, p, o, out)
+    files, ticks = str(tmp_path / "events"), str(tmp_path / "ticks")
+    out.write.parquet(files)
+    spark.range(1).write.parquet(ticks)
+
+    def run(at, reject, config=ob.RelayConfig(batch_size=1)):
+        relay.start_relay(
+            relay.outbox_stream(spark, files, out.schema), source, docs, str(tmp_path / "cp"), lambda: at,
+            outbox=events, reject=reject, wake=relay.outbox_stream(spark, ticks, "id long"), config=config,
+        ).awaitTermination()
+        return {r.id: (r.status, r.retry_count) for r in events.read().collect()}
+
+    # Rounds of one event each take all that are due.
+    assert run(NOW, F.col("id") == 2) == {1: ("DONE", 0), 2: ("PENDING", 1), 3: ("DONE", 0)}
+    spark.range(1).write.mode("append").parquet(ticks)
+    soon = str(dt.datetime.fromisoformat(NOW) + dt.timedelta(seconds=5))
+    assert run(soon, F.lit(False))[2] == ("PENDING", 1)
+    spark.range(1).write.mode("append").parquet(ticks)
+    later = str(dt.datetime.fromisoformat(NOW) + dt.timedelta(minutes=1))
+    assert run(later, F.lit(False))[2] == ("DONE", 1) and ids(docs.read()) == [1, 2]
+    with pytest.raises(ValueError):
+        relay.start_relay(relay.outbox_stream(spark, files, out.schema), source, docs, str(tmp_path / "x"), lambda: NOW, wake=relay.outbox_stream(spark, ticks, "id long"))
+
+
+def test_retention_removes_events_and_unreachable_folders(spark, tmp_path):
+    rows = [(i, i, "PRODUCT_CREATED") for i in (1, 2, 1_001, 2_001)]
+    out = fx.events(spark, rows)
+    old, new = (F.lit(t).cast("timestamp_ntz") for t in ("2026-04-01 00:00:00", "2026-05-01 00:00:00"))
+    out = out.withColumns({
+        "status": F.when(F.col("id") == 2, "FAILED").otherwise("DONE"),
+        "processed_at": F.when(F.col("id") == 2_001, new).otherwise(old),
+    })
+    store = relay.outbox_store(spark, str(tmp_path / "outbox"), out, 1_000)
+    store.replace(out)
+    store.apply_changes(out.where("id = 1"), None, batch="b")
+    assert len(store.folders()) == 4
+    kept = relay.retain(store, NOW, steps=5)
+    assert kept == [] and sorted(ids(store.read())) == [2, 2_001]
+    store.rollback()
+    assert sorted(ids(store.read())) == [1, 2, 1_001, 2_001]
+    removed = relay.retain(store, NOW, steps=0)
+    assert sorted(ids(store.read())) == [2, 2_001] and len(store.folders()) == 2
+    assert removed and store.applied("b") and store.clean_up(0) == []
+    fresh = relay.outbox_store(spark, str(tmp_path / "outbox"), out, 1_000)
+    assert sorted(ids(fresh.read())) == [2, 2_001]
+    store.apply_changes(out.where("id = 1"), None)
+    assert sorted(ids(store.read())) == [1, 2, 2_001]
+
+
 def test_backfill_batch_that_grew_after_a_crash_is_applied(spark, tmp_path):
     o = fx.options(spark, BACKFILL_OPTIONS)
     held = fx.products(spark, BACKFILL_PRODUCTS)
