@@ -1,8 +1,11 @@
 """Versioned snapshots of a keyed table on plain Parquet.
 
 Rows live in id-range buckets, so a bucket holds at most ``bucket_width`` rows whatever the key
-distribution. A version is a small map bucket -> folder; a change writes new folders for the
-touched buckets only and shares the others with the version before. Names (``read``,
+distribution. A version is a small map bucket -> folder and a list of change folders. A change
+writes its own rows only, with the number of its version; reading takes the latest change of each
+key and leaves the key's row in the bucket out. ``FAN`` change folders of one level become one of
+the next, so a row is written again a logarithmic number of times, and changes that exceed
+``SHARE`` of the buckets they touch are worked into them. Names (``read``,
 ``current``, ``write``) point at versions; one appended line re-points any number of names at
 once, and is written last, so a crash at any earlier moment leaves the old state in force.
 
@@ -21,6 +24,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: So many change folders of a level become one of the next.
+FAN = 8
+#: Changes above this share of the rows in the buckets they touch are worked into the buckets.
+SHARE = 0.25
+
+
+#: What a change row has beside the table's columns.
+CHANGE = [
+    T.StructField("_deleted", T.BooleanType()),
+    T.StructField("_seq", T.LongType()),
+    T.StructField("_bucket", T.LongType()),
+]
+
+
+@dataclass(frozen=True)
+class Version:
+    """Folder and rows of each bucket with its parts, and the change folders in order."""
+
+    base: dict[int, dict]
+    changes: list[dict]
+
+
 @dataclass(frozen=True)
 class Pointer:
     """What the names point at from here on."""
@@ -63,29 +88,23 @@ class SnapshotStore:
         schema: T.StructType,
         key: str = "id",
         bucket_width: int = 1_000_000,
+        closed: Column | None = None,
     ):
+        """``closed`` says which rows are finished; they are kept in files of their own."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
         self.key = key
         self.bucket_width = bucket_width
         self._pointers: list[Pointer] | None = None
-        self._manifests: dict[int, dict[int, str]] = {}
+        self._manifests: dict[int, Version] = {}
+        self.closed = None if closed is None else F.coalesce(closed, F.lit(False))
 
     # ---- names and versions -------------------------------------------------------------
 
     def _dir(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.text(path)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return False
-            raise
-        return True
-
     def history(self) -> list[Pointer]:
         """All pointers in order; read once, then kept up by this single writer."""
         if self._pointers is None:
@@ -114,7 +133,7 @@ class SnapshotStore:
 
     def switch(self, version: int, *names: str) -> None:
         """Points the given names (default: all known and ``read``) at a version, at once."""
-        self._folders(version)
+        self._version(version)
         wanted = names or tuple({*self.names(), "read"})
         self._point({**self.names(), **{n: version for n in wanted}}, "switch")
 
@@ -146,25 +165,65 @@ class SnapshotStore:
 
     # ---- content ------------------------------------------------------------------------
 
-    def _folders(self, version: int) -> dict[int, str]:
+    def _version(self, version: int) -> Version:
         if version not in self._manifests:
             (line,) = get_lines(self.spark, self._dir("versions", f"v{version:09d}"))
-            self._manifests[version] = {int(b): f for b, f in json.loads(line).items()}
+            stored = json.loads(line)
+            base = {int(b): held for b, held in stored["base"].items()}
+            self._manifests[version] = Version(base, stored["changes"])
         return self._manifests[version]
 
+    def _folders(self, version: int) -> dict[int, str]:
+        return {b: held["folder"] for b, held in self._version(version).base.items()}
+
+    def _parts(self, held: list[dict], closed: bool | None) -> list[str]:
+        """The folders of these buckets that hold rows of the wanted kind."""
+        wanted = None if closed is None or self.closed is None else f"closed={str(closed).lower()}"
+        return [
+            f"{h['folder']}/{part}".rstrip("/") for h in held for part in h["parts"] if wanted in (None, part)
+        ]
+
     def _load(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[self._dir(f) for f in folders])
 
-    def read(self, name: str = "read") -> DataFrame:
+    def _latest(self, changes: list[dict]) -> DataFrame:
+        """The last change of each key; an upsert goes before a delete of the same batch."""
+        shape = T.StructType([*self.schema, *CHANGE])
+        rows = self.spark.read.schema(shape).parquet(*[self._dir(c["folder"]) for c in changes])
+        rest = F.struct(*[n for n in shape.names if n != self.key])
+        order = F.struct("_seq", ~F.col("_deleted"))
+        return rows.groupBy(self.key).agg(F.max_by(rest, order).alias("last")).select(self.key, "last.*")
+
+    def _merged(self, held: list[dict], changes: list[dict], closed: bool | None = None) -> DataFrame:
+        """The rows of these buckets with the changes; ``closed`` asks for one kind of rows only."""
+        rows = self._load(self._parts(held, closed))
+        if not changes:
+            return rows
+        latest = self._latest(changes)
+        kept = rows.join(latest.select(self.key), self.key, "left_anti").select(*self.schema.names)
+        new = latest.where(~F.col("_deleted")).select(*self.schema.names)
+        if closed is not None and self.closed is not None:
+            new = new.where(self.closed == F.lit(closed))
+        return kept.unionByName(new)
+
+    def read(self, name: str = "read", closed: bool | None = None) -> DataFrame:
+        """The rows a name points at; of a store that keeps closed rows apart also one kind only."""
         names = self.names()
         if name not in names:
             return self.spark.createDataFrame([], self.schema)
-        return self._load(list(self._folders(names[name]).values()))
+        return self.read_version(names[name], closed)
+
+    def read_version(self, version: int, closed: bool | None = None) -> DataFrame:
+        found = self._version(version)
+        return self._merged(list(found.base.values()), found.changes, closed)
 
-    def read_version(self, version: int) -> DataFrame:
-        return self._load(list(self._folders(version).values()))
+    def upserted(self, version: int) -> DataFrame:
+        """The rows that the change of this version brought."""
+        shape = T.StructType([*self.schema, *CHANGE])
+        rows = self.spark.read.schema(shape).parquet(self._dir("changes", f"v{version:09d}"))
+        return rows.where(~F.col("_deleted")).select(*self.schema.names)
 
     def view(self, view_name: str, name: str = "read") -> None:
         self.read(name).createOrReplaceTempView(view_name)
@@ -173,33 +232,44 @@ class SnapshotStore:
         """One past every version that any name ever pointed at."""
         seen = [v for row in self.history() for v in row.names.values()]
         version = max(seen, default=0) + 1
-        while self._exists(self._dir("data", f"v{version:09d}")):  # left behind by a crash
+        left = set(self._children("data")) | {v[:10] for v in self._children("changes")}
+        while f"v{version:09d}" in left:  # left behind by a crash
             version += 1
         return version
 
-    def _write_buckets(self, rows: DataFrame, version: int) -> set[int]:
+    def _write_buckets(self, rows: DataFrame, version: int) -> dict[int, dict]:
         """Writes rows bucket by bucket; large buckets are split over several files."""
-        path = self._dir("data", f"v{version:09d}")
-        (
-            rows.select(*self.schema.names)
-            .withColumn("bucket", id_bucket(self.bucket_width, self.key))
-            .hint("rebalance", "bucket")
-            .write.partitionBy("bucket")
-            .parquet(path)
-        )
-        found = self.spark.read.schema("bucket long").parquet(path).distinct()
-        return {r.bucket for r in found.collect()}
-
-    def _commit(self, folders: dict[int, str], version: int) -> int:
-        put_text(self.spark, self._dir("versions", f"v{version:09d}"), json.dumps(folders))
-        self._manifests[version] = folders
+        path = f"data/v{version:09d}"
+        rows = rows.select(*self.schema.names).withColumn("bucket", id_bucket(self.bucket_width, self.key))
+        by = ["bucket"]
+        if self.closed is not None:
+            rows, by = rows.withColumn("closed", self.closed), ["bucket", "closed"]
+        rows.hint("rebalance", *by).write.partitionBy(*by).parquet(self._dir(path))
+        shape = "bucket long" if self.closed is None else "bucket long, closed boolean"
+        found = self.spark.read.schema(shape).parquet(self._dir(path)).groupBy(*by).count().collect()
+        base: dict[int, dict] = {}
+        for r in found:
+            held = base.setdefault(r["bucket"], {"folder": f"{path}/bucket={r['bucket']}", "rows": 0, "parts": []})
+            held["rows"] += r["count"]
+            held["parts"].append("" if self.closed is None else f"closed={str(r['closed']).lower()}")
+        return base
+
+    def _write_changes(self, rows: DataFrame, folder: str, level: int) -> dict:
+        """Writes change rows in few files and counts them by bucket."""
+        path = self._dir("changes", folder)
+        rows.hint("rebalance").write.parquet(path)
+        found = self.spark.read.schema("_bucket long").parquet(path).groupBy("_bucket").count().collect()
+        return {"folder": f"changes/{folder}", "level": level, "rows": {str(r[0]): r[1] for r in found}}
+
+    def _commit(self, found: Version, version: int) -> int:
+        put_text(self.spark, self._dir("versions", f"v{version:09d}"), json.dumps(asdict(found)))
+        self._manifests[version] = found
         return version
 
     def replace(self, rows: DataFrame, *names: str, batch: str | None = None) -> int:
         """Truncate-and-rebuild: a new version from scratch."""
         version = self._next_version()
-        buckets = self._write_buckets(rows, version)
-        self._commit({b: f"data/v{version:09d}/bucket={b}" for b in buckets}, version)
+        self._commit(Version(self._write_buckets(rows, version), []), version)
         targets = names or ("read", "current", "write")
         self._point({**self.names(), **{n: version for n in targets}}, "replace", batch)
         return version
@@ -210,45 +280,55 @@ class SnapshotStore:
         deletes: DataFrame | None,
         batch: str | None = None,
         names: tuple[str, ...] = ("read", "current", "write"),
-        keys: DataFrame | None = None,
+        compact: bool = False,
     ) -> int | None:
         """Upserts rows and deletes keys; deleting a missing key is fine.
 
         ``upserts`` has the table's columns, one row per key; ``deletes`` has the key column. A
-        batch that was applied before is skipped and gives None. A key in both is upserted.
-        ``keys`` may give the changed keys when that is cheaper than reading them off the rows.
+        batch that was applied before is skipped and gives None, as does one without rows. A key
+        in both is upserted. ``compact`` works all changes into their buckets at once.
         """
         if batch is not None and self.applied(batch):
             return None
-        sides = [d for d in (keys,) if d is not None] or [
-            d for d in (upserts, deletes) if d is not None
-        ]
+        sides = []
+        if upserts is not None:
+            sides.append(upserts.select(*self.schema.names, F.lit(False).alias("_deleted")))
+        if deletes is not None:
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name != self.key]
+            sides.append(deletes.select(self.key, *empty, F.lit(True).alias("_deleted")))
         if not sides:
             return None
-        changed = reduce(DataFrame.unionByName, [d.select(self.key) for d in sides])
-        touched = [
-            r.bucket
-            for r in changed.select(id_bucket(self.bucket_width, self.key).alias("bucket"))
-            .distinct()
-            .collect()
-        ]
-        if not touched:
+        version = self._next_version()
+        rows = reduce(DataFrame.unionByName, sides).withColumns(
+            {"_seq": F.lit(version).cast("long"), "_bucket": id_bucket(self.bucket_width, self.key)}
+        )
+        own = self._write_changes(rows, f"v{version:09d}", 0)
+        if not own["rows"]:
             return None
         current = self.names().get("write")
-        folders = dict(self._folders(current)) if current is not None else {}
-        old = self._load([folders[b] for b in touched if b in folders])
-        merged = old.join(changed, self.key, "left_anti").select(*self.schema.names)
-        if upserts is not None:
-            merged = merged.unionByName(upserts.select(*self.schema.names))
-        version = self._next_version()
-        written = self._write_buckets(merged, version)
-        for bucket in touched:
-            folders.pop(bucket, None)
-        folders.update({b: f"data/v{version:09d}/bucket={b}" for b in written})
-        self._commit(folders, version)
+        before = self._version(current) if current is not None else Version({}, [])
+        self._commit(self._settled(before, own, version, compact), version)
         self._point({**self.names(), **{n: version for n in names}}, "change", batch)
         return version
 
+    def _settled(self, before: Version, own: dict, version: int, compact: bool) -> Version:
+        """The version with one more change folder, after the merges and compaction that are due."""
+        changes = [*before.changes, own]
+        touched = {int(b) for c in changes for b in c["rows"]}
+        held = [before.base[b] for b in touched if b in before.base]
+        waiting = sum(n for c in changes for n in c["rows"].values())
+        if compact or waiting > SHARE * sum(h["rows"] for h in held):
+            written = self._write_buckets(self._merged(held, changes), version)
+            rest = {b: h for b, h in before.base.items() if b not in touched}
+            return Version({**rest, **written}, [])
+        level = 0
+        while len(same := [c for c in changes if c["level"] == level]) >= FAN:
+            level += 1
+            merged = self._write_changes(self._latest(same), f"v{version:09d}-{level}", level)
+            at = changes.index(same[0])
+            changes = [*changes[:at], merged, *changes[at + len(same) :]]
+        return Version(before.base, changes)
+
     # ---- clean-up -----------------------------------------------------------------------
 
     def clean_up(self, steps: int = 1) -> list[str]:
@@ -268,6 +348,7 @@ class SnapshotStore:
             live |= set(pointer.names.values())
             pointer = self._parent(pointer)
         kept = {folder for version in live for folder in self._folders(version).values()}
+        changes = {c["folder"] for version in live for c in self._version(version).changes}
         removed = []
         for version in self._children("data"):
             path = f"data/{version}"
@@ -277,6 +358,7 @@ class SnapshotStore:
             else:
                 buckets = [f"{path}/{b}" for b in self._children(path) if b.startswith("bucket=")]
                 removed += [b for b in buckets if b not in held]
+        removed += [f for f in (f"changes/{v}" for v in self._children("changes")) if f not in changes]
         live_names = {f"v{version:09d}" for version in live}
         removed += [f"versions/{v}" for v in self._children("versions") if v not in live_names]
         files, root = self._files()
@@ -286,9 +368,10 @@ class SnapshotStore:
         return sorted(removed)
 
     def folders(self) -> list[str]:
-        """All bucket folders in the store, whether a version needs them or not."""
+        """All bucket and change folders in the store, whether a version needs them or not."""
         versions = [f"data/{v}" for v in self._children("data")]
-        return [f"{v}/{b}" for v in versions for b in self._children(v) if b.startswith("bucket=")]
+        buckets = [f"{v}/{b}" for v in versions for b in self._children(v) if b.startswith("bucket=")]
+        return [*buckets, *(f"changes/{v}" for v in self._children("changes"))]
 
     def _files(self):
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

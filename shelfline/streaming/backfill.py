@@ -67,7 +67,7 @@ def backfill(
     state = log.last() or log.write(Checkpoint(run_id, None, batch_size, "RUNNING"))
     if state.status == "COMPLETED":
         return state
-    write = write or (lambda docs, keys, name: store.apply_changes(docs, None, name, keys=keys))
+    write = write or (lambda docs, keys, name: store.apply_changes(docs, None, name))
     products, options = source.products(), source.options()
     at = F.lit(now).cast("timestamp_ntz")
     windows = id_windows(products.select("id"), batch_size, state.last_id)

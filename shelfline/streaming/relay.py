@@ -40,7 +40,9 @@ def document_store(
 def outbox_store(
     spark: SparkSession, root: str, outbox: DataFrame, bucket_width: int = 1_000_000
 ) -> SnapshotStore:
-    return SnapshotStore(spark, root, outbox.schema, bucket_width=bucket_width)
+    """A store for events; finished ones lie in files of their own, which a claim never reads."""
+    finished = F.col("status").isin("DONE", "FAILED")
+    return SnapshotStore(spark, root, outbox.schema, bucket_width=bucket_width, closed=finished)
 
 
 def apply_decisions(
@@ -67,8 +69,7 @@ def apply_decisions(
         )
         decisions = decisions.join(failures, "aggregate_id", "left_anti")
     upserts, deletes = ob.relay_changes(decisions, products, options, now)
-    keys = decisions.select(F.col("aggregate_id").alias("id"))
-    store.apply_changes(upserts, deletes, batch=batch, keys=keys)
+    store.apply_changes(upserts, deletes, batch=batch)
     return failures
 
 
@@ -90,17 +91,15 @@ def relay_batch(
     that another worker holds are left alone.
     """
     token = token or ob.new_token()
-    table = outbox.read()
     claimed = ob.claim(
-        table, now, config.batch_size, config.processing_timeout_ms, config.instance_id, token,
+        outbox.read(closed=False), now, config.batch_size, config.processing_timeout_ms, config.instance_id, token,
         after_id, reclaim=not event_aware,
     )
-    outbox.apply_changes(claimed, None)
-    table = outbox.read()
-    held = table.where((F.col("status") == "PROCESSING") & (F.col("claim_token") == token))
-    n_held = held.count()
-    if n_held == 0:
+    version = outbox.apply_changes(claimed, None)
+    if version is None:
         return 0
+    held = outbox.upserted(version)
+    n_held = held.count()
     products = source.products()
     if event_aware:
         decisions = ob.last_decision(ob.decide_by_event(held, products))
@@ -113,8 +112,7 @@ def relay_batch(
         results = ob.results_for(
             held, failures if reject is not None else None, config.max_retry_count
         )
-        changes = ob.transition(table, results, now, config.retry_delay_ms)
-        outbox.apply_changes(changes, None, keys=held.select("id"))
+        outbox.apply_changes(ob.transition(held, results, now, config.retry_delay_ms), None)
     finally:
         decisions.unpersist()
     return n_held
@@ -161,11 +159,11 @@ def high_watermark(outbox: DataFrame) -> int:
 def retain(outbox: SnapshotStore, now: Column | str, keep_days: int = 7, batch: str | None = None, steps: int = 1) -> list[str]:
     """Takes DONE events of more than ``keep_days`` ago out of the store, then removes what no version needs.
 
-    Only buckets that hold such events are rewritten. A named ``batch`` that ran before purges nothing
+    Only buckets that hold such events, or changes not yet worked in, are rewritten. A named ``batch`` that ran before purges nothing
     again. Returns the removed folders.
     """
-    table = outbox.read()
-    outbox.apply_changes(None, ob.past_retention(table, now, keep_days).select("id"), batch=batch)
+    old = ob.past_retention(outbox.read(closed=True), now, keep_days).select("id")
+    outbox.apply_changes(None, old, batch=batch, compact=True)
     return outbox.clean_up(steps)
 
 
@@ -252,9 +250,8 @@ def start_relay(
             failures = apply_decisions(decisions, source, store, at, batch=own, reject=reject)
             if outbox is not None:
                 results = ob.results_for(held, failures, config.max_retry_count)
-                changes = ob.transition(outbox.read(), results, at, config.retry_delay_ms)
-                finished = f"{own}-finished"
-                outbox.apply_changes(changes, None, batch=finished, keys=held.select("id"))
+                changes = ob.transition(held, results, at, config.retry_delay_ms)
+                outbox.apply_changes(changes, None, batch=f"{own}-finished")
         finally:
             decisions.unpersist()
 
@@ -265,7 +262,7 @@ def start_relay(
             if outbox.applied(f"{part}-finished"):
                 continue
             if not outbox.applied(f"{part}-claimed"):
-                ready = ob.eligible(outbox.read(), at, config.processing_timeout_ms)
+                ready = ob.eligible(outbox.read(closed=False), at, config.processing_timeout_ms)
                 if watermark is not None:
                     ready = ready.where(F.col("id") > watermark)
                 ready = ob.lowest_ids(ready, config.batch_size)
@@ -273,7 +270,7 @@ def start_relay(
                 if outbox.apply_changes(taken, None, batch=f"{part}-claimed") is None:
                     return
             held = (F.col("status") == "PROCESSING") & (F.col("claim_token") == part)
-            decide(outbox.read().where(held), part, at)
+            decide(outbox.read(closed=False).where(held), part, at)
 
     writer = events.writeStream.foreachBatch(relay).option("checkpointLocation", checkpoint)
     writer = (

@@ -8,7 +8,7 @@ from shelfline import schemas
 from shelfline.functions.columns import iso_wall_clock
 from shelfline.operators import readmodels, validate
 from shelfline.sources import documents_json, latency_log, layout, tables
-from shelfline.sources.snapshots import SnapshotStore
+from shelfline.sources.snapshots import FAN, SnapshotStore
 
 GOOD = {
     "productId": 1, "sellerId": "2", "categoryId": 3, "brandId": 4, "status": "ACTIVE",
@@ -210,6 +210,39 @@ def test_store_ignores_data_of_a_crashed_change(spark, store):
     assert content(store.refresh().read()) == {1: "a", 2: "b"}
 
 
+def test_changes_cost_what_they_bring(spark, tmp_path):
+    """Rows written follow the batches, not the buckets; content equals that of a plain dict."""
+    schema = spark.createDataFrame([], "id long, v string").schema
+    store = SnapshotStore(spark, str(tmp_path / "store"), schema, bucket_width=1_000, closed=F.col("v") == "done")
+    store.replace(spark.range(2_000).select("id", F.lit("old").alias("v")))
+    want, brought = dict.fromkeys(range(2_000), "old"), 0
+    for n in range(FAN + 2):
+        up = {n: "done", 1_000 + n: f"n{n}", 7: f"again{n}"} if n % 2 else {n: "done", 5_000: f"b{n}"}
+        gone = [1_500 + n, 5_000] if n == 3 else [1_500 + n]
+        keys = spark.createDataFrame([(i,) for i in gone], "id long")
+        store.apply_changes(spark.createDataFrame(list(up.items()), "id long, v string"), keys)
+        want = {k: v for k, v in {**want, **up}.items() if k not in gone or k in up}
+        brought += len(up) + len(gone)
+        assert content(store.read()) == want
+    assert content(store.refresh().read(closed=True)) == {k: v for k, v in want.items() if v == "done"}
+    assert content(store.read(closed=False)) == {k: v for k, v in want.items() if v != "done"}
+    version = store._version(store.names()["read"])
+    assert {h["folder"].split("/")[1] for h in version.base.values()} == {"v000000001"}
+    assert [c["level"] for c in version.changes] == [1, 0, 0]
+    written = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "store" / "changes")).count()
+    assert brought < written <= 2 * brought
+    files = store.read(closed=False).inputFiles()
+    assert not any("closed=true" in f for f in files)
+    store.apply_changes(spark.range(400).select("id", F.lit("many").alias("v")), None)
+    want.update(dict.fromkeys(range(400), "many"))
+    assert content(store.read()) == want and len(store._version(store.names()["read"]).changes) == 4
+    store.apply_changes(spark.range(400, 700).select("id", F.lit("more").alias("v")), None)
+    want.update(dict.fromkeys(range(400, 700), "more"))
+    assert content(store.read()) == want and not store._version(store.names()["read"]).changes
+    store.clean_up(0)
+    assert content(store.refresh().read()) == want and not any(f.startswith("changes") for f in store.folders())
+
+
 def test_emptied_bucket_disappears(spark, store):
     store.replace(rows(spark, k1="a", k11="b"))
     store.apply_changes(None, rows(spark, k11="").select("id"))
