@@ -1,10 +1,12 @@
 """Exact quantiles whose state stays small on any data size.
 
 The built-in exact percentile keeps every different value of a group in one task. Here a histogram
-over value buckets finds the bucket of each wanted rank first, and a second one cuts each of these
-buckets into equal slices between its least and greatest value; only the values of the slices that
-hold a wanted rank are counted and ranked. Both histograms run when the function is called, so that
-their few targets can be broadcast; the rest stays lazy.
+over value buckets finds the bucket of each wanted rank first. While one of these holds more than
+``KEEP`` rows of different values, another histogram cuts each of them into equal slices between
+its least and greatest value; only the values of the slices that hold a wanted rank are counted and
+ranked. A bucket spans at most 2^44 doubles and each level leaves one slice in 16 384 of the span,
+so ``LEVELS`` levels lead to single values wherever these lie. The histograms run when the function
+is called, so that their few targets can be broadcast; the rest stays lazy.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from shelfline.functions.small import checked
 BUCKETS_PER_OCTAVE = 256
 #: Equal slices of a bucket that holds a wanted rank.
 SLICES = 16_384
+#: Rows of different values that may be ranked in one window.
+KEEP = 100_000
+#: Levels of slices, at most.
+LEVELS = 5
 
 
 def _bucket(value: Column) -> Column:
@@ -47,10 +53,11 @@ def _counts(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     )
 
 
-def _reached(rows: DataFrame, hist: DataFrame, keys: list[str]) -> DataFrame:
+def _reached(rows: DataFrame, hist: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """The rows of the buckets that hold a target, with targets ranked within the bucket.
 
-    ``hist`` has the buckets with their targets and, in ``upto``, the rows up to each bucket.
+    ``hist`` has the buckets with their targets and, in ``upto``, the rows up to each bucket. The
+    number is that of the rows in the largest such bucket with more than one value.
     """
     before = F.col("upto") - F.col("c")
     here = F.filter("targets", lambda t: (t["rank"] < F.col("upto")) & (t["rank"] >= before))
@@ -62,12 +69,13 @@ def _reached(rows: DataFrame, hist: DataFrame, keys: list[str]) -> DataFrame:
     )
     targets = hist.withColumn("targets", within).where(F.size("targets") > 0)
     targets = targets.select(
-        *[F.col(k).alias(f"t_{k}") for k in keys], "low", "top", "n", "max", "targets"
+        *[F.col(k).alias(f"t_{k}") for k in keys], "low", "top", "n", "max", "targets", "c"
     )
+    targets = checked(targets)
+    most = targets.agg(F.max(F.when(F.col("top") > F.col("low"), F.col("c"))).alias("c")).first().c
     same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
-    return rows.join(checked(targets), same, "inner").select(
-        *keys, "v", "low", "top", "n", "max", "targets"
-    )
+    found = rows.join(targets, same, "inner").select(*keys, "v", "low", "top", "n", "max", "targets")
+    return found, most or 0
 
 
 def exact_quantiles(
@@ -98,16 +106,20 @@ def exact_quantiles(
         *[w for name, p in probs.items() for w in _wanted(name, p, F.col("n"), discrete)]
     )
     keys = [*by, "bucket"]
-    inside = _reached(rows, hist.withColumn("targets", wanted), keys)
+    inside, most = _reached(rows, hist.withColumn("targets", wanted), keys)
     share = F.try_divide(F.col("v") - F.col("low"), F.col("top") - F.col("low"))
     place = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
-    inside = inside.withColumn("slice", F.when(F.col("top") > F.col("low"), place).otherwise(0))
     carried = [F.any_value(c).alias(c) for c in ("n", "max", "targets")]
-    hist = _counts(inside, [*keys, "slice"], *carried).withColumn(
-        "upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("slice"))
-    )
-    keys = [*keys, "slice"]
-    inside = _reached(inside.select(*keys, "v"), hist, keys)
+    for level in range(LEVELS):
+        if most <= KEEP:
+            break
+        part = f"slice_{level}"
+        inside = inside.withColumn(part, F.when(F.col("top") > F.col("low"), place).otherwise(0))
+        hist = _counts(inside, [*keys, part], *carried).withColumn(
+            "upto", F.sum("c").over(Window.partitionBy(*keys).orderBy(part))
+        )
+        keys = [*keys, part]
+        inside, most = _reached(inside.select(*keys, "v"), hist, keys)
     counted = (
         inside.groupBy(*keys, "v")
         .agg(

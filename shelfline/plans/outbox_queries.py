@@ -895,6 +895,42 @@ add(
 )
 
 
+def _stream_lag(spark, sf):
+    """Lag quantiles kept by the stream, held against the ranks they have in the whole table."""
+    raw = relay.outbox_stream(spark, sf, star.table(spark, sf, "events").schema, glob="events.parquet")
+    relay.lag_stream(
+        star.outbox_from_events(raw), "outbox_lag", shared_dir(spark, "lag"), {"p50": 0.5, "p95": 0.95}
+    ).awaitTermination()
+    kept = spark.table("outbox_lag").withColumnRenamed("status", "of")
+    lag = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("processed_at")) / 1000.0
+    rows = star.outbox(spark, sf).select("status", lag.alias("lag")).join(F.broadcast(kept), F.col("status") == F.col("of"))
+
+    def near(p, name):
+        # The rank of the kept value lies within the stated error; equal values share a span of ranks.
+        below, upto = F.count_if(F.col("lag") < F.col(name)), F.count_if(F.col("lag") <= F.col(name))
+        n, slack = F.max("lag_count"), relay.RANK_ERROR
+        fits = (below - 1 <= (p + slack) * n) & (upto + 1 >= (p - slack) * n)
+        return F.when(n > 0, fits).alias(f"{name}_near")
+
+    return rows.groupBy("status").agg(
+        F.max("event_count").alias("event_count"), F.max("lag_count").alias("lag_count"),
+        F.max("lag_max_ms").alias("lag_max_ms"), near(0.5, "p50"), near(0.95, "p95"),
+    )
+
+
+add(
+    "stream_lag_quantiles",
+    _stream_lag,
+    _outbox(
+        f"""SELECT status, count(*) AS event_count, count(processed_at) AS lag_count,
+                   max(CAST({_ms('created_at', 'processed_at')} AS DOUBLE)) AS lag_max_ms,
+                   CASE WHEN count(processed_at) > 0 THEN TRUE END AS p50_near,
+                   CASE WHEN count(processed_at) > 0 THEN TRUE END AS p95_near
+            FROM outbox GROUP BY status"""
+    ),
+)
+
+
 def _backfill(spark, sf):
     """A backfill that is interrupted after one batch and resumed."""
     products, _ = tables(spark, sf)

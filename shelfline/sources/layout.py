@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,18 +65,39 @@ def write_chunked(df: DataFrame, path: str, files: int | None = None) -> None:
     write_layout(df, Layout(("id",)), path, files)
 
 
+#: log2 of the chunks in a range, whose running rows are one window.
+RANGE_BITS = 16
+
+
+def running_total(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` in the order of the whole-number ``key``, one row per key.
+
+    Rows are summed within ranges of 2^RANGE_BITS keys, each a window of its own, and the totals of
+    the ranges before are joined to them; only the totals, one row per range, meet in one window.
+    """
+    # A null key comes first, as it does in the sort order.
+    span = F.coalesce(F.shiftright(F.col(key).cast("long"), RANGE_BITS), F.lit(-(1 << 50)))
+    totals = rows.groupBy(span.alias("of_span")).agg(F.sum(value).alias("total"))
+    # Zero for every range, but no constant: the rows are hashed, not gathered.
+    all_ranges = Window.partitionBy(F.shiftright(F.abs("of_span"), 62)).orderBy("of_span")
+    earlier = totals.select(
+        "of_span", (F.sum("total").over(all_ranges) - F.col("total")).alias("earlier")
+    )
+    within = F.sum(value).over(Window.partitionBy("span").orderBy(key))
+    found = rows.withColumn("span", span).withColumn("within", within)
+    found = found.join(earlier, F.col("span") == F.col("of_span"))
+    return found.select(*rows.columns, (F.col("within") + F.col("earlier")).alias(name))
+
+
 def chunk_progress(df: DataFrame, chunk: int, target: int, key: Column | str = "id") -> DataFrame:
     """Per id chunk: rows, running rows and percent of the target.
 
-    The running total is taken over one row per chunk.
+    The running total is taken over one row per chunk, range by range.
     """
-    from pyspark.sql import Window
-
     key = F.col(key) if isinstance(key, str) else key
     per_chunk = df.groupBy(F.ceil(key / chunk).alias("chunk_no")).agg(
         F.count(F.lit(1)).alias("rows_inserted")
     )
-    running = F.sum("rows_inserted").over(Window.orderBy("chunk_no"))
-    return per_chunk.withColumn("inserted_so_far", running).withColumn(
+    return running_total(per_chunk, "chunk_no", "rows_inserted", "inserted_so_far").withColumn(
         "percent", F.round(F.col("inserted_so_far") * 100.0 / F.lit(float(target)), 2)
     )

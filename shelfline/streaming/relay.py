@@ -279,6 +279,40 @@ def start_relay(
     return writer.start()
 
 
+#: k of the running lag sketch, and the share of the rows by which its ranks may be off (99 % of the time).
+SKETCH_K, RANK_ERROR = 4_096, 0.002
+
+
+def _running(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    writer = rows.writeStream.outputMode("complete").format("memory").queryName(table)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def lag_stream(events: DataFrame, table: str, checkpoint: str, probs: dict[str, float]) -> StreamingQuery:
+    """Running events, longest lag and lag quantiles per status, in a memory table.
+
+    The state of a status is one mergeable quantile sketch of some ten thousand numbers, however
+    many events it has seen: a quantile's rank is right to within ``RANK_ERROR`` of the rows, the
+    longest lag is exact. Events that are not processed have no lag and count as events only.
+    """
+    lag = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("processed_at")) / 1000.0
+    running = events.groupBy("status").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.count(lag).alias("lag_count"),
+        F.max(lag).alias("lag_max_ms"),
+        F.kll_sketch_agg_double(lag, SKETCH_K).alias("sketch"),
+    )
+
+    def at(p):
+        found = F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))
+        return F.when(F.col("lag_count") > 0, found)
+
+    found = running.select(
+        "status", "event_count", "lag_count", "lag_max_ms", *[at(p).alias(n) for n, p in probs.items()]
+    )
+    return _running(found, table, checkpoint)
+
+
 def status_stream(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Running events and longest lag per status and magnitude of the lag, in a memory table.
 
@@ -291,11 +325,4 @@ def status_stream(events: DataFrame, table: str, checkpoint: str) -> StreamingQu
     running = events.groupBy("status", bits.alias("lag_bits")).agg(
         F.count(F.lit(1)).alias("event_count"), F.max(lag).alias("lag_max_ms")
     )
-    return (
-        running.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(table)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _running(running, table, checkpoint)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shelfline.functions import quantiles
 from shelfline.functions.quantiles import exact_quantiles
 from shelfline.operators import lag, readmodels, search
 from shelfline.operators import outbox as ob
@@ -185,10 +186,41 @@ def test_exact_quantiles_per_group_and_with_nulls(spark):
 
 def test_quantiles_of_close_values_rank_few_of_them(spark):
     """200 000 values in one bucket: no window sees more than a slice of them."""
-    from shelfline.functions import quantiles
-
     rows = spark.range(200_000).select((F.col("id") + 1_700_000_000_000).alias("v"))
     found = quantiles.exact_quantiles(rows, "v", {"p50": 0.5, "p99": 0.99})
     assert found.first().p50 == 1_700_000_000_000 + 99_999.5
     bucket = rows.select(quantiles._bucket(F.col("v")).alias("b")).distinct().count()
     assert bucket == 1
+
+
+def test_quantiles_with_one_far_value_rank_few_values(spark, monkeypatch):
+    """One far value stretches the slices; further levels cut the crowded one again."""
+    monkeypatch.setattr(quantiles, "KEEP", 1_000)
+    first = 1_701_000_000_000
+    rows = spark.range(200_000).select((F.col("id") + first).cast("double").alias("v"))
+    rows = rows.unionAll(spark.createDataFrame([(first + 3.8e9,)], "v double"))
+    seen, reached = [], quantiles._reached
+
+    def watched(*args):
+        found = reached(*args)
+        seen.append(found[1])
+        return found
+
+    monkeypatch.setattr(quantiles, "_reached", watched)
+    got = quantiles.exact_quantiles(rows, "v", {"p50": 0.5, "p99": 0.99}).first()
+    assert (got.p50, got.p99, got.n) == (first + 100_000, first + 198_000, 200_001)
+    assert seen[0] > 100_000 and seen[-1] <= 1_000 and len(seen) <= quantiles.LEVELS + 1
+
+
+def test_running_total_of_many_ranges_moves_no_row_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE_BITS", 3)
+    keys = [*range(-20, 40), 1 << 40]
+    rows = spark.createDataFrame([(k, abs(k) + 1) for k in keys], "k long, n long")
+    found = layout.running_total(rows, "k", "n", "so_far")
+    want, total = {}, 0
+    for k in keys:
+        total += abs(k) + 1
+        want[k] = total
+    assert {r.k: r.so_far for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
