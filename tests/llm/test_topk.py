@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from checking import compare, connect
@@ -20,19 +21,32 @@ def small_shards(monkeypatch):
 
 
 def plain(rows, k, step):
-    kept = {}
+    kept = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(64 * x) for x in v]
-            kept[i] = max(kept.get(i, whole), whole)
+            kept.append((i, [math.floor(64 * x) for x in v]))
     found = []
-    for q, a in kept.items():
+    for row, (q, a) in enumerate(kept):
         if q % step == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept.items() if i != q)
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for other, (i, b) in enumerate(kept) if other != row)
             found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(found)
 
 
+def test_rows_of_one_id_are_rows(spark, monkeypatch, tmp_path):
+    """Code and check SQL agree on repeated ids, with one shard and with many."""
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (3, [0.25, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])]
+    rows += [(i % 50, [i % 7 / 4, i % 5 / 4]) for i in range(200)]
+    for part, name in ((rows[:4], "few"), (rows, "many")):
+        vectors = spark.createDataFrame(part, "vec_id long, embedding array<float>")
+        assert sorted(tuple(r) for r in topk.top_k(spark, vectors).collect()) == plain(part, 20, 20)
+        vectors.coalesce(1).write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/{name}/embeddings.parquet/*.parquet')")
+        assert compare(spark, con, topk.query, topk.CHECK, str(tmp_path / name)) is None
+        small_shards(monkeypatch)
+
+
 @pytest.mark.parametrize("sharded", [False, True])
 def test_ties_and_copies(spark, monkeypatch, sharded):
     if sharded:
