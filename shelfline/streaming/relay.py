@@ -267,10 +267,14 @@ def start_relay(
                     ready = ready.where(F.col("id") > watermark)
                 ready = ob.lowest_ids(ready, config.batch_size)
                 taken = ob.held_by(ready, at, config.instance_id, part).select(*outbox.schema.names)
-                if outbox.apply_changes(taken, None, batch=f"{part}-claimed") is None:
+                version = outbox.apply_changes(taken, None, batch=f"{part}-claimed")
+                if version is None:
                     return
-            held = (F.col("status") == "PROCESSING") & (F.col("claim_token") == part)
-            decide(outbox.read(closed=False).where(held), part, at)
+                held = outbox.upserted(version)
+            else:
+                ours = (F.col("status") == "PROCESSING") & (F.col("claim_token") == part)
+                held = outbox.read(closed=False).where(ours)
+            decide(held, part, at)
 
     writer = events.writeStream.foreachBatch(relay).option("checkpointLocation", checkpoint)
     writer = (

@@ -331,7 +331,8 @@ def test_retention_removes_events_and_unreachable_folders(spark, tmp_path):
     store.apply_changes(out.where("id = 1"), None, batch="b")
     assert len(store.folders()) == 5  # three buckets, one of them twice, and the change
     kept = relay.retain(store, NOW, steps=5)
-    assert kept == [] and sorted(ids(store.read())) == [2, 2_001]
+    # Only change folders that are worked into their buckets go.
+    assert all(f.startswith("changes/") for f in kept) and sorted(ids(store.read())) == [2, 2_001]
     store.rollback()
     assert sorted(ids(store.read())) == [1, 2, 1_001, 2_001]
     removed = relay.retain(store, NOW, steps=0)
