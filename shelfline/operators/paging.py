@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.spec import RESULT_WINDOW, SearchSpec
+from shelfline.sources.layout import running_total
+from shelfline.sources.snapshots import id_bucket
 
 #: Up to this many leading rows a page is one top-k, of which every task contributes as many
 #: rows; beyond it rank selection takes over and leaves at most ``DEEP_SKIP`` rows to skip. Both
@@ -153,31 +155,28 @@ def narrow(rows: DataFrame, value: Column, rank: int, ascending: bool, enough: i
             return (lo, hi), before
 
 
-def id_windows(ids: DataFrame, batch_size: int, after: int | None = None) -> list[tuple]:
-    """Consecutive id ranges (lo, hi, rows) with at most ``batch_size`` rows each, in order.
+def id_windows(ids: DataFrame, batch_size: int, after: int | None = None) -> DataFrame:
+    """(batch, lo, hi, rows): consecutive id ranges of at most ``batch_size`` ids above ``after``.
 
-    Planned from slice counts, so no ids travel to the driver; a slice with too many rows is
-    counted again in finer slices.
+    Ids are counted by fixed id ranges, an eighth of a batch wide; the running total of these counts
+    says which batch a range belongs to, so the plan takes the same few shuffles whatever the number
+    of ids and none of it passes through the driver. Totals include the ids up to ``after``: a plan
+    that starts later cuts what is left at the same places. Ids are unique and not null.
     """
-    rid = F.col("id")
-    rest = ids if after is None else ids.where(rid > after)
-    bounds = rest.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if bounds.lo is None:
-        return []
-
-    def pieces(lo: int, hi: int):
-        width, counts = slice_counts(rest, rid, lo, hi)
-        for number, count in counts:
-            start, end = lo + number * width, min(hi, lo + (number + 1) * width - 1)
-            if count > batch_size and start < end:
-                yield from pieces(start, end)
-            else:
-                yield start, end, count
-
-    windows: list[tuple] = []
-    for start, end, count in pieces(bounds.lo, bounds.hi):
-        if windows and windows[-1][2] + count <= batch_size:
-            windows[-1] = (windows[-1][0], end, windows[-1][2] + count)
-        else:
-            windows.append((start, end, count))
-    return windows
+    width = max(1, batch_size // 8)
+    left = F.lit(True) if after is None else F.col("id") > after
+    counts = ids.where("id IS NOT NULL").groupBy(id_bucket(width).alias("range")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(left).alias("rows"),
+        F.min(F.when(left, F.col("id"))).alias("lo"),
+        F.max(F.when(left, F.col("id"))).alias("hi"),
+    )
+    # The last range of a batch begins below the batch's end and holds at most ``width`` ids.
+    room = batch_size - width + 1
+    batch = F.call_function("div", F.col("until") - F.col("n"), F.lit(room))
+    return (
+        running_total(counts, "range", "n", "until")
+        .where("rows > 0")
+        .groupBy(batch.alias("batch"))
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
+    )

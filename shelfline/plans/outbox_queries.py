@@ -984,12 +984,11 @@ def _windows(spark, sf):
     from shelfline.operators.paging import id_windows
 
     ids = star.products(spark, sf).select("id")
-    planned = spark.createDataFrame(id_windows(ids, 1_000), "lo long, hi long, n long")
-    return planned.agg(
-        F.sum("n").alias("covered_rows"),
+    return id_windows(ids, 1_000).agg(
+        F.sum("rows").alias("covered_rows"),
         F.min("lo").alias("lowest_id"),
         F.max("hi").alias("highest_id"),
-        F.count_if(F.col("n") > 1_000).alias("oversized"),
+        F.count_if(F.col("rows") > 1_000).alias("oversized"),
     )
 
 

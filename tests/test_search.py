@@ -145,18 +145,20 @@ def test_deep_page_inside_one_shared_key(spark, monkeypatch):
         assert ids(paging.deep_page(rows, spec)) == expected
 
 
-def test_id_windows_cover_everything_within_the_batch_size(spark, monkeypatch):
-    monkeypatch.setattr(paging, "SLICES", 8)
+def test_id_windows_cover_everything_within_the_batch_size(spark):
     keys = sorted({*range(-50, 30), *range(10_000, 10_400, 3), 5_000_000})
     df = spark.createDataFrame([(k,) for k in keys], "id long")
     for size, after in itertools.product((1, 7, 64), (None, -20, 10_050)):
-        windows = paging.id_windows(df, size, after)
+        plan = paging.id_windows(df, size, after).orderBy("batch").collect()
+        windows = [(r.lo, r.hi, r.rows) for r in plan]
         rest = [k for k in keys if after is None or k > after]
         covered = [[k for k in rest if lo <= k <= hi] for lo, hi, _ in windows]
         assert sum(covered, []) == rest
         assert [len(c) for c in covered] == [n for _, _, n in windows]
         assert all(n <= size for _, _, n in windows)
-    assert paging.id_windows(df, 5, 9_999_999) == []
+        whole = {r.hi for r in paging.id_windows(df, size).collect()}
+        assert {hi for _, hi, _ in windows} <= whole  # a later start cuts at the same places
+    assert paging.id_windows(df, 5, 9_999_999).count() == 0
 
 
 def test_result_window_guard(model):

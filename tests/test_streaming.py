@@ -360,3 +360,32 @@ def test_backfill_batch_that_grew_after_a_crash_is_applied(spark, tmp_path):
     grown = relay.Source(lambda: more, lambda: o)
     done = bf.backfill(spark, grown, store, str(tmp_path / "cp"), "r", 10, NOW)
     assert done.status == "COMPLETED" and store.read().count() == more.count()
+
+
+def test_backfill_commits_groups_of_batches(spark, tmp_path):
+    """Jobs and driver rows of a backfill follow its commits, not its products."""
+    rows = 2_000
+    p = fx.products(spark, [(i * 3, "ACTIVE", 1, 1, fx.T0) for i in range(rows)])
+    p.write.parquet(str(tmp_path / "p"))
+    source = relay.Source(
+        lambda: spark.read.parquet(str(tmp_path / "p")), lambda: fx.options(spark, [])
+    )
+    jobs = []
+    for size in (1_000, 10):
+        store = relay.document_store(spark, str(tmp_path / f"docs{size}"), p, 1_000_000)
+        written = []
+
+        def write(docs, keys, name):
+            written.append(name)
+            store.apply_changes(docs, None, name)
+
+        spark.sparkContext.setJobGroup(f"backfill-{size}", "")
+        bf.backfill(spark, source, store, str(tmp_path / f"cp{size}"), "r", size, NOW, max_batches=1,
+                    write=write, commits=3)
+        done = bf.backfill(spark, source, store, str(tmp_path / f"cp{size}"), "r", size, NOW,
+                           write=write, commits=3)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"backfill-{size}")))
+        assert (done.status, done.processed) == ("COMPLETED", rows) and len(written) <= 4
+        assert store.read().count() == rows and done.batches >= rows // size
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= 2 * jobs[0]
