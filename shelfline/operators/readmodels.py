@@ -50,6 +50,100 @@ def signature_table(
     )
 
 
+def option_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(product_id, triple, change): by how many rows each triple of a product grew or shrank.
+
+    Either side may be a whole snapshot or only the option rows that went and came.
+    """
+    sides = [s.select("product_id", *TRIPLE, F.lit(w).alias("w")) for s, w in ((old, -1), (new, 1))]
+    counts = sides[0].unionAll(sides[1]).groupBy("product_id", *TRIPLE)
+    return counts.agg(F.sum("w").alias("change")).where("change <> 0")
+
+
+def counted_signature_table(
+    products: DataFrame, options: DataFrame, refreshed_at: Column
+) -> DataFrame:
+    """The signature table with ``copies``: the option rows behind each signature, in its order.
+
+    With the counts kept, ``fold_options`` can follow changes without reading the options again.
+    """
+    none = options.limit(0)
+    upserts, _ = fold_options(
+        _no_signatures(products), products, option_deltas(none, options), refreshed_at
+    )
+    return upserts
+
+
+def _no_signatures(products: DataFrame) -> DataFrame:
+    return products.limit(0).select(
+        F.col("id").alias("product_id"),
+        F.array().cast("array<string>").alias("option_signatures"),
+        F.array().cast("array<bigint>").alias("copies"),
+    )
+
+
+def fold_options(
+    table: DataFrame, products: DataFrame, deltas: DataFrame, refreshed_at: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(upserts, deletes) that bring a counted signature table up to date with option changes.
+
+    Only products with a change are touched: their stored counts and the changes are summed, a
+    signature leaves when its last row does, and a product when its last signature does or it is
+    gone from ``products``. A change that takes away more rows than there are fails: the table is
+    then not the state the changes follow. Changes of unknown products are left out; a product that
+    comes anew brings all of its options as changes. A product has at most 144 signatures, and changes are
+    summed map-side, so a hot product moves no more than that from each task.
+    """
+    complete = deltas.where(" AND ".join(f"{c} IS NOT NULL" for c in TRIPLE))
+    changes = complete.groupBy(
+        "product_id", option_signature(*TRIPLE).alias("signature")
+    ).agg(F.sum("change").alias("n"))
+    touched = changes.select("product_id").distinct()
+    pair = F.arrays_zip(F.col("option_signatures").alias("signature"), F.col("copies").alias("n"))
+    stored = table.join(touched, "product_id", "left_semi").select("product_id", F.inline(pair))
+    summed = stored.unionByName(changes).groupBy("product_id", "signature").agg(F.sum("n").alias("n"))
+    held = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("signature", "n"))))
+    kept = summed.groupBy("product_id").agg(held.alias("held"), F.min("n").alias("least")).join(
+        products.withColumnRenamed("id", "product_id"), "product_id", "left"
+    )
+    # ``seller_id`` has a value in every product.
+    short = F.col("least") < 0
+    stays = F.col("seller_id").isNotNull() & ((F.size("held") > 0) | short)
+    wrong = F.concat(F.lit("more options removed than stored: product "), F.col("product_id"))
+    checked = F.when(short, F.raise_error(wrong)).otherwise(F.col("held"))
+    upserts = kept.where(stays).select(
+        "product_id",
+        "seller_id",
+        "category_id",
+        "brand_id",
+        "status",
+        "price",
+        "rating",
+        "created_at",
+        "updated_at",
+        "review_count",
+        F.transform(checked, lambda h: h["signature"]).alias("option_signatures"),
+        F.col("updated_at").alias("source_updated_at"),
+        refreshed_at.alias("document_refreshed_at"),
+        F.transform("held", lambda h: h["n"]).alias("copies"),
+    )
+    return upserts, kept.where(~stays).select("product_id")
+
+
+def refresh_signatures(
+    store, products: DataFrame, deltas: DataFrame, refreshed_at: Column, batch: str
+) -> int | None:
+    """Folds option changes into a stored counted table; a batch that was applied is skipped.
+
+    The store is keyed by ``product_id``. Counts and signatures are one row, so one commit brings
+    both and a crash leaves neither.
+    """
+    if store.applied(batch):
+        return None
+    upserts, deletes = fold_options(store.read(), products, deltas, refreshed_at)
+    return store.apply_changes(upserts, deletes, batch)
+
+
 def compact_options(options: DataFrame) -> DataFrame:
     """Options with equal triples of a product counted: (id of the first, triple, copies).
 

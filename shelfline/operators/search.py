@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline import schemas
 from shelfline.operators import paging
-from shelfline.operators.spec import RESULT_WINDOW, SearchSpec
+from shelfline.operators.spec import RESULT_WINDOW, SORTS, SearchSpec
 
 
 def _all(predicates: list[Column]) -> Column:
@@ -133,6 +134,53 @@ def search_documents(
     return paging.page(matches_documents(docs, spec, flattened), spec)
 
 
+def write_postings(table: DataFrame, path: str, sort: str = "createdAtDesc") -> None:
+    """Posting lists of a signature table: per signature its products, sorted by a sort key.
+
+    A list is a partition, at most 144 in all. A long list is split over several files by ranges of
+    its sort key, so one that a third of all products are in is no single task's work, and the
+    top of a list lies in few files.
+    """
+    key, ascending = SORTS[sort]
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (key, "id")]
+    rows = table.withColumnRenamed("product_id", "id").select(
+        *schemas.API_COLUMNS, F.explode(F.array_distinct("option_signatures")).alias("signature")
+    )
+    ranged = rows.repartitionByRange(F.col("signature"), *order)
+    ranged.sortWithinPartitions("signature", *order).write.partitionBy("signature").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, products: T.StructType = schemas.PRODUCTS) -> DataFrame:
+    """Posting lists with the column types of ``products``; nothing is inferred from the files."""
+    shape = [products[name] for name in schemas.API_COLUMNS]
+    return spark.read.schema(T.StructType([*shape, T.StructField("signature", T.StringType())])).parquet(path)
+
+
+def search_postings(postings: DataFrame, spec: SearchSpec) -> DataFrame:
+    """A page from the posting lists that the option filters choose.
+
+    With all three parts known that is one list and an ordinary page of it. Otherwise the page is a
+    merge: each list gives its first ``offset + limit`` rows, which hold the first rows of all lists
+    together, and a product in several of them counts once. Pages beyond the result window merge
+    whole lists, a product once.
+    """
+    wanted = spec.validate().option_filters
+    parts = ["color", "size", "stock_status"]
+    split = {p: F.split_part("signature", F.lit("|"), F.lit(i + 1)) for i, p in enumerate(parts)}
+    if len(wanted) == len(parts):
+        chosen = [F.col("signature") == "|".join(wanted[p] for p in parts)]
+    else:
+        chosen = [split[name] == value for name, value in wanted.items()]
+    rows = filtered(postings, [*chosen, *spec.product_predicates()])
+    if len(wanted) == len(parts):
+        return paging.page(rows.select(*schemas.API_COLUMNS), spec)
+    last = spec.offset + spec.limit
+    if last <= paging.TOP_K_LIMIT:
+        top = F.row_number().over(Window.partitionBy("signature").orderBy(*spec.order()))
+        rows = rows.withColumn("_rank", top).where(F.col("_rank") <= last)
+    return paging.page(rows.select(*schemas.API_COLUMNS).distinct(), spec)
+
+
 def search_keyset(
     products: DataFrame, options: DataFrame | None, spec: SearchSpec, cursor: tuple | None
 ) -> DataFrame:
@@ -155,4 +203,6 @@ def search(path: str, spec: SearchSpec, **tables: DataFrame) -> DataFrame:
         return search_signatures(tables["signatures"], spec)
     if path == "join_distinct":
         return search_join_distinct(tables["products"], tables["options"], spec)
+    if path == "postings":
+        return search_postings(tables["postings"], spec)
     raise ValueError(f"unknown read path: {path}")

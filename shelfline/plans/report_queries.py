@@ -34,6 +34,7 @@ from shelfline.plans.search_queries import (
 from shelfline.session import shared_dir
 from shelfline.sources import documents_json, generator, layout
 from shelfline.sources import star_schema as star
+from shelfline.sources.snapshots import SnapshotStore
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -78,6 +79,48 @@ add(
 )
 
 
+def _incremental_signatures(spark, sf):
+    """A stored table of older options brought up to date by two batches of option changes.
+
+    Before, no option was out of stock and every seventh row belonged to the product before or to
+    one that does not exist; a replay of the second batch changes nothing.
+    """
+    products, new = star.products(spark, sf), star.option_rows(spark, sf)
+    owner = F.when(F.col("id.l_linenumber") == 7, F.col("product_id") - 1)
+    moved = new.withColumn("product_id", F.coalesce(owner, "product_id"))
+    old = restocked(moved)
+    full = readmodels.counted_signature_table(products, old, refreshed_at())
+    store = SnapshotStore(spark, shared_dir(spark, "signatures"), full.schema, "product_id", 4_000)
+    store.replace(full)
+    deltas = [readmodels.option_deltas(a, b) for a, b in ((old, moved), (moved, new))]
+    for name, number in (("stock", 0), ("owner", 1), ("owner", 1)):
+        readmodels.refresh_signatures(store, products, deltas[number], refreshed_at(), name)
+    return store.read().select(
+        "product_id",
+        "seller_id",
+        "source_updated_at",
+        F.array_join("option_signatures", ",").alias("signatures"),
+        F.array_join("copies", ",").alias("copies_text"),
+    )
+
+
+add(
+    "signature_table_incremental",
+    _incremental_signatures,
+    q.with_relations(
+        """SELECT p.id AS product_id, seller_id, updated_at AS source_updated_at,
+                  string_agg(signature, ',' ORDER BY signature) AS signatures,
+                  string_agg(n, ',' ORDER BY signature) AS copies_text
+           FROM products p JOIN (
+             SELECT product_id, color || '|' || size || '|' || stock_status AS signature, count(*) AS n
+             FROM options GROUP BY ALL) s ON s.product_id = p.id
+           GROUP BY ALL""",
+        "products",
+        "options",
+    ),
+)
+
+
 def _options_text(options: str = "options"):
     entry = F.transform(
         options,

@@ -18,6 +18,7 @@ from shelfline.operators.scenarios import selectivity
 from shelfline.operators.spec import SearchSpec
 from shelfline.plans import check_sql as q
 from shelfline.plans.registry import add
+from shelfline.session import shared_dir
 from shelfline.sources import layout
 from shelfline.sources import star_schema as star
 
@@ -75,6 +76,13 @@ def documents(spark, sf):
     return readmodels.documents(*tables(spark, sf), refreshed_at())
 
 
+def postings(spark, sf, sort):
+    """Posting lists of the signature table, written anew."""
+    path = shared_dir(spark, "postings")
+    search.write_postings(signature_table(spark, sf), path, sort)
+    return search.read_postings(spark, path, star.products(spark, sf).schema)
+
+
 PATHS = {
     "join_distinct": lambda s, sf, spec: search.search_join_distinct(*tables(s, sf), spec),
     "exists": lambda s, sf, spec: search.search_exists(*tables(s, sf), spec),
@@ -108,6 +116,11 @@ def _add_path(name: str, path: str, spec: SearchSpec) -> None:
 for _name, _spec in BENCHMARK_SET.items():
     for _path in PATHS:
         _add_path(f"{_name}_{_path}", _path, _spec)
+PATHS["postings"] = lambda s, sf, spec: search.search_postings(postings(s, sf, spec.sort), spec)
+PATH_SQL["postings"] = PATH_SQL["signatures"]
+for _name, _spec in BENCHMARK_SET.items():
+    _add_path(f"{_name}_postings", "postings", _spec)
+_add_path("postings_no_option", "postings", SearchSpec(status="ACTIVE", sort="priceAsc", offset=200))
 for _name, _spec in JOIN_SET.items():
     _add_path(f"{_name}_join_distinct", "join_distinct", _spec)
     _add_path(f"{_name}_exists", "exists", _spec)
@@ -397,8 +410,6 @@ _LAYOUT_SPECS = {
 
 def _from_layout(spark, sf, name, spec):
     """The query on a copy of the products written in the layout."""
-    from shelfline.session import shared_dir
-
     path = shared_dir(spark, f"layout-{name}")
     layout.write_layout(star.products(spark, sf), layout.LAYOUTS[name], path)
     rows = search.filtered(spark.read.parquet(path), spec.product_predicates())
@@ -416,8 +427,6 @@ for _name, _spec in _LAYOUT_SPECS.items():
 
 
 def _options_from_layout(spark, sf, name):
-    from shelfline.session import shared_dir
-
     path = shared_dir(spark, f"layout-{name}")
     layout.write_layout(star.options(spark, sf), layout.LAYOUTS[name], path)
     page = search.search_exists(star.products(spark, sf), spark.read.parquet(path), B2)

@@ -228,3 +228,41 @@ def test_deep_page_of_keys_that_are_all_null(spark, monkeypatch):
     rows = spark.range(3_000).select("id", F.lit(None).cast("int").alias("price"))
     spec = SearchSpec(sort="priceDesc", limit=5, offset=1_000)
     assert ids(paging.deep_page(rows, spec)) == list(range(1_999, 1_994, -1))
+
+
+def test_posting_lists_are_read_by_partition_and_merged_exactly(spark, tmp_path):
+    """Repeats over lists, a list with a third of the products, and pages beyond a list's end."""
+    p = fx.products(spark, [(i, "ACTIVE", i % 7, i % 5, fx.T0) for i in range(300)])
+    o = fx.options(
+        spark,
+        [(i * 3 + j, i, c, s, "IN_STOCK") for i in range(0, 300, 2) for j, (c, s) in
+         enumerate([("RED", "M"), ("RED", "S")][: 1 + i % 4 // 2])]
+        + [(9_000 + i, i, "BLUE", "M", "IN_STOCK") for i in range(0, 300, 3)],
+    )
+    table = readmodels.signature_table(p, o, F.lit(fx.T0).cast("timestamp_ntz"))
+    for sort in ("priceAsc", "reviewCountDesc"):
+        path = str(tmp_path / sort)
+        search.write_postings(table, path, sort)
+        lists = search.read_postings(spark, path)
+        filters = [{"color": "RED"}, {"size": "M"}, {}, {"color": "GRAY"},
+                   {"color": "RED", "size": "M", "stock_status": "IN_STOCK"}]
+        for wanted, offset in itertools.product(filters, (0, 60, 500)):
+            spec = SearchSpec(sort=sort, limit=40, offset=offset, **wanted)
+            assert ids(search.search_postings(lists, spec)) == ids(search.search_signatures(table, spec))
+    whole = SearchSpec(color="RED", size="M", stock_status="IN_STOCK")
+    found = search.search_postings(lists, whole)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(signature" in plan and "Exchange" not in plan
+    part = search.search_postings(lists, SearchSpec(color="RED"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in part and "PartitionFilters: [" in part.replace("PartitionFilters: []", "")
+
+
+def test_posting_lists_beyond_the_result_window(spark, tmp_path, monkeypatch):
+    p = fx.products(spark, [(i, "ACTIVE", i % 7, i % 5, fx.T0) for i in range(200)])
+    o = fx.options(spark, [(i * 2 + j, i, c, "M", "IN_STOCK") for i in range(200) for j, c in enumerate(("RED", "BLUE"))])
+    table = readmodels.signature_table(p, o, F.lit(fx.T0).cast("timestamp_ntz"))
+    search.write_postings(table, str(tmp_path / "lists"), "priceAsc")
+    monkeypatch.setattr(paging, "TOP_K_LIMIT", 100)
+    spec = SearchSpec(size="M", sort="priceAsc", limit=30, offset=150)
+    found = search.search_postings(search.read_postings(spark, str(tmp_path / "lists")), spec)
+    assert ids(found) == ids(search.search_signatures(table, spec))

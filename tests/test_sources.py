@@ -294,3 +294,34 @@ def test_listed_options_keep_their_order_and_repeats(spark, tmp_path):
     documents_json.write_documents(docs, str(tmp_path / "d"))
     line = spark.read.text(str(tmp_path / "d")).select(F.get_json_object("value", "$.options[*].color").alias("c"))
     assert line.first().c == '["RED","BLACK","RED"]'
+
+
+def test_counted_signatures_follow_option_changes(spark, tmp_path):
+    now = F.lit(fx.T0).cast("timestamp_ntz")
+    p = fx.products(spark, [(i, "ACTIVE", 1, 1, fx.T0) for i in (1, 2, 3, 4)])
+    red, blue = ("RED", "M", "IN_STOCK"), ("BLUE", "M", "IN_STOCK")
+    steps = [
+        [(1, 1, *red), (2, 1, *red), (3, 2, *red), (4, 3, None, *red[1:]), (5, 9, *red)],
+        [(2, 1, *red), (3, 2, *red), (6, 2, *blue), (7, 3, *blue), (5, 9, *red)],  # one repeat goes
+        [(6, 2, *blue), (7, 3, *blue), (8, 3, *blue), (9, 4, *red)],  # last rows go, one comes anew
+        [],
+    ]
+    shape = "id long, product_id long, color string, size string, stock_status string"
+    frames = [spark.createDataFrame(s, shape) for s in steps]
+    full = readmodels.counted_signature_table(p, frames[0], now)
+    store = SnapshotStore(spark, str(tmp_path / "s"), full.schema, "product_id", 2)
+    store.replace(full)
+    for number, (old, new) in enumerate(zip(frames, frames[1:])):
+        deltas = readmodels.option_deltas(old, new)
+        for again in range(2):
+            version = readmodels.refresh_signatures(store, p, deltas, now, f"b{number}")
+            assert (version is None) == bool(again)
+        want = readmodels.signature_table(p, new, now)
+        got = store.read()
+        assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+        copies = {(r.product_id, s): n for r in got.collect() for s, n in zip(r.option_signatures, r.copies)}
+        rows = new.where("product_id < 9 AND color IS NOT NULL").collect()
+        assert sum(copies.values()) == len(rows)
+    with pytest.raises(Exception, match="more options removed than stored: product 1"):
+        lost = readmodels.option_deltas(fx.options(spark, [(1, 1, *red)]), fx.options(spark, []))
+        readmodels.refresh_signatures(store, p, lost, now, "wrong")
