@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import distinct_from
+from shelfline.session import shared_dir
 
 #: log2 of the keys in a leaf, and of the nodes below a node.
 LEAF_BITS = 12
@@ -63,6 +64,13 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("node long, n long, low long, high long, level int").parquet(path)
 
 
+def kept_tree(found: DataFrame) -> DataFrame:
+    spark = found.sparkSession
+    path = shared_dir(spark, "hash-tree")
+    write_tree(found, path)
+    return read_tree(spark, path)
+
+
 def unequal_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
     """(node): leaves whose fingerprints differ or that one tree lacks."""
     nodes = None
@@ -106,15 +114,13 @@ def tree_diff(
     """(key, kind) of rows that are ``missing`` in ``read``, ``extra`` there, or ``different``.
 
     ``trees`` are stored trees of both tables over the same fields, types and ``bits``; without them
-    they are built. The unequal leaves are found when the function is called.
+    they are built and written below the shared folder. The unequal leaves are found when the function is called.
     """
     kinds = {f: source.schema[f].dataType for f in fields}
     typed = read.select(key, *[F.col(f).cast(kinds[f]).alias(f) for f in fields])
     source = source.select(key, *fields)
-    left, right = trees or (tree(source, key, fields, bits), tree(typed, key, fields, bits))
+    left, right = trees or [kept_tree(tree(rows, key, fields, bits)) for rows in (source, typed)]
     leaves = unequal_leaves(left, right)
-    if not trees:
-        leaves = leaves.cache()
     ranges = key_ranges(leaves, bits)
     sides = [source, typed]
     if ranges is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfline import schemas
 from shelfline.functions import columns as c
 from shelfline.operators import distribution as dist
-from shelfline.operators import readmodels, scenarios, validate
+from shelfline.operators import hash_tree, readmodels, scenarios, validate
 from shelfline.operators.compare import (
     COMPARED_FIELDS,
     compare_documents,
@@ -275,6 +275,31 @@ def _old_table(spark, sf):
 
 
 _FIELDS = ["seller_id", "status", "price", "updated_at"]
+#: Added to an id that the source does not have.
+_BEYOND = 10_000_000_000
+
+
+def _tree_diff(spark, sf):
+    """Products against a copy that lags, lacks some rows and has some of its own."""
+    products = star.products(spark, sf)
+    held = as_created(products).where("id % 97 <> 0")
+    own = products.where("id % 101 = 0").withColumn("id", F.col("id") + _BEYOND)
+    return hash_tree.tree_diff(products, held.unionByName(own), _FIELDS)
+
+
+add(
+    "hash_tree_diff",
+    _tree_diff,
+    _products(
+        f"""SELECT id, 'missing' AS kind FROM products WHERE id % 97 = 0
+            UNION ALL SELECT id + {_BEYOND}, 'extra' FROM products WHERE id % 101 = 0
+            UNION ALL
+            SELECT p.id, 'different' FROM products p JOIN old_products o ON o.id = p.id
+            WHERE p.id % 97 <> 0 AND (o.status <> p.status OR o.price <> p.price
+                                      OR o.updated_at <> p.updated_at)""",
+        old_products=AS_CREATED_SQL,
+    ),
+)
 add(
     "api_field_mismatch",
     lambda s, sf: validate.api_field_mismatches(
