@@ -7,8 +7,10 @@ bits in it. A URL whose block lacks one of its bits is not listed and is done; o
 go to the join with the list itself, which removes the false positives. Everything is built-in
 functions and joins.
 
-The filter has a fixed number of blocks, so it may be broadcast whatever the list's length; with a
-longer list it passes more URLs to the exact join, which stays right.
+The filter has blocks in proportion to the list, `URLS_A_BLOCK` in each, so its rate of false
+positives stays the same (about 1 in 400) for any list. Up to 2 ** `BROADCAST_BITS` blocks it is
+broadcast; a larger one is joined on the block, where adaptive execution may split a block that many
+pages ask for. The list is counted when the function is called.
 
 In the registered query the list holds the canonical URLs that the crawl fetched under more than one
 page, as no table brings a list of its own.
@@ -25,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import table
+from shelfline.llm.common import table, written
 
 #: (verdict, host, path); fixed values.
 RULES = (
@@ -35,8 +37,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: log2 of the number of 64-bit blocks: at most 65536 rows are broadcast.
-BLOCK_BITS = 16
+#: Listed URLs for each 64-bit block, on average at most.
+URLS_A_BLOCK = 4
+#: log2 of the blocks that are broadcast at most: 65536 rows of two numbers.
+BROADCAST_BITS = 16
 #: Bits set in a block for each URL; each is chosen by six bits of the hash.
 BITS = 4
 
@@ -73,8 +77,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def block_of(url: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(url), 64 - BLOCK_BITS)
+def block_bits(listed: int) -> int:
+    """log2 of the blocks for a list of so many URLs."""
+    return max(1, (max(1, listed) - 1) // URLS_A_BLOCK).bit_length()
+
+
+def block_of(url: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(url), 64 - bits)
 
 
 def bits_of(url: Column) -> Column:
@@ -84,9 +93,11 @@ def bits_of(url: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def bloom(listed: DataFrame) -> DataFrame:
-    """(block, word): the filter's blocks that have bits; at most 2 ** BLOCK_BITS rows."""
-    return listed.groupBy(block_of(F.col("listed")).alias("block")).agg(F.bit_or(bits_of(F.col("listed"))).alias("word"))
+def bloom(listed: DataFrame, bits: int) -> DataFrame:
+    """(block, word): the filter's blocks that have bits; at most 2 ** bits rows."""
+    blocks = listed.groupBy(block_of(F.col("listed"), bits).alias("block"))
+    words = blocks.agg(F.bit_or(bits_of(F.col("listed"))).alias("word"))
+    return F.broadcast(words) if bits <= BROADCAST_BITS else words
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
@@ -98,7 +109,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     judged = judged.select("*", rule.alias("rule"), ruled.alias("ruled"))
     done = judged.where(F.col("ruled").isNotNull() | F.col("form").isNull())
     asked = judged.where(F.col("ruled").isNull() & F.col("form").isNotNull())
-    asked = asked.join(F.broadcast(bloom(listed)), block_of(F.col("form")) == F.col("block"), "left")
+    bits = block_bits(listed.count())
+    asked = asked.join(bloom(listed, bits), block_of(F.col("form"), bits) == F.col("block"), "left")
     possible = F.coalesce(F.col("word").bitwiseAND(bits_of(F.col("form"))) == bits_of(F.col("form")), F.lit(False))
     asked = asked.select("page_id", "host", "path", "form", "rule", possible.alias("possible"))
     kept = ("page_id", "host", "path", "rule")
@@ -117,7 +129,7 @@ def fetched_again(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, fetched_again(pages))
+    return judge(pages, written(spark, fetched_again(pages), "listed"))
 
 
 _HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -31,9 +31,10 @@ URLS = {
 }
 
 
-@pytest.mark.parametrize("bits", [1, 16])
-def test_edge_rows(spark, monkeypatch, bits):
-    monkeypatch.setattr(url_filter, "BLOCK_BITS", bits)
+@pytest.mark.parametrize("a_block, broadcast", [(1_000, 16), (4, 16), (4, 0)])
+def test_edge_rows(spark, monkeypatch, a_block, broadcast):
+    monkeypatch.setattr(url_filter, "URLS_A_BLOCK", a_block)
+    monkeypatch.setattr(url_filter, "BROADCAST_BITS", broadcast)
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
     listed = spark.createDataFrame([("listed.net/p?k=1",), *((f"other{i}.net/",) for i in range(200))], "listed string")
     got = url_filter.judge(pages.unionAll(pages), listed).collect()
@@ -48,3 +49,15 @@ def test_edge_rows(spark, monkeypatch, bits):
 def test_no_python_on_the_main_path(spark, sf):
     plan = url_filter.query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("listed", [1, 60, 5_000, 200_000])
+def test_false_positives_stay_rare_for_any_list(spark, listed):
+    bits = url_filter.block_bits(listed)
+    assert listed <= url_filter.URLS_A_BLOCK << bits and 1 << bits <= max(2, listed)
+    name = F.concat(F.lit("host"), F.col("id"), F.lit(".net/"))
+    words = url_filter.bloom(spark.range(listed).select(name.alias("listed")), bits)
+    asked = spark.range(listed, listed + 50_000).select(name.alias("form"))
+    found = asked.join(words, url_filter.block_of(F.col("form"), bits) == F.col("block"))
+    mask = url_filter.bits_of(F.col("form"))
+    assert found.where(F.col("word").bitwiseAND(mask) == mask).count() < 0.01 * 50_000
