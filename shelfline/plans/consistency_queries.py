@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfline import schemas
 from shelfline.functions.quantiles import exact_quantiles
 from shelfline.operators import outbox as ob
 from shelfline.operators import paging, readmodels
 from shelfline.operators.spec import SearchSpec
 from shelfline.plans import check_sql as q
-from shelfline.plans.outbox_queries import NOW, UPSERT_SQL, old_store, relay_source
+from shelfline.plans.outbox_queries import LEASE_MS, NOW, UPSERT_SQL, old_store, relay_source
 from shelfline.plans.registry import add
 from shelfline.plans.report_queries import flat_documents, restocked
 from shelfline.plans.search_queries import refreshed_at
 from shelfline.session import shared_dir
 from shelfline.sources import documents_json
 from shelfline.sources import star_schema as star
+from shelfline.sources import tables as model
 from shelfline.streaming import relay
 
 #: More than any single top-k takes.
@@ -222,3 +224,106 @@ add(
         "option_rows",
     ),
 )
+
+
+def _resumed(spark, sf):
+    """Every event delivered twice: half of the files a batch, then all again after a restart.
+
+    The second run goes on from the checkpoint of the first, so it takes the new files alone.
+    """
+    events, folder = star.table(spark, sf, "events"), shared_dir(spark, "event-files")
+    store, checkpoint = old_store(spark, sf), shared_dir(spark, "relay-checkpoint")
+    for parts in (["event_id % 2 = 0", "event_id % 2 = 1"], ["true"]):
+        for part in parts:
+            events.where(part).write.mode("append").parquet(folder)
+        files = len(spark.read.schema(events.schema).parquet(folder).inputFiles())
+        raw = relay.outbox_stream(spark, folder, events.schema, max_files=-(-files // 2))
+        query = relay.start_relay(
+            star.outbox_from_events(raw), relay_source(spark, sf), store, checkpoint, lambda: NOW
+        )
+        query.awaitTermination()
+    return flat_documents(store.read())
+
+
+add("stream_resume_redelivered", _resumed, UPSERT_SQL)
+
+
+def _claim_tokens(spark, sf):
+    """Two workers claim one after the other, each batch under a random token of its own."""
+    out = star.outbox(spark, sf)
+    first = ob.claim(out, F.lit(NOW), LARGE_CLAIM, LEASE_MS, worker="a")
+    rest = ob.merge_changes(out, first)
+    second = ob.claim(rest, F.lit(NOW), LARGE_CLAIM, LEASE_MS, worker="b")
+    both = first.unionByName(second)
+    return both.groupBy("claimed_by").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count_distinct("claim_token").alias("tokens"),
+        F.max(F.length("claim_token")).alias("token_length"),
+    )
+
+
+add(
+    "claim_tokens",
+    _claim_tokens,
+    q.with_relations(
+        f"""SELECT CASE WHEN place <= {LARGE_CLAIM} THEN 'a' ELSE 'b' END AS claimed_by,
+                   count(*) AS events, min(id) AS first_id, max(id) AS last_id,
+                   CAST(1 AS BIGINT) AS tokens, CAST(36 AS INTEGER) AS token_length
+            FROM (SELECT id, row_number() OVER (ORDER BY id) AS place FROM outbox
+                  WHERE (status = 'PENDING' AND (next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '{NOW}'))
+                     OR (status = 'PROCESSING'
+                         AND updated_at <= TIMESTAMP '{NOW}' - to_milliseconds({LEASE_MS})))
+            WHERE place <= 2 * {LARGE_CLAIM} GROUP BY ALL""",
+        "outbox",
+    ),
+)
+
+#: What the tables of each profile hold here.
+_PROFILE_ROWS = {"uniform": "ACTIVE", "moderate-skew": "SOLD_OUT", "high-skew": "DELETED"}
+
+
+def _active_profiles(spark, sf):
+    """The active view pointed at the tables of one profile after the other."""
+    root = shared_dir(spark, "profiles")
+    kinds = {f.name: f.dataType for f in schemas.PRODUCTS.fields}
+    every = star.products(spark, sf)
+    every = every.select(*[F.col(n).cast(kind).alias(n) for n, kind in kinds.items()])
+    names = model.inline(spark, list(_PROFILE_ROWS.items()), "profile string, status string")
+    options = star.options(spark, sf).withColumn("id", F.xxhash64("product_id"))
+    found = None
+    for name, status in _PROFILE_ROWS.items():
+        profile = model.resolve_profile(name)
+        held = every.where(F.col("status") == status)
+        held.write.parquet(f"{root}/{profile.products_table}")
+        own = options.join(held.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+        own.select(*schemas.OPTIONS.names).write.parquet(f"{root}/{profile.options_table}")
+        model.set_active(spark, root, profile.products_table)
+        _, profile_options = model.load_profile(spark, root, name)
+        sides = [
+            spark.table(model.ACTIVE_VIEW).select(F.lit(1).alias("p"), F.lit(0).alias("o"), "price"),
+            profile_options.select(F.lit(0), F.lit(1), F.lit(0)),
+        ]
+        counts = sides[0].unionAll(sides[1]).select(F.lit(name).alias("profile"), "*")
+        found = counts if found is None else found.unionAll(counts)
+    found = found.groupBy("profile").agg(
+        F.sum("p").alias("products"), F.sum("o").alias("options"), F.sum("price").alias("total_price")
+    )
+    return names.join(found, "profile")
+
+
+add(
+    "active_profiles",
+    _active_profiles,
+    q.with_relations(
+        """SELECT CASE p.status WHEN 'ACTIVE' THEN 'uniform' WHEN 'SOLD_OUT' THEN 'moderate-skew'
+                  ELSE 'high-skew' END AS profile, p.status, count(*) AS products,
+                  CAST(sum(price) AS BIGINT) AS total_price, CAST(sum(n) AS BIGINT) AS options
+           FROM products p LEFT JOIN (SELECT product_id, count(*) AS n FROM options GROUP BY ALL) o
+             ON o.product_id = p.id
+           GROUP BY ALL""",
+        "products",
+        "options",
+    ),
+)
