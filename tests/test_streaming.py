@@ -389,3 +389,25 @@ def test_backfill_commits_groups_of_batches(spark, tmp_path):
         assert store.read().count() == rows and done.batches >= rows // size
     spark.sparkContext.setJobGroup("", "")
     assert jobs[1] <= 2 * jobs[0]
+
+
+def test_a_long_queue_is_emptied_in_a_bounded_number_of_versions(spark, tmp_path):
+    p = fx.products(spark, [(i, "ACTIVE", 1, 1, fx.T0) for i in range(40)])
+    out = fx.events(spark, [(i * 7_919, i, "PRODUCT_CREATED") for i in range(40)])
+    source, docs, events = build(spark, tmp_path, p, fx.options(spark, []), out)
+    files = str(tmp_path / "events")
+    out.write.parquet(files)
+    relay.start_relay(
+        relay.outbox_stream(spark, files, out.schema), source, docs, str(tmp_path / "cp"), lambda: NOW,
+        outbox=events, config=ob.RelayConfig(batch_size=3), reject=F.col("id") == 5,
+    ).awaitTermination()
+    batches = [h.batch for h in events.history() if h.batch]
+    assert len(batches) == 2 and [h.batch for h in docs.history()][-1] == batches[0][: -len("-claimed")]
+    claimed = next(h.names["read"] for h in events.history() if h.batch == batches[0])
+    # Fourteen batches in id order, each under a token of its own.
+    held = events.upserted(claimed).groupBy("claim_token").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    found = sorted((r.lo, r.hi, r.n) for r in held.collect())
+    assert [n for _, _, n in found] == [3] * 13 + [1] and all(a[1] < b[0] for a, b in zip(found, found[1:]))
+    got = {r.aggregate_id: (r.status, r.claim_token) for r in events.read().collect()}
+    assert got.pop(5) == ("PENDING", None) and set(got.values()) == {("DONE", None)} and len(got) == 39
+    assert docs.read().count() == 39
