@@ -325,3 +325,30 @@ def test_counted_signatures_follow_option_changes(spark, tmp_path):
     with pytest.raises(Exception, match="more options removed than stored: product 1"):
         lost = readmodels.option_deltas(fx.options(spark, [(1, 1, *red)]), fx.options(spark, []))
         readmodels.refresh_signatures(store, p, lost, now, "wrong")
+
+
+def test_a_large_table_takes_wider_buckets_and_stays_changeable(spark, tmp_path):
+    rows = spark.range(-500, 9_500).select("id", (F.col("id") * 2).alias("v"))
+    store = SnapshotStore(spark, str(tmp_path / "s"), rows.schema, bucket_width=10, most_buckets=16)
+    store.replace(rows, keys=rows.select("id"))
+    assert len(store.folders()) <= 17
+    store.apply_changes(rows.where("id % 1000 = 0").withColumn("v", F.lit(1).cast("long")), rows.select("id").where("id = 7"))
+    store.apply_changes(None, spark.range(8, 10))
+    fresh = SnapshotStore(spark, str(tmp_path / "s"), rows.schema, bucket_width=10, most_buckets=16)
+    fresh.apply_changes(rows.where("id = -500").withColumn("v", F.lit(3).cast("long")), None, compact=True)
+    want = {i: i * 2 for i in range(-500, 9_500) if i not in (7, 8, 9)} | {i: 1 for i in range(0, 9_500, 1_000)} | {-500: 3}
+    assert {r.id: r.v for r in fresh.read().collect()} == want
+    empty = SnapshotStore(spark, str(tmp_path / "e"), rows.schema, bucket_width=10, most_buckets=16)
+    empty.apply_changes(rows, None)
+    assert empty.read().count() == 10_000 and sum(f.startswith("data/") for f in empty.folders()) <= 17
+
+
+def test_packed_options_keep_values_outside_the_domains(spark):
+    rows = [(1, 1, "BLACK", "S", "IN_STOCK"), (2, 1, "PINK", "S", None), (3, 1, "BLACK", "S", "IN_STOCK"),
+            (4, 1, None, None, None), (5, 1, "BEIGE", "FREE", "OUT_OF_STOCK"), (6, 1, "PINK", "S", None)]
+    o = spark.createDataFrame(rows, "id long, product_id long, color string, size string, stock_status string")
+    (got,) = readmodels.nested_options(o).collect()
+    assert [tuple(e) for e in got.options] == [
+        ("BLACK", "S", "IN_STOCK", 2), ("PINK", "S", None, 2), (None, None, None, 1), ("BEIGE", "FREE", "OUT_OF_STOCK", 1)]
+    (listed,) = readmodels.nested_options(o, listed=True).collect()
+    assert [tuple(e)[:3] for e in listed.options] == [r[2:] for r in rows]
