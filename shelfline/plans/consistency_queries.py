@@ -292,13 +292,17 @@ def _active_profiles(spark, sf):
     every = every.select(*[F.col(n).cast(kind).alias(n) for n, kind in kinds.items()])
     names = model.inline(spark, list(_PROFILE_ROWS.items()), "profile string, status string")
     options = star.options(spark, sf).withColumn("id", F.xxhash64("product_id"))
+    # The options move once for all profiles; each profile's table is then written from its own part.
+    owners = every.select(F.col("id").alias("product_id"), F.col("status").alias("of"))
+    staged = options.join(owners, "product_id").select(*schemas.OPTIONS.names, "of")
+    staged.write.partitionBy("of").parquet(f"{root}/staged")
+    staged = spark.read.schema(staged.schema).parquet(f"{root}/staged")
     found = None
     for name, status in _PROFILE_ROWS.items():
         profile = model.resolve_profile(name)
-        held = every.where(F.col("status") == status)
-        held.write.parquet(f"{root}/{profile.products_table}")
-        own = options.join(held.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-        own.select(*schemas.OPTIONS.names).write.parquet(f"{root}/{profile.options_table}")
+        every.where(F.col("status") == status).write.parquet(f"{root}/{profile.products_table}")
+        own = staged.where(F.col("of") == status).select(*schemas.OPTIONS.names)
+        own.write.parquet(f"{root}/{profile.options_table}")
         model.set_active(spark, root, profile.products_table)
         _, profile_options = model.load_profile(spark, root, name)
         sides = [
