@@ -327,6 +327,27 @@ def test_counted_signatures_follow_option_changes(spark, tmp_path):
         readmodels.refresh_signatures(store, p, lost, now, "wrong")
 
 
+def test_signature_changes_of_many_products_rewrite_the_table_once(spark, tmp_path):
+    now = F.lit(fx.T0).cast("timestamp_ntz")
+    p = fx.products(spark, [(i, "ACTIVE", 1, 1, fx.T0) for i in range(1, 41)])
+    red, pink = ("RED", "M", "IN_STOCK"), ("PINK", "M", "IN_STOCK")
+    old = fx.options(spark, [(i, i, *red) for i in range(1, 41)] + [(90, 99, *red)])
+    many = fx.options(spark, [(i, i, *(pink if i % 2 else red)) for i in range(1, 41)] + [(90, 1, *pink)])
+    few = many.where("id <> 2")
+    schema = readmodels.counted_signature_table(p, old, now).schema
+    store = SnapshotStore(spark, str(tmp_path / "s"), schema, "product_id", 8)
+    readmodels.rebuild_signatures(store, p, old, now)
+    for name, a, b in (("many", old, many), ("few", many, few)):
+        assert readmodels.refresh_signatures(store, p, readmodels.option_deltas(a, b), now, name)
+        assert readmodels.refresh_signatures(store, p, readmodels.option_deltas(a, b), now, name) is None
+        want = readmodels.counted_signature_table(p, b, now)
+        assert store.read().dtypes == want.dtypes
+        assert sorted(store.read().collect()) == sorted(want.collect())
+        changes = [f for f in store.folders() if f.startswith("changes/")]
+        assert len(changes) == (name == "few")
+    assert {r.product_id: r.copies for r in store.read().collect()}[1] == [2]
+
+
 def test_a_large_table_takes_wider_buckets_and_stays_changeable(spark, tmp_path):
     rows = spark.range(-500, 9_500).select("id", (F.col("id") * 2).alias("v"))
     store = SnapshotStore(spark, str(tmp_path / "s"), rows.schema, bucket_width=10, most_buckets=16)
