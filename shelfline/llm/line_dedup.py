@@ -49,10 +49,16 @@ BRIEF, BRIEF_GRAM, BRIEF_ROWS = 60, 3, 4
 REMEMBERED = 500_000
 #: Bytes of text on one side of a cell.
 CELL_BYTES = 1 << 19
-#: Counters of letter pairs by which dissimilar lines of a cell are told apart before any is compared.
+#: Counters of letter pairs by which dissimilar texts of a list are told apart before any is compared.
 COUNTERS = 256
-#: The same for pairs of lines.
-PAIR_COUNTERS = 1024
+#: The same where many pairs are compared together, and how far each counts.
+MARKS, LEVELS = 512, 2
+#: Characters and lines of the cells that are worked through together.
+GROUP_BYTES, GROUP_LINES = 4 << 20, 1 << 15
+#: Pairs that are compared together, and lines on a side of a block of pairs of a larger cell than SMALL.
+PAIRS, BLOCK, SMALL = 4096, 1024, 128
+#: Letters told apart, the fewest pairs for each word of a band for which comparing them together pays, all bits of a word.
+LETTERS, FEW, EVERY = 128, 24, (1 << 64) - 1
 #: Bits of the filter of lines that share a key.
 FILTER_BITS = 1 << 23
 
@@ -95,9 +101,17 @@ def gram_minima(texts: list[str], n: int, bins: int) -> np.ndarray:
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     flat = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     grams = np.zeros(len(flat), np.uint64)
-    padded = np.concatenate((flat, np.zeros(n, np.uint64)))
-    for k in range(n):
-        grams = grams * np.uint64(0x100000001B3) + padded[k : k + len(flat)] + np.uint64(1)
+    # Runs of 2, 4, 8 ... characters from two of half their length each; n is made up of these.
+    run, place, size, left_over, power = np.concatenate((flat, np.zeros(2 * n, np.uint64))) + np.uint64(1), 0, 1, n, 0x100000001B3
+    while True:
+        if left_over & 1:
+            grams = grams * np.uint64(power) + run[place : place + len(flat)]
+            place += size
+        left_over >>= 1
+        if not left_over:
+            break
+        run = run[:-size] * np.uint64(power) + run[size:]
+        size, power = 2 * size, power * power % (1 << 64)
     for shift, mix in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
         grams = (grams ^ (grams >> np.uint64(shift))) * np.uint64(mix)
     grams ^= grams >> np.uint64(31)
@@ -167,14 +181,14 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in found], ["value", "line", "least", "n", "lot"])
 
 
-def pair_counts(texts: list[str]) -> np.ndarray:
+def pair_counts(texts: list[str], counters: int = COUNTERS) -> np.ndarray:
     """Counts of letter pairs of each text; a single edit changes at most four of them by one."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     own = np.repeat(np.arange(len(texts)), sizes)
     inside = own[1:] == own[:-1]
-    cells = own[:-1] * COUNTERS + (flat[:-1] * 1009 + flat[1:]) % COUNTERS
-    return np.bincount(cells[inside], minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
+    cells = own[:-1] * counters + (flat[:-1] * 1009 + flat[1:]) % counters
+    return np.bincount(cells[inside], minlength=len(texts) * counters).reshape(-1, counters).astype(np.int32)
 
 
 class Likely:
@@ -225,10 +239,192 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
-def similar(a: str, b: str) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - SIMILAR) * longer + 1e-9)
-    return edit_distance(a, b, most) <= most
+class Texts:
+    """Texts of which many pairs are compared at once, by columns of all pairs' edit tables."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.lengths = texts, np.fromiter(map(len, texts), np.int64, len(texts))
+        self.flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        # A count as that many ones, up to LEVELS: texts differ in no more places than their counts do in sum.
+        self.marks = np.zeros((len(texts), MARKS * LEVELS), np.uint8)
+        for k in range(0, len(texts), BLOCK):
+            counts = pair_counts(texts[k : k + BLOCK], MARKS)
+            self.marks[k : k + BLOCK] = np.concatenate([counts > level for level in range(LEVELS)], axis=1)
+        self.total = self.marks.sum(axis=1, dtype=np.int64)
+        found = np.zeros(int(self.flat.max(initial=0)) + 1, bool)
+        found[self.flat] = True
+        # Characters beyond so many share numbers; pairs found similar with them are compared once more.
+        self.exact = int(found.sum()) <= LETTERS
+        self.letters = min(int(found.sum()), LETTERS)
+        self.codes = ((np.cumsum(found) - 1) % LETTERS)[self.flat]
+
+    def most(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return ((1 - SIMILAR) * np.maximum(self.lengths[one], self.lengths[two]) + 1e-9).astype(np.int64)
+
+    def likely(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether pairs of texts may be similar: by length and by letter pairs, never wrongly not."""
+        most = self.most(one, two)
+        found = np.abs(self.lengths[one] - self.lengths[two]) <= most
+        at = np.flatnonzero(found)
+        for k in range(0, len(at), PAIRS):
+            some = at[k : k + PAIRS]
+            found[some] = (self.marks[one[some]] ^ self.marks[two[some]]).sum(axis=1, dtype=np.int64) <= 4 * most[some]
+        return found
+
+    def may(self, starts: np.ndarray, apart: np.ndarray, label: np.ndarray, joined: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of texts of a cell that may be similar, of different labels as joined by then.
+
+        Texts of one cell with the same `apart` are not compared, unless that is -1.
+        """
+
+        def open_pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+            return (joined[label[one]] != joined[label[two]]) & ((apart[one] != apart[two]) | (apart[one] < 0))
+
+        sizes, small = np.diff(starts), []
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            i, j = np.triu_indices(size, 1)
+            cells = starts[:-1][sizes == size]
+            step = max(1, 64 * PAIRS // len(i))
+            for k in range(0, len(cells), step):
+                one, two = (np.add.outer(cells[k : k + step], x).ravel() for x in (i, j))
+                new = open_pairs(one, two)
+                one, two = one[new], two[new]
+                new = self.likely(one, two)
+                small.append((one[new], two[new]))
+        if small:
+            yield tuple(np.concatenate(side) for side in zip(*small))
+        for start, size in zip(starts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            for i in range(start, start + size, BLOCK):
+                rows = np.arange(i, min(i + BLOCK, start + size))
+                marks = self.marks[rows].astype(np.float32)
+                for j in range(i, start + size, BLOCK):
+                    columns = np.arange(j, min(j + BLOCK, start + size))
+                    both = marks @ self.marks[columns].T.astype(np.float32)
+                    longer = np.maximum.outer(self.lengths[rows], self.lengths[columns])
+                    near = self.total[rows][:, None] + self.total[columns] - 2 * both <= 4 * ((1 - SIMILAR) * longer + 1e-9).astype(np.int64)
+                    one, two = np.nonzero(np.triu(near, 1) if i == j else near)
+                    one, two = rows[one], columns[two]
+                    new = open_pairs(one, two) & (np.abs(self.lengths[one] - self.lengths[two]) <= self.most(one, two))
+                    yield one[new], two[new]
+
+    def similar(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether the texts of each pair are similar."""
+        swap = self.lengths[one] > self.lengths[two]
+        short, long = np.where(swap, two, one), np.where(swap, one, two)
+        most = self.most(one, two)
+        # Short texts are one word of 64 characters; for others a band of so many words around the diagonal is enough.
+        words = np.where(self.lengths[short] <= 64, 0, most // 32 + 1)
+        found = np.zeros(len(one), bool)
+        for width in np.unique(words).tolist():
+            every = np.flatnonzero(words == width)
+            every = every[np.argsort(self.lengths[long[every]], kind="stable")]
+            # So many pairs that their tables of letters stay small; few ones are faster one by one.
+            step = max(1, min(PAIRS, (32 << 20) // (8 * self.letters * (6 * width + 1))))
+            for k in range(0, len(every), step):
+                at = every[k : k + step]
+                if len(at) >= FEW * max(1, width):
+                    at = at[self.in_band(short[at], long[at], most[at], width) if width else self.close(short[at], long[at], most[at])]
+                    if self.exact:
+                        found[at] = True
+                        continue
+                for p in at.tolist():
+                    found[p] = edit_distance(self.texts[short[p]], self.texts[long[p]], int(most[p])) <= most[p]
+        return found
+
+    def letter_bits(self, of: np.ndarray, width: int, shift: int = 0) -> np.ndarray:
+        """For each word, text and letter a bit for every place of the letter, `shift` bits up."""
+        m = self.lengths[of]
+        owner = np.repeat(np.arange(len(m)), m)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+        letter = self.codes[np.repeat(self.starts[of], m) + within]
+        within = within + shift
+        bits = np.zeros((width, len(m) * self.letters), np.uint64)
+        place = (within >> 6) * (len(m) * self.letters) + owner * self.letters + letter
+        np.add.at(bits.reshape(-1), place, np.uint64(1) << (within & 63).astype(np.uint64))
+        return bits
+
+    def close(self, short: np.ndarray, long: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether each pair is within its distance, by the columns of `edit_distance`; the shorter texts have 64 characters at most."""
+        order = np.argsort(-self.lengths[long], kind="stable")
+        short, long = short[order], long[order]
+        m, n, bits = self.lengths[short], self.lengths[long], self.letter_bits(short, 1)[0]
+        base, starts, top = np.arange(len(m)) * self.letters, self.starts[long], np.uint64(1) << (np.maximum(m, 1) - 1).astype(np.uint64)
+        plus, minus, score, one = np.full(len(m), EVERY, np.uint64), np.zeros(len(m), np.uint64), m.copy(), np.uint64(1)
+        for column in range(int(n[0])):
+            live = int(np.searchsorted(-n, -column, "left"))
+            p, q = plus[:live], minus[:live]
+            eq = bits.take(base[:live] + self.codes[starts[:live] + column])
+            diagonal = (((eq & p) + p) ^ p) | eq | q
+            right, left = q | ~(diagonal | p), p & diagonal
+            score[:live] += ((right & top[:live]) != 0).view(np.int8) - ((left & top[:live]) != 0).view(np.int8)
+            right = (right << one) | one
+            plus[:live], minus[:live] = (left << one) | ~(diagonal | right), right & diagonal
+        result = np.zeros(len(order), bool)
+        # A text without characters is as far as the other is long.
+        result[order] = np.where(m > 0, score, n) <= most[order]
+        return result
+
+    def in_band(self, short: np.ndarray, long: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
+        """Whether each pair is within its distance of less than 32 * words; texts of more than 64 characters.
+
+        Hyyro's band of 64 * words diagonals: first the distance along the lowest, then along the last row.
+        """
+        band, order = 32 * words - 1, np.argsort(-self.lengths[short], kind="stable")
+        result = np.zeros(len(order), bool)
+        most, short, long = most[order], short[order], long[order]
+        m, n = self.lengths[long], self.lengths[short]
+        bits = self.letter_bits(long, int(m.max()) // 64 + 2 * words + 2, 32 * words)
+        base, starts = np.arange(len(m)) * self.letters, self.starts[short]
+        set_bits = (1 << 64 * words) - (1 << 64 * words - band - 1)
+        plus = [np.full(len(m), set_bits >> 64 * w & EVERY, np.uint64) for w in range(words)]
+        minus = [np.zeros(len(m), np.uint64) for w in range(words)]
+        score, turn = np.full(len(m), band, np.int64), m - band
+        one, last = np.uint64(1), np.uint64(63)
+        for column in range(int(n[0])):
+            live = int(np.searchsorted(-n, -column, "left"))
+            if column % 16 == 15 or live < len(n):
+                done = np.arange(len(n)) >= live
+                result[order[done]] = score[done] <= most[done]
+                # Along the diagonal the distance never falls, behind it by one a column at most.
+                keep = ~done & (score - (n - np.maximum(column, turn)) <= most)
+                if live < len(n) or keep.sum() < 0.8 * len(n):
+                    order, m, n, most, base, starts, score, turn = (v[keep] for v in (order, m, n, most, base, starts, score, turn))
+                    plus, minus = [v[keep] for v in plus], [v[keep] for v in minus]
+                    if not len(n):
+                        return result
+            at, low = base + self.codes[starts + column], column & 63
+            held = [bits[(column >> 6) + w].take(at) for w in range(words + (low > 0))]
+            behind = column >= turn
+            # The last row's place in the band falls by one a column behind the diagonal.
+            place = np.where(behind, 64 * words - 2 - (column - turn), -1)
+            diagonals, change, carry = [], np.zeros(len(n), np.int64), None
+            for w in range(words):
+                eq = held[w] if not low else (held[w] >> np.uint64(low)) | (held[w + 1] << np.uint64(64 - low))
+                p, q = plus[w], minus[w]
+                part = eq & p
+                total = part + p
+                if words > 1:
+                    out = total < part
+                    if carry is not None:
+                        total += carry
+                        out |= total < carry
+                    carry = out.astype(np.uint64)
+                diagonals.append((total ^ p) | eq | q)
+                if behind.any():
+                    row = np.where(place >> 6 == w, one << (place & 63).astype(np.uint64), np.uint64(0))
+                    right, left = q | ~(diagonals[w] | p), diagonals[w] & p
+                    change += ((right & row) != 0).view(np.int8) - ((left & row) != 0).view(np.int8)
+            score += np.where(behind, change, (diagonals[-1] >> last) == 0)
+            for w, diagonal in enumerate(diagonals):
+                p, q = plus[w], minus[w]
+                right, left = q | ~(diagonal | p), diagonal & p
+                moved = diagonal >> one
+                if w + 1 < words:
+                    moved |= diagonals[w + 1] << last
+                plus[w], minus[w] = left | ~(moved | right), moved & right
+        result[order] = score <= most
+        return result
 
 
 def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,51 +449,53 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole_cells(held)
 
 
+def top_of(joined: np.ndarray, label: int) -> int:
+    while joined[label] != label:
+        label = joined[label]
+    return label
+
+
 def whole_cells(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(batches)
-    value, x, y, ids, part, label = (rows.column(c).to_numpy().copy() for c in ("value", "x", "y", "line", "part", "root"))
+    value, x, y, ids, part, roots = (rows.column(c).to_numpy() for c in ("value", "x", "y", "line", "part", "root"))
     texts = rows.column("norm").to_pylist()
     starts = np.concatenate(([0], np.flatnonzero((value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(ids)])).tolist()
-    sizes, links, group = np.fromiter(map(len, texts), np.int64, len(texts)), [], 0
+    ends, links, group = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))), [], 0
+    known, label = np.unique(roots, return_inverse=True)
+    joined = np.arange(len(known))
     while group + 1 < len(starts):
-        # As many cells as hold some text together, or one.
+        # As many cells as hold some text together, or one: many pairs are compared together.
         first, taken = starts[group], group + 1
-        while taken + 1 < len(starts) and sizes[first : starts[taken + 1]].sum() <= CELL_BYTES:
+        while taken + 1 < len(starts) and starts[taken + 1] - first <= GROUP_LINES and ends[starts[taken + 1]] - ends[first] <= GROUP_BYTES:
             taken += 1
-        likely = Likely(texts[first : starts[taken]])
-        for start, stop in zip(starts[group:taken], starts[group + 1 : taken + 1]):
-            across = x[start] != y[start]
-            for i in range(start, stop - 1):
-                at = np.flatnonzero(label[i + 1 : stop] != label[i]) + i + 1
-                if across:
-                    at = at[part[at] != part[i]]
-                if not len(at):
-                    continue
-                for j in at[likely.to(i - first, at - first)].tolist():
-                    if label[j] != label[i] and similar(texts[i], texts[j]):
+        held, stop = Texts(texts[first : starts[taken]]), starts[taken]
+        apart = np.where(x != y, part, -1)[first:stop]
+        for one, two in held.may(np.array(starts[group : taken + 1]) - first, apart, label[first:stop], joined):
+            for at in range(0, len(one), PAIRS):
+                a, b = one[at : at + PAIRS], two[at : at + PAIRS]
+                # What an earlier pair connected is left out.
+                while (joined != joined[joined]).any():
+                    joined[:] = joined[joined]
+                new = joined[label[first + a]] != joined[label[first + b]]
+                a, b = a[new], b[new]
+                near = held.similar(a, b)
+                for i, j in zip((a[near] + first).tolist(), (b[near] + first).tolist()):
+                    low, high = top_of(joined, label[i]), top_of(joined, label[j])
+                    if low != high:
                         links.append((ids[j], ids[i]))
-                        own = label[start:stop]
-                        own[own == label[j]] = label[i]
+                        joined[high] = low
         group = taken
     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, a_norm, b_norm) whose texts are similar."""
-    for part in portions(portions(batches, "a_norm", 1 << 20), "b_norm", 1 << 20):
-        ones, twos = (part.column(c).to_pylist() for c in ("a_norm", "b_norm"))
-        sizes = np.array([(len(x), len(y)) for x, y in zip(ones, twos)], np.int64)
-        most = ((1 - SIMILAR) * sizes.max(axis=1) + 1e-9).astype(np.int64)
-        # Letter pairs counted in one text less those in the other; an edit changes at most four counts by one.
-        flat = np.frombuffer("".join(x + y for x, y in zip(ones, twos)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        own = np.repeat(np.arange(len(ones)), sizes.sum(axis=1))
-        side = np.repeat(np.tile([1, -1], len(ones)), sizes.ravel())
-        inside = np.ones(len(flat), bool)
-        inside[np.cumsum(sizes.ravel()) - 1] = False
-        cell = own[:-1] * PAIR_COUNTERS + (flat[:-1] * 1009 + flat[1:]) % PAIR_COUNTERS
-        apart = np.bincount(cell[inside[:-1]], side[:-1][inside[:-1]], len(ones) * PAIR_COUNTERS).reshape(len(ones), -1)
-        may = (np.abs(sizes[:, 0] - sizes[:, 1]) <= most) & (np.abs(apart).sum(axis=1) <= 4 * most)
-        kept = [i for i in np.flatnonzero(may).tolist() if edit_distance(ones[i], twos[i], int(most[i])) <= most[i]]
+    for part in portions(portions(batches, "a_norm", 4 << 20), "b_norm", 4 << 20):
+        n = part.num_rows
+        held = Texts([*part.column("a_norm").to_pylist(), *part.column("b_norm").to_pylist()])
+        one = np.arange(n)
+        one = one[held.likely(one, one + n)]
+        kept = one[held.similar(one, one + n)]
         yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(kept, pa.int64())) for c in "ab"], ["a", "b"])
 
 

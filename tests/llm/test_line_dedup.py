@@ -140,6 +140,36 @@ def test_edit_distance(a, b, most):
     assert got == want or want > most and got > most
 
 
+def test_many_pairs_are_compared_together_like_one_by_one(monkeypatch):
+    draw, texts = random.Random(3), ["", "a"]
+    for size in (3, 40, 63, 64, 65, 128, 200, 330, 700, 1500):
+        for _ in range(12):
+            line = "".join(draw.choices("etaoin shrdlu", k=size))
+            for share in (0.01, 0.08, 0.11, 0.2):
+                letters = list(line)
+                for at in draw.sample(range(size), int(size * share)):
+                    letters[at] = draw.choice(["", "x", "é", "字", "yz"])
+                texts += [line, "".join(letters)]
+    one, two = (x.tolist() for x in np.triu_indices(len(texts), 1))
+    near = [(i, j) for i, j in zip(one, two) if j - i < 8 and abs(len(texts[i]) - len(texts[j])) <= 200]
+    want = []
+    for a, b in ((texts[i], texts[j]) for i, j in near):
+        most = int((1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9)
+        want.append(line_dedup.edit_distance(a, b, most) <= most)
+    held, (one, two) = line_dedup.Texts(texts), np.array(near).T
+    assert held.similar(one, two).tolist() == want and 0 < sum(want) < len(want)
+    assert held.likely(one, two)[np.array(want)].all()
+    with monkeypatch.context() as patch:
+        patch.setattr(line_dedup, "LETTERS", 8)
+        assert line_dedup.Texts(texts).similar(one, two).tolist() == want
+    calls = []
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda a, b, most: calls.append(a))
+    line = "".join(draw.choices("etaoin shrdlu", k=300))
+    rows = [(i, -i, line, line[:i] + "x" + line[i + 1 :]) for i in range(1, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "a_norm", "b_norm"])
+    assert sum(b.num_rows for b in line_dedup.verified(iter([batch]))) == 199 and not calls
+
+
 def planted(draw, size, share, whole_words):
     words = ["".join(draw.choices("etaoinshrdlu", k=draw.randint(1, 9))) for _ in range(size // 5)]
     line = " ".join(words)[:size].strip()
