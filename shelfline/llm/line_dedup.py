@@ -28,7 +28,9 @@ there is one, becomes the length of the new text.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ from shelfline.llm.common import components, in_batches, portions, table, writte
 
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"\d")
+APART = re.compile(r"[^\w\n]")
 SIMILAR = 0.9
 #: Keys of a line and, for lines of at least 0.9 * BRIEF characters, n-gram length and minima in a key.
 BANDS, GRAM, BAND_ROWS = 12, 8, 3
@@ -55,10 +58,16 @@ COUNTERS = 256
 MARKS, LEVELS = 512, 2
 #: Characters and lines of the cells that are worked through together.
 GROUP_BYTES, GROUP_LINES = 4 << 20, 1 << 15
-#: Pairs that are compared together, and lines on a side of a block of pairs of a larger cell than SMALL.
+#: Pairs that are compared together, lines on a side of a block of pairs of a larger cell than SMALL.
 PAIRS, BLOCK, SMALL = 4096, 1024, 128
-#: Letters told apart, the fewest pairs for each word of a band for which comparing them together pays, all bits of a word.
-LETTERS, FEW, EVERY = 128, 24, (1 << 64) - 1
+#: Bytes of the tables of letters of pairs that are compared together, characters looked at together for a common start or end.
+TABLES, STEP = 32 << 20, 32
+#: Columns of the bands that are worked through before pairs that are settled leave.
+COLUMNS = 32
+#: Letters told apart, the fewest pairs for which comparing them together pays unless texts are longer than so many characters.
+LETTERS, FEW, LENGTHY = 128, 3, 1000
+#: Bytes of text whose keys are found at once, keys that are packed at once, and the buckets they are packed by.
+KEY_BYTES, PACKED, BUCKETS = 1 << 18, 1 << 20, 4096
 #: Bits of the filter of lines that share a key.
 FILTER_BITS = 1 << 23
 
@@ -67,61 +76,106 @@ def normal_words(line: str) -> list[str]:
     return WORD.findall(DIGIT.sub("0", line.lower()))
 
 
+@cache
+def plain_codes(size: int) -> np.ndarray:
+    """What each of the first characters becomes: digits 0, what is neither of a word nor an end of line a space."""
+    every = "".join(map(chr, range(size)))
+    return np.frombuffer(DIGIT.sub("0", APART.sub(" ", every)).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@cache
+def plain_bytes() -> bytes:
+    return plain_codes(256).astype(np.uint8).tobytes()
+
+
+def normal_lines(text: str) -> list[str]:
+    """The words of each line, joined by a space, as `normal_words` finds them."""
+    lower = text.lower()
+    if lower.isascii():
+        plain = lower.encode().translate(plain_bytes()).decode()
+    else:
+        codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = plain_codes(1 << 16 if codes.max() < 1 << 16 else sys.maxunicode + 1)[codes]
+        plain = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    return [line.strip(" ") for line in plain.split("\n")]
+
+
 def line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, pos, line, check, norm) of the lines that have a word.
 
     `line` and `check` are the halves of a 128-bit hash of the normalised line; `norm` is that line, or
     null where this task has sent it before.
     """
-    sent: set[int] = set()
+    sent: set[bytes] = set()
     for part in portions(batches, "text"):
         if len(sent) > REMEMBERED:
             sent.clear()
         ids, rows, places, hashes, norms = [], [], [], [], []
         for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-            for pos, line in enumerate(DIGIT.sub("0", text.lower()).split("\n")):
-                words = WORD.findall(line)
-                if not words:
+            for pos, norm in enumerate(normal_lines(text)):
+                if not norm:
                     continue
-                norm = " ".join(words)
-                code = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
+                code = xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
                 ids.append(doc_id)
                 rows.append(row)
                 places.append(pos)
                 hashes.append(code)
                 norms.append(None if code in sent else norm)
                 sent.add(code)
-        halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in hashes), np.int64).reshape(-1, 2)
+        halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)[:, ::-1]
         arrays = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(norms, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "pos", "line", "check", "norm"])
 
 
-def gram_minima(texts: list[str], n: int, bins: int) -> np.ndarray:
-    """Least hash of a text's n-grams in each of so many bins; an empty bin takes the next one's."""
+def gram_minima(texts: list[str], n: int, bins: int, memory: list[np.ndarray]) -> np.ndarray:
+    """Least hash of a text's n-grams in each of so many bins; an empty bin takes the next one's.
+
+    `memory` holds what the next call writes to again: fresh memory costs more than the arithmetic.
+    """
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
-    flat = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    grams = np.zeros(len(flat), np.uint64)
+    flat = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size, total = len(flat), len(flat) + 2 * n
+    if not memory or memory[0].shape[1] < total:
+        memory[:] = [np.empty((5, total), np.uint64)]
+    run, other, grams, spare, owner = memory[0][:, :total]
+    run[:size], run[size:] = flat, 0
+    run += np.uint64(1)
+    grams[:] = 0
     # Runs of 2, 4, 8 ... characters from two of half their length each; n is made up of these.
-    run, place, size, left_over, power = np.concatenate((flat, np.zeros(2 * n, np.uint64))) + np.uint64(1), 0, 1, n, 0x100000001B3
+    place, step, left_over, power = 0, 1, n, 0x100000001B3
     while True:
         if left_over & 1:
-            grams = grams * np.uint64(power) + run[place : place + len(flat)]
-            place += size
+            grams[:size] *= np.uint64(power)
+            grams[:size] += run[place : place + size]
+            place += step
         left_over >>= 1
         if not left_over:
             break
-        run = run[:-size] * np.uint64(power) + run[size:]
-        size, power = 2 * size, power * power % (1 << 64)
-    for shift, mix in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
-        grams = (grams ^ (grams >> np.uint64(shift))) * np.uint64(mix)
-    grams ^= grams >> np.uint64(31)
+        np.multiply(run, np.uint64(power), out=other)
+        other[:-step] += run[step:]
+        run, other = other, run
+        step, power = 2 * step, power * power % (1 << 64)
+    grams, spare = grams[:size], spare[:size]
+    for shift, mix in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(grams, np.uint64(shift), out=spare)
+        grams ^= spare
+        if mix > 1:
+            grams *= np.uint64(mix)
+    np.floor_divide(grams, np.uint64(bins), out=spare)
+    spare *= np.uint64(bins)
+    np.subtract(grams, spare, out=spare)
     # The last n - 1 places start no gram. Texts too short for one have no similar text but their equals.
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    within = np.arange(len(flat)) - starts[owner]
-    whole = within <= np.maximum(sizes[owner] - n, 0)
+    ends = np.cumsum(sizes)
+    owner = owner[:size]
+    owner[:] = 0
+    owner[ends[:-1]] = bins
+    spare += np.cumsum(owner, out=owner)
+    for k in range(1, n):
+        grams[(ends - k)[sizes > k]] = np.iinfo(np.uint64).max
     least = np.full(len(texts) * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, owner[whole] * bins + (grams[whole] % np.uint64(bins)).astype(np.int64), grams[whole])
+    np.minimum.at(least, spare.view(np.int64), grams)
     least = least.reshape(-1, bins)
     empty = least == np.iinfo(np.uint64).max
     at = np.where(empty, 2 * bins, np.arange(bins))
@@ -133,7 +187,8 @@ def gram_minima(texts: list[str], n: int, bins: int) -> np.ndarray:
 
 def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, keys) of each line; lines of about BRIEF characters have two rows."""
-    for part in portions(batches, "norm", 1 << 20):
+    memory: list[np.ndarray] = []
+    for part in portions(batches, "norm", KEY_BYTES):
         ids, texts = part.column("line").to_numpy(), part.column("norm").to_pylist()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         for n, width, chosen in ((GRAM, BAND_ROWS, sizes >= int(SIMILAR * BRIEF)), (BRIEF_GRAM, BRIEF_ROWS, sizes <= BRIEF)):
@@ -141,7 +196,7 @@ def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             # A key's bins lie far apart, as neighbours of a short text may have taken over one minimum.
-            minima = gram_minima([texts[i] for i in at.tolist()], n, BANDS * width).reshape(len(at), width, BANDS)
+            minima = gram_minima([texts[i] for i in at.tolist()], n, BANDS * width, memory).reshape(len(at), width, BANDS)
             values = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * n), (len(at), BANDS)).copy()
             for k in range(width):
                 values = (values ^ minima[:, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -150,16 +205,38 @@ def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), keys], ["line", "keys"])
 
 
+def packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, packed): the keys of many lines, each followed by its line, by bucket."""
+    held: list[np.ndarray] = []
+    for part in line_keys(batches):
+        keys, line = part.column("keys"), part.column("line").to_numpy()
+        held.append(np.stack((keys.flatten().to_numpy(), np.repeat(line, np.diff(keys.offsets.to_numpy()))), axis=1))
+        if sum(map(len, held)) >= PACKED:
+            yield in_buckets(np.concatenate(held))
+            held = []
+    if held:
+        yield in_buckets(np.concatenate(held))
+
+
+def in_buckets(rows: np.ndarray) -> pa.RecordBatch:
+    bucket = (rows[:, 0].view(np.uint64) % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    known, starts = np.unique(bucket[order], return_index=True)
+    packed, cuts = rows[order].tobytes(), [*(16 * starts).tolist(), 16 * len(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(known), pa.array([packed[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "packed"])
+
+
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, line, least, n, lot) of the keys that several lines share, of rows (value, line).
+    """(value, line, least, n, lot) of the keys that several lines share, of rows (bucket, packed).
 
     `least` is the least line of the key, n counts its lines, and keys with the same lines have one lot.
     """
-    columns = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy() for k in range(2)] for b in batches))]
-    if not columns or not len(columns[0]):
+    rows = [np.frombuffer(b"".join(b.column("packed").to_pylist()), np.int64).reshape(-1, 2) for b in batches]
+    if not sum(map(len, rows)):
         return
-    value, line = columns
-    order = np.argsort(value, kind="stable")
+    value, line = np.concatenate(rows).T.copy()
+    rows.clear()
+    order = np.argsort(value)
     value, line = value[order], line[order]
     edge = value[1:] != value[:-1]
     alone = np.concatenate(([True], edge)) & np.concatenate((edge, [True]))
@@ -254,10 +331,16 @@ class Texts:
         self.total = self.marks.sum(axis=1, dtype=np.int64)
         found = np.zeros(int(self.flat.max(initial=0)) + 1, bool)
         found[self.flat] = True
-        # Characters beyond so many share numbers; pairs found similar with them are compared once more.
-        self.exact = int(found.sum()) <= LETTERS
-        self.letters = min(int(found.sum()), LETTERS)
-        self.codes = ((np.cumsum(found) - 1) % LETTERS)[self.flat]
+        # Rarer characters than the first so many share a number; pairs of texts with such ones are compared once more.
+        known = np.flatnonzero(found)
+        self.letters = min(len(known), LETTERS)
+        number = np.zeros(len(found), np.int64)
+        often = np.argsort(-np.bincount(self.flat, minlength=len(found))[known], kind="stable") if len(known) > LETTERS else slice(None)
+        number[known[often]] = np.minimum(np.arange(len(known)), LETTERS - 1)
+        self.codes = number[self.flat]
+        self.shared = np.zeros(len(texts), bool)
+        if len(known) > LETTERS:
+            self.shared[np.repeat(np.arange(len(texts)), self.lengths)[self.codes == LETTERS - 1]] = True
 
     def most(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return ((1 - SIMILAR) * np.maximum(self.lengths[one], self.lengths[two]) + 1e-9).astype(np.int64)
@@ -312,45 +395,88 @@ class Texts:
         """Whether the texts of each pair are similar."""
         swap = self.lengths[one] > self.lengths[two]
         short, long = np.where(swap, two, one), np.where(swap, one, two)
-        most = self.most(one, two)
-        # Short texts are one word of 64 characters; for others a band of so many words around the diagonal is enough.
-        words = np.where(self.lengths[short] <= 64, 0, most // 32 + 1)
-        found = np.zeros(len(one), bool)
-        for width in np.unique(words).tolist():
-            every = np.flatnonzero(words == width)
-            every = every[np.argsort(self.lengths[long[every]], kind="stable")]
-            # So many pairs that their tables of letters stay small; few ones are faster one by one.
-            step = max(1, min(PAIRS, (32 << 20) // (8 * self.letters * (6 * width + 1))))
-            for k in range(0, len(every), step):
-                at = every[k : k + step]
-                if len(at) >= FEW * max(1, width):
-                    at = at[self.in_band(short[at], long[at], most[at], width) if width else self.close(short[at], long[at], most[at])]
-                    if self.exact:
-                        found[at] = True
-                        continue
-                for p in at.tolist():
-                    found[p] = edit_distance(self.texts[short[p]], self.texts[long[p]], int(most[p])) <= most[p]
+        most, found = self.most(one, two), np.zeros(len(one), bool)
+        # What both begin or end with leaves the distance as it is.
+        ahead = self.alike(short, long, 0)
+        behind = self.alike(short, long, ahead, -1)
+        starts, short_left, long_left = (np.stack(x) for x in ((self.starts[short] + ahead, self.starts[long] + ahead), (self.lengths[short], self.lengths[short] - ahead - behind), (self.lengths[long], self.lengths[long] - ahead - behind)))
+        short_left, long_left = short_left[1], long_left[1]
+        found[:] = long_left <= most
+        # A shorter text of up to 64 characters is one word; for others a band of so many words around the diagonal is
+        # enough: whoever leaves it for the farther side and comes back takes 64 * words - difference steps.
+        words = np.where(short_left <= 64, 0, (most + long_left - short_left) // 64 + 1)
+        whole = (words > 0) & (long_left < 32 * words)
+        starts[:, whole] = self.starts[short[whole]], self.starts[long[whole]]
+        short_left[whole], long_left[whole] = self.lengths[short[whole]], self.lengths[long[whole]]
+        open_pairs = ~found
+        # Most distances are much smaller than they may be: a narrow band proves them whatever the length.
+        width, most_words = 0, int(words[open_pairs].max(initial=-1))
+        while width <= most_words:
+            wider = 4 * width or 1
+            last = open_pairs & (words >= width) & (words < wider)
+            tries = [(last & (words == w), w, True) for w in np.unique(words[last]).tolist()]
+            if wider < most_words:
+                tries.append((open_pairs & (words > wider) & (long_left - short_left < 32 * wider) & (long_left >= 32 * wider), wider, False))
+            for chosen, w, sure in tries:
+                for some in self.together(np.flatnonzero(chosen), long_left, w):
+                    if len(some) >= FEW or long_left[some[-1]] > LENGTHY:
+                        spans = starts[0, some], short_left[some], starts[1, some], long_left[some], most[some]
+                        found[some] = self.in_band(*spans, w) if w else self.close(*spans)
+                    elif sure:
+                        self.one_by_one(some, short, long, most, found)
+            open_pairs &= ~found & ~last
+            width = wider
+        # Characters that share a number look alike.
+        self.one_by_one(np.flatnonzero(found & self.shared[short] & self.shared[long]), short, long, most, found)
         return found
 
-    def letter_bits(self, of: np.ndarray, width: int, shift: int = 0) -> np.ndarray:
-        """For each word, text and letter a bit for every place of the letter, `shift` bits up."""
-        m = self.lengths[of]
+    def one_by_one(self, at: np.ndarray, short: np.ndarray, long: np.ndarray, most: np.ndarray, found: np.ndarray) -> None:
+        for p in at.tolist():
+            found[p] = edit_distance(self.texts[short[p]], self.texts[long[p]], int(most[p])) <= most[p]
+
+    def alike(self, short: np.ndarray, long: np.ndarray, taken: np.ndarray | int, way: int = 1) -> np.ndarray:
+        """How many characters both texts of each pair begin with, or, the other way, end with behind those taken."""
+        left_over = self.lengths[short] - taken
+        count, at = np.zeros(len(short), np.int64), np.flatnonzero(left_over > 0)
+        one, two = (self.starts[x] if way > 0 else self.starts[x] + self.lengths[x] - 1 for x in (short, long))
+        step = np.arange(STEP)
+        while len(at):
+            inside = step < (left_over[at] - count[at])[:, None]
+            same = [self.flat.take((x[at] + way * count[at])[:, None] + way * step, mode="clip") for x in (one, two)]
+            same = (same[0] == same[1]) & inside
+            run = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
+            count[at] += run
+            at = at[run == STEP]
+        return count
+
+    def together(self, at: np.ndarray, long: np.ndarray, width: int) -> Iterator[np.ndarray]:
+        """The pairs at these places by length, as many at once as keep their tables of letters small."""
+        at = at[np.argsort(long[at], kind="stable")]
+        sizes = 8 * self.letters * (long[at] // 64 + 2 * width + 2 if width else np.ones(len(at), np.int64))
+        while len(at):
+            step = int(np.searchsorted(sizes * np.arange(1, len(at) + 1), TABLES, "right"))
+            step = min(PAIRS, max(1, step))
+            yield at[:step]
+            at, sizes = at[step:], sizes[step:]
+
+    def letter_bits(self, starts: np.ndarray, m: np.ndarray, width: int, shift: int = 0) -> np.ndarray:
+        """For each word, text and letter a bit for every place of the letter, `shift` bits up; texts start there and are so long."""
         owner = np.repeat(np.arange(len(m)), m)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-        letter = self.codes[np.repeat(self.starts[of], m) + within]
+        letter = self.codes[np.repeat(starts, m) + within]
         within = within + shift
         bits = np.zeros((width, len(m) * self.letters), np.uint64)
         place = (within >> 6) * (len(m) * self.letters) + owner * self.letters + letter
         np.add.at(bits.reshape(-1), place, np.uint64(1) << (within & 63).astype(np.uint64))
         return bits
 
-    def close(self, short: np.ndarray, long: np.ndarray, most: np.ndarray) -> np.ndarray:
+    def close(self, short: np.ndarray, m: np.ndarray, long: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Whether each pair is within its distance, by the columns of `edit_distance`; the shorter texts have 64 characters at most."""
-        order = np.argsort(-self.lengths[long], kind="stable")
-        short, long = short[order], long[order]
-        m, n, bits = self.lengths[short], self.lengths[long], self.letter_bits(short, 1)[0]
-        base, starts, top = np.arange(len(m)) * self.letters, self.starts[long], np.uint64(1) << (np.maximum(m, 1) - 1).astype(np.uint64)
-        plus, minus, score, one = np.full(len(m), EVERY, np.uint64), np.zeros(len(m), np.uint64), m.copy(), np.uint64(1)
+        order = np.argsort(-n, kind="stable")
+        starts, m, n = long[order], m[order], n[order]
+        bits = self.letter_bits(short[order], m, 1)[0]
+        base, top = np.arange(len(m)) * self.letters, np.uint64(1) << (np.maximum(m, 1) - 1).astype(np.uint64)
+        plus, minus, score, one = np.full(len(m), (1 << 64) - 1, np.uint64), np.zeros(len(m), np.uint64), m.copy(), np.uint64(1)
         for column in range(int(n[0])):
             live = int(np.searchsorted(-n, -column, "left"))
             p, q = plus[:live], minus[:live]
@@ -365,73 +491,84 @@ class Texts:
         result[order] = np.where(m > 0, score, n) <= most[order]
         return result
 
-    def in_band(self, short: np.ndarray, long: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
-        """Whether each pair is within its distance of less than 32 * words; texts of more than 64 characters.
+    def in_band(self, short: np.ndarray, n: np.ndarray, long: np.ndarray, m: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
+        """Whether each pair is within its distance by steps of less than 32 * words from the diagonal.
+
+        A yes always holds, a no if distance and difference in length make up less than 64 * words at most.
+        The shorter texts have more than 64 characters.
 
         Hyyro's band of 64 * words diagonals: first the distance along the lowest, then along the last row.
+        All pairs' bands lie side by side in one whole number, each with a free byte that takes its carry.
         """
-        band, order = 32 * words - 1, np.argsort(-self.lengths[short], kind="stable")
+        band, wide, order = 32 * words - 1, 8 * words + 1, np.argsort(-n, kind="stable")
         result = np.zeros(len(order), bool)
-        most, short, long = most[order], short[order], long[order]
-        m, n = self.lengths[long], self.lengths[short]
-        bits = self.letter_bits(long, int(m.max()) // 64 + 2 * words + 2, 32 * words)
-        base, starts = np.arange(len(m)) * self.letters, self.starts[short]
-        set_bits = (1 << 64 * words) - (1 << 64 * words - band - 1)
-        plus = [np.full(len(m), set_bits >> 64 * w & EVERY, np.uint64) for w in range(words)]
-        minus = [np.zeros(len(m), np.uint64) for w in range(words)]
-        score, turn = np.full(len(m), band, np.int64), m - band
-        one, last = np.uint64(1), np.uint64(63)
-        for column in range(int(n[0])):
-            live = int(np.searchsorted(-n, -column, "left"))
-            if column % 16 == 15 or live < len(n):
-                done = np.arange(len(n)) >= live
-                result[order[done]] = score[done] <= most[done]
-                # Along the diagonal the distance never falls, behind it by one a column at most.
-                keep = ~done & (score - (n - np.maximum(column, turn)) <= most)
-                if live < len(n) or keep.sum() < 0.8 * len(n):
-                    order, m, n, most, base, starts, score, turn = (v[keep] for v in (order, m, n, most, base, starts, score, turn))
-                    plus, minus = [v[keep] for v in plus], [v[keep] for v in minus]
-                    if not len(n):
-                        return result
-            at, low = base + self.codes[starts + column], column & 63
-            held = [bits[(column >> 6) + w].take(at) for w in range(words + (low > 0))]
-            behind = column >= turn
-            # The last row's place in the band falls by one a column behind the diagonal.
-            place = np.where(behind, 64 * words - 2 - (column - turn), -1)
-            diagonals, change, carry = [], np.zeros(len(n), np.int64), None
-            for w in range(words):
-                eq = held[w] if not low else (held[w] >> np.uint64(low)) | (held[w + 1] << np.uint64(64 - low))
-                p, q = plus[w], minus[w]
-                part = eq & p
-                total = part + p
-                if words > 1:
-                    out = total < part
-                    if carry is not None:
-                        total += carry
-                        out |= total < carry
-                    carry = out.astype(np.uint64)
-                diagonals.append((total ^ p) | eq | q)
-                if behind.any():
-                    row = np.where(place >> 6 == w, one << (place & 63).astype(np.uint64), np.uint64(0))
-                    right, left = q | ~(diagonals[w] | p), diagonals[w] & p
-                    change += ((right & row) != 0).view(np.int8) - ((left & row) != 0).view(np.int8)
-            score += np.where(behind, change, (diagonals[-1] >> last) == 0)
-            for w, diagonal in enumerate(diagonals):
-                p, q = plus[w], minus[w]
-                right, left = q | ~(diagonal | p), diagonal & p
-                moved = diagonal >> one
-                if w + 1 < words:
-                    moved |= diagonals[w + 1] << last
-                plus[w], minus[w] = left | ~(moved | right), moved & right
-        result[order] = score <= most
+        most, starts, n, m = most[order], short[order], n[order], m[order]
+        bits = self.letter_bits(long[order], m, int(m.max()) // 64 + 2 * words + 2, 32 * words)
+        base, score, turn = np.arange(len(m)) * self.letters, np.full(len(m), band, np.int64), m - band
+        field = (1 << 64 * words) - 1
+        plus, minus = np.tile(bytes_of([field ^ (field >> band + 1)], wide), (len(m), 1)), np.zeros((len(m), wide), np.uint8)
+        for begin in range(0, int(n[0]), COLUMNS):
+            columns = np.arange(begin, begin + COLUMNS)[:, None]
+            at = base + self.codes.take(starts + columns, mode="clip")
+            low, high = (columns & 63).astype(np.uint64), begin >> 6
+            held = bits[high : high + words + 1].take(at, axis=1)
+            eq = held[:-1] >> low
+            eq |= held[1:] << (np.uint64(63) - low) << np.uint64(1)
+            eqs = np.zeros((COLUMNS, len(n), wide), np.uint8)
+            eqs[:, :, :-1] = np.ascontiguousarray(eq.transpose(1, 2, 0)).view(np.uint8)
+            every = int.from_bytes(bytes_of([field], wide).tobytes() * len(n), "little")
+            ones = int.from_bytes(bytes_of([1], wide).tobytes() * len(n), "little")
+            row, marked = 0, self.places(columns, turn, n, words, wide) if begin + COLUMNS > np.minimum(turn, n).min() else ()
+            p, q = (int.from_bytes(x.tobytes(), "little") for x in (plus, minus))
+            level = up = down = 0
+            for k in range(min(COLUMNS, int(n[0]) - begin)):
+                if marked:
+                    ones, row = (int.from_bytes(x[k].tobytes(), "little") for x in marked)
+                eq = int.from_bytes(eqs[k].tobytes(), "little")
+                diagonal = ((((eq & p) + p) ^ p) | eq | q) & every
+                right = q | (every ^ (diagonal | p))
+                left = p & diagonal
+                level += (diagonal >> 64 * words - 1) & ones
+                if row:
+                    # The place is another one in each column.
+                    up |= right & row
+                    down |= left & row
+                diagonal = (diagonal >> 1) & every
+                p = left | (every ^ (diagonal | right))
+                q = diagonal & right
+            plus, minus, level, up, down = (np.frombuffer(x.to_bytes(wide * len(n), "little"), np.uint8).reshape(-1, wide) for x in (p, q, level, up, down))
+            done = np.clip(np.minimum(turn, n) - begin, 0, COLUMNS)
+            score = score + done - level[:, 0] + np.bitwise_count(up).sum(axis=1, dtype=np.int64) - np.bitwise_count(down).sum(axis=1, dtype=np.int64)
+            ended = n <= begin + COLUMNS
+            result[order[ended]] = score[ended] <= most[ended]
+            # Along the diagonal the distance never falls, behind it by one a column at most.
+            keep = ~ended & (score - (n - np.maximum(begin + COLUMNS, turn)) <= most)
+            if not keep.any():
+                break
+            order, m, n, most, base, starts, score, turn, plus, minus = (v[keep] for v in (order, m, n, most, base, starts, score, turn, plus, minus))
         return result
 
+    def places(self, columns: np.ndarray, turn: np.ndarray, n: np.ndarray, words: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each column the lowest bit of the pairs before their turn, and for those behind it the last row's place."""
+        ones, row = np.zeros((2, len(columns), len(n), wide), np.uint8)
+        ones[:, :, 0] = columns < np.minimum(turn, n)
+        at, behind = np.nonzero((columns >= turn) & (columns < n))
+        # It falls by one a column.
+        place = 64 * words - 2 - (columns[at, 0] - turn[behind])
+        row[at, behind, place >> 3] = 1 << (place & 7)
+        return ones, row
+
+
+def bytes_of(numbers: list[int], wide: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_bytes(wide, "little") for x in numbers), np.uint8)
+
 
 def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between lines of a cell that have different roots, as few as connect what is similar.
 
     Rows come sorted by cell (value, x, y). A cell holds one part of a key's lines, or two whose lines
-    are compared across only. Many small cells are worked through together.
+    are compared across only. Lines that share several keys are compared under the least of them. Many
+    small cells are worked through together.
     """
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -458,7 +595,7 @@ def top_of(joined: np.ndarray, label: int) -> int:
 def whole_cells(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(batches)
     value, x, y, ids, part, roots = (rows.column(c).to_numpy() for c in ("value", "x", "y", "line", "part", "root"))
-    texts = rows.column("norm").to_pylist()
+    texts, keys = rows.column("norm").to_pylist(), [set(k) for k in rows.column("keys").to_pylist()]
     starts = np.concatenate(([0], np.flatnonzero((value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(ids)])).tolist()
     ends, links, group = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))), [], 0
     known, label = np.unique(roots, return_inverse=True)
@@ -471,6 +608,8 @@ def whole_cells(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, stop = Texts(texts[first : starts[taken]]), starts[taken]
         apart = np.where(x != y, part, -1)[first:stop]
         for one, two in held.may(np.array(starts[group : taken + 1]) - first, apart, label[first:stop], joined):
+            here = [min(keys[i] & keys[j]) == v for i, j, v in zip((one + first).tolist(), (two + first).tolist(), value[one + first].tolist())]
+            one, two = one[here], two[here]
             for at in range(0, len(one), PAIRS):
                 a, b = one[at : at + PAIRS], two[at : at + PAIRS]
                 # What an earlier pair connected is left out.
@@ -521,23 +660,26 @@ def perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def in_cells(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) among the lines of each key; runs are rows (value, line, root)."""
-    members = runs.join(texts.withColumnRenamed("line", "of_line"), F.col("line") == F.col("of_line")).drop("of_line")
+    own = runs.groupBy("line").agg(F.collect_list("value").alias("keys"), F.min("root").alias("root"))
+    members = own.join(texts.withColumnRenamed("line", "of_line"), F.col("line") == F.col("of_line"))
+    members = members.select(F.explode("keys").alias("value"), "line", "root", "norm", "keys")
     sizes = members.groupBy(F.col("value").alias("of_value")).agg(F.ceil(F.sum(F.octet_length("norm")) / CELL_BYTES).alias("k"))
     dealt = members.join(sizes, F.col("value") == F.col("of_value")).withColumn("part", F.pmod(F.xxhash64("line", "value"), F.col("k")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    dealt = dealt.select("value", "line", "root", "norm", "part", other.alias("other"))
-    dealt = dealt.select("value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "line", "root", "norm", "part")
+    dealt = dealt.select("value", "line", "root", "norm", "keys", "part", other.alias("other"))
+    dealt = dealt.select("value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "line", "root", "norm", "keys", "part")
     dealt = dealt.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y", "line")
     return in_batches(dealt, cell_links, "a long, b long")
 
 
 def line_links(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """Links (a, b) that connect similar lines of rows (line, norm); a line may have several rows."""
-    keyed = in_batches(lines, line_keys, "line long, keys array<long>").select(F.explode("keys").alias("value"), "line")
+    keyed = in_batches(lines.select("line", "norm"), packed_keys, "bucket int, packed binary")
     shape = "value long, line long, least long, n long, lot long"
-    runs = written(spark, in_batches(keyed.repartition("value"), shared_keys, shape), "shared-keys")
+    runs = written(spark, in_batches(keyed.repartition("bucket"), shared_keys, shape), "shared-keys")
     asked = runs.select(F.col("line").alias("asked")).distinct()
-    texts = perhaps(lines, asked).join(asked, F.col("line") == F.col("asked"), "left_semi")
+    # No semi join: Spark would move it below the filter.
+    texts = perhaps(lines, asked).join(asked, F.col("line") == F.col("asked"))
     texts = written(spark, texts.groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
     pairs = runs.where("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
     found = written(spark, near_pairs(pairs, texts), "near-lines")
@@ -562,7 +704,8 @@ def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("kept")).withColumnRenamed("root", "of_root")
     keepers = rooted.join(best, F.col("root") == F.col("of_root"), "left")
     keepers = keepers.select(F.col("line").alias("of_line"), F.col("check").alias("of_check"), F.coalesce("kept", "first").alias("kept"))
-    found = marked.join(keepers, (F.col("line") == F.col("of_line")) & (F.col("check") == F.col("of_check")))
+    found = perhaps(marked.drop("norm"), rooted.select(F.col("line").alias("asked")))
+    found = found.join(keepers, (F.col("line") == F.col("of_line")) & (F.col("check") == F.col("of_check")))
     return found.where(place != F.col("kept")).select(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"), "pos")
 
 
@@ -573,19 +716,22 @@ def row_key() -> F.Column:
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with repeated lines removed, and the name of an added column that counts them."""
-    removed = duplicates(spark, docs).distinct().groupBy("of_row", "of_doc").agg(F.collect_list("pos").alias("gone_pos"))
+    removed = duplicates(spark, docs).groupBy("of_row", "of_doc").agg(F.collect_set("pos").alias("gone_pos"))
     names = list(docs.columns)
     own, row, gone, count = (free_name(n, names) for n in ("of_doc", "of_row", "gone_pos", "n_removed"))
     removed = removed.select(F.col("of_doc").alias(own), F.col("of_row").alias(row), F.col("gone_pos").alias(gone))
-    joined = docs.join(removed, (row_key() == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    # Few rows of numbers beside the documents: these need not be sorted.
+    joined = docs.join(removed.hint("shuffle_hash"), (row_key() == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
     cut = F.split(F.col("text"), "\n", -1)
     kept = F.filter(F.transform(cut, lambda x, i: F.struct(x.alias("line"), i.alias("pos"))), lambda x: ~F.array_contains(F.col(gone), x["pos"]))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    changed = {"text": text}
+    changed = {}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
     counted = F.coalesce(F.array_size(gone), F.lit(0)).alias(count)
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in names], counted), count
+    # The text first, as its length is taken from it.
+    joined = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col(gone), counted)
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in names], count), count
 
 
 def free_name(name: str, taken: list[str]) -> str:

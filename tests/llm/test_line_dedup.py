@@ -206,3 +206,50 @@ def test_short_lines_and_text_without_spaces_are_lines_too(spark):
     rows = [(1, "one two\nown\n\n***"), (2, "One, two!\n\n***\nother"), (3, "這一行文字沒有空格但是重複出現"), (4, "這一行文字沒有空格但是重複出現。\n尾"), (5, "own")]
     got = line_dedup.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "\n***\nother", 3: rows[2][1], 4: "尾", 5: ""}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZ_ 09\n\r\t\x1c٣²İß字")), max_size=60))
+def test_normal_lines_hold_the_words_of_each_line(text):
+    want = [" ".join(line_dedup.WORD.findall(x)) for x in line_dedup.DIGIT.sub("0", text.lower()).split("\n")]
+    assert line_dedup.normal_lines(text) == want
+
+
+def test_a_band_is_wide_enough_for_texts_that_are_shifted_against_each_other():
+    draw, pairs = random.Random(5), []
+    for size in (90, 300, 320, 500, 639, 640, 641, 900, 1500, 2600):
+        for share in (0.02, 0.045, 0.05, 0.055, 0.1):
+            line, cut = "".join(draw.choices("etaoin shrdlu", k=size)), int(size * share)
+            at = draw.randrange(size - cut)
+            for text in (line[cut:] + "x" * cut, "x" * cut + line[:-cut or None], line[:at] + line[at + cut :], line[:at] + "y" * cut + line[at:], line[cut:] + "x" * (cut + cut // 3)):
+                pairs.append((line, text))
+    held = line_dedup.Texts([t for p in pairs for t in p])
+    most = [int((1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    want = [line_dedup.edit_distance(a, b, k) <= k for (a, b), k in zip(pairs, most)]
+    one = np.arange(0, 2 * len(pairs), 2)
+    assert held.similar(one, one + 1).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_lines_that_share_several_keys_are_compared_once(monkeypatch):
+    draw, compared = random.Random(7), []
+    words = ["".join(draw.choices("etaoin", k=6)) for _ in range(60)]
+    # The same letter pairs, but for a few, in another order: only an edit distance tells them apart.
+    texts = [" ".join(words), " ".join(words[30:] + words[:30]), " ".join(words[::-1])]
+    rows = [(v, 0, 0, i, i, t, [3, 5, 8], 0) for v in (3, 5, 8) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["value", "x", "y", "line", "root", "norm", "keys", "part"])
+    similar = line_dedup.Texts.similar
+    monkeypatch.setattr(line_dedup.Texts, "similar", lambda self, one, two: compared.extend(zip((one % 3).tolist(), (two % 3).tolist())) or similar(self, one, two))
+    assert sum(b.num_rows for b in line_dedup.cell_links(iter([batch]))) == 0
+    assert compared and len(set(compared)) == len(compared)
+
+
+def test_only_lines_that_may_share_a_key_move(spark, monkeypatch):
+    plans = []
+    keep = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda s, df, purpose: plans.append((purpose, df._jdf.queryExecution().optimizedPlan().toString())) or keep(s, df, purpose))
+    lines = spark.createDataFrame([(i, f"{LONG} {'ab'[i % 2]}") for i in range(4)], "line long, norm string")
+    line_dedup.line_links(spark, lines).collect()
+    plan = dict(plans)["line-texts"].split("\n")
+    joins = [i for i, x in enumerate(plan) if "Join" in x]
+    # The filter joins by word, below the join with the lines that were asked for.
+    assert len(joins) == 2 and "shiftright" in plan[joins[1]] and "shiftright" not in plan[joins[0]]
