@@ -64,8 +64,8 @@ PAIRS, BLOCK, SMALL = 4096, 1024, 128
 TABLES, STEP = 32 << 20, 32
 #: Columns of the bands that are worked through before pairs that are settled leave.
 COLUMNS = 32
-#: Letters told apart, the fewest pairs for which comparing them together pays unless texts are longer than so many characters.
-LETTERS, FEW, LENGTHY = 128, 3, 1000
+#: Letters told apart, the fewest pairs for which comparing them together pays unless texts are longer than so many characters, pairs of any length that go together.
+LETTERS, FEW, LENGTHY, MANY = 128, 3, 1000, 256
 #: Bytes of text whose keys are found at once, keys that are packed at once, and the buckets they are packed by.
 KEY_BYTES, PACKED, BUCKETS = 1 << 18, 1 << 20, 4096
 #: Bits of the filter of lines that share a key.
@@ -219,11 +219,11 @@ def packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_buckets(rows: np.ndarray) -> pa.RecordBatch:
-    bucket = (rows[:, 0].view(np.uint64) % np.uint64(BUCKETS)).astype(np.int32)
+    bucket = (rows[:, 0].view(np.uint64) % np.uint64(BUCKETS)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     known, starts = np.unique(bucket[order], return_index=True)
     packed, cuts = rows[order].tobytes(), [*(16 * starts).tolist(), 16 * len(rows)]
-    return pa.RecordBatch.from_arrays([pa.array(known), pa.array([packed[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array([packed[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "packed"])
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +455,9 @@ class Texts:
         sizes = 8 * self.letters * (long[at] // 64 + 2 * width + 2 if width else np.ones(len(at), np.int64))
         while len(at):
             step = int(np.searchsorted(sizes * np.arange(1, len(at) + 1), TABLES, "right"))
-            step = min(PAIRS, max(1, step))
+            # Texts of about one length turn from the diagonal together; few pairs are better not cut up.
+            alike = int(np.searchsorted(long[at], 1.25 * long[at[0]] + 32, "right"))
+            step = min(PAIRS, max(1, min(step, max(alike, MANY))))
             yield at[:step]
             at, sizes = at[step:], sizes[step:]
 
