@@ -10,12 +10,13 @@ blocks which still agree are too short to tell lines apart. Lines therefore meet
 of a few minima of their hashed character n-grams; the README has the recall of both. What follows is
 the usual way: join on the keys, verify the edit similarity, keep one line of each connected group.
 
-- Only distinct lines are keyed. Keys that a single line has end in the task that sorts them.
+- Only distinct lines are keyed. Keys move packed by bucket; those of a single line end in the task that sorts them.
 - Every line of a key is paired with the key's least line. These pairs are made distinct over all keys,
   joined with their texts once and verified: first by counts of letter pairs, then by edit distance.
 - That settles keys of two lines, and keys whose lines are connected by now. Lines of the others are
   compared among themselves in cells of at most CELL_BYTES of text on a side, so no key is a single
-  task's work; only pairs that are not yet connected are looked at, and links are as many as joined groups.
+  task's work; only pairs that are not yet connected are looked at, each under the least key it shares, and
+  links are as many as joined groups.
 
 A pair that shares no key is missed unless other lines connect it; the README states how many are.
 
