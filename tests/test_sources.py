@@ -1,4 +1,5 @@
 import json
+import re
 
 import fixtures as fx
 import pytest
@@ -348,6 +349,21 @@ def test_signature_changes_of_many_products_rewrite_the_table_once(spark, tmp_pa
     assert {r.product_id: r.copies for r in store.read().collect()}[1] == [2]
 
 
+def test_a_rewrite_works_out_signatures_once_a_product(spark, tmp_path):
+    now = F.lit(fx.T0).cast("timestamp_ntz")
+    p = fx.products(spark, [(i, "ACTIVE", 1, 1, fx.T0) for i in range(1, 9)])
+    # Two triples with one signature, an unknown product, a missing part.
+    rows = [(1, 1, "A|B", "M", "X"), (2, 1, "A", "B|M", "X"), (3, 2, "RED", "M", "IN_STOCK"), (4, 99, "RED", "M", "X"), (5, 3, "RED", None, "X")]
+    options = spark.createDataFrame(rows, "id long, product_id long, color string, size string, stock_status string")
+    deltas = readmodels.option_deltas(options.limit(0), options)
+    assert {(r.product_id, r.other, r.change) for r in deltas.collect()} == {(1, "A|B|M|X", 2), (2, None, 1), (99, "RED|M|X", 1)}
+    stored = readmodels.counted_signature_table(p, options.where("id = 3"), now)
+    whole = readmodels._whole_table(stored, p, deltas, now, F.col("product_id") % 2)
+    filters = re.findall(r"Filter .*", whole._jdf.queryExecution().optimizedPlan().toString())
+    assert filters and not any("lambda" in f for f in filters)
+    assert {r.product_id: (r.option_signatures, r.copies) for r in whole.collect()} == {1: (["A|B|M|X"], [2]), 2: (["RED|M|IN_STOCK"], [2])}
+
+
 def test_a_large_table_takes_wider_buckets_and_stays_changeable(spark, tmp_path):
     rows = spark.range(-500, 9_500).select("id", (F.col("id") * 2).alias("v"))
     store = SnapshotStore(spark, str(tmp_path / "s"), rows.schema, bucket_width=10, most_buckets=16)
