@@ -114,3 +114,25 @@ def test_threshold_keeps_the_recall_of_all_that_is_held_back():
     scores = secrets.logistic(network.slope * raw + network.intercept)
     kept = scores >= network.threshold
     assert known[kept].sum() >= secrets.RECALL * known.sum() and not others[kept].any()
+
+
+def test_learning_takes_long_findings_too(spark):
+    draw = random.Random(4)
+    rows = []
+    for i in range(100):
+        key, path = ("".join(draw.choice(c) for _ in range(150)) for c in ("ghijkl0123", "GHJKLM/012"))
+        rows.append((i, f"token = \"{key}\" and see {path} at noon"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.findings(docs)
+    assert {r.known: r["count"] for r in found.groupBy("known").count().collect()} == {True: 100, False: 100}
+    assert all(len(r.codes) == 150 + 2 * secrets.AROUND for r in found.where("NOT known").collect())
+    assert secrets.learn(docs).threshold <= 1
+
+
+def test_long_rows_are_read_in_pieces_with_the_same_result(monkeypatch):
+    network, draw = secrets.Network(), np.random.default_rng(5)
+    rows = [draw.integers(0, secrets.CLASSES, n) for n in (40, 700, 43, 1_500)]
+    labels = np.array([True, False] * 2)
+    whole, slopes = network.raw(rows), network.gradients(rows, labels, (1.0, 1.0))
+    monkeypatch.setattr(secrets, "CHUNK", 100)
+    assert (network.raw(rows) == whole).all() and (network.gradients(rows, labels, (1.0, 1.0)) == slopes).all()
